@@ -9,6 +9,7 @@ from quarrymill.operators import chunking, code, dense, enrich, evidence, graph,
 from quarrymill.operators.documents import HTML_SUFFIXES, html_sections, markdown_sections, suffix
 from quarrymill.operators.hybrid import QueryRequest
 from quarrymill.operators.python_source import parsed_python, python_sections
+from quarrymill.session import materialized
 from quarrymill.sources.files import DOCUMENT_SUFFIXES, read_repository
 
 SECTION = ("path", "language", "section_idx", "title", "level", "kind", "content", "hierarchy")
@@ -61,7 +62,7 @@ class Engine:
             files = one if files is None else files.unionByName(one)
         if files is None:
             raise ValueError("no source given")
-        return cls(spark, repository_chunks(files).cache(), **options)
+        return cls(spark, materialized(repository_chunks(files)), **options)
 
     def _dense(self, request: QueryRequest) -> DataFrame:
         kept = F.lit(True)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import routes
 from quarrymill.operators import extract
+from quarrymill.session import materialized
 
 #: Name fragments of classes that handle requests.
 HANDLER_NAMES = ("controller", "resource", "handler")
@@ -109,15 +110,14 @@ def resolve_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
 def build_graph(chunks: DataFrame) -> Graph:
     """All nodes and edges of the chunks; dependency edges as repeated builds converge to them.
 
-    The facts of the chunks and the tables are persisted, as queries join them many times; what
-    an executor loses is computed again.
+    The facts of the chunks and the tables are materialised, as queries join them many times.
     """
-    rows = usable_chunks(chunks).select(
+    rows = materialized(usable_chunks(chunks).select(
         F.col("id").alias("pos"), "repo", "path", "language", "framework_type", "text", "classes",
         _with_verb(F.col("api_routes")).alias("routes"),
         F.array_union(_with_verb(F.col("http_calls")), extract.http_calls(F.col("text"), F.col("language"))).alias("calls"),
         F.array_union("dependencies", extract.dependencies(F.col("text"), F.col("language"))).alias("deps"),
-    ).persist()
+    ))
     repos = rows.select(F.col("repo").alias("id")).distinct()
     # the first chunk of each (repo, path) writes the file, the last such write stays
     firsts = rows.groupBy("repo", "path").agg(F.min("pos").alias("pos"), F.min_by(F.struct("language", "framework_type"), "pos").alias("v"))
@@ -147,8 +147,8 @@ def build_graph(chunks: DataFrame) -> Graph:
     wanted = rows.select("repo", "path", "classes", F.explode("deps").alias("dep")).select("repo", "dep", F.explode(F.transform("classes", lambda c: class_id(F.col("repo"), F.col("path"), c))).alias("src"))
     known = classes.select("repo", F.col("name").alias("dep"), F.col("id").alias("dst"))
     depends_on = wanted.distinct().join(known, ["repo", "dep"]).select("src", "dst").distinct()
-    tables = [t.persist() for t in (repos, files, classes, endpoints, http_calls, belongs_to, defined_in, handles, depends_on, makes)]
-    return Graph(*tables, resolve_calls(tables[4], tables[3]).persist())
+    tables = [materialized(t) for t in (repos, files, classes, endpoints, http_calls, belongs_to, defined_in, handles, depends_on, makes)]
+    return Graph(*tables, materialized(resolve_calls(tables[4], tables[3])))
 
 
 def live_stats(graph: Graph) -> DataFrame:

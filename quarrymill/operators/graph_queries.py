@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.operators.graph import Graph
+from quarrymill.session import materialized
 
 MOST_HOPS = 5
 
@@ -75,7 +76,7 @@ def endpoint_catalog(graph: Graph, repo: str | None = None, only_repo: bool = Fa
 
 
 def trace(graph: Graph, feature: str, hops: int = MOST_HOPS) -> DataFrame:
-    """A row (persisted) for each dependency path of each endpoint whose path contains ``feature``.
+    """A row (materialised) for each dependency path of each endpoint whose path contains ``feature``.
 
     Columns: method, path, handler_class, handler_kind, backend_file, backend_repo,
     service_chain, hops and frontend_callers.
@@ -94,9 +95,9 @@ def trace(graph: Graph, feature: str, hops: int = MOST_HOPS) -> DataFrame:
     homes = _homes(graph).select(F.col("class_id").alias("caller_id"), F.col("file").alias("caller_file"), F.col("file_repo").alias("caller_repo"))
     callers = _callers(graph).join(homes, "caller_id", "left")
     rows = ends.join(handlers, "endpoint_id", "left").join(callers, "endpoint_id", "left")
-    return rows.groupBy(
+    return materialized(rows.groupBy(
         "method", "path", "handler_class", "handler_kind", F.col("file").alias("backend_file"), F.col("file_repo").alias("backend_repo"), "service_chain", "hops"
-    ).agg(F.array_sort(F.collect_set(F.struct("caller", F.col("caller_file").alias("file"), F.col("caller_repo").alias("repo")))).alias("frontend_callers")).persist()
+    ).agg(F.array_sort(F.collect_set(F.struct("caller", F.col("caller_file").alias("file"), F.col("caller_repo").alias("repo")))).alias("frontend_callers")))
 
 
 def dependencies_of(graph: Graph, name: str, repo: str | None = None, hops: int = MOST_HOPS) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quarrymill", **conf: str) -> SparkSession:
@@ -17,3 +19,15 @@ def session(app: str = "quarrymill", **conf: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder: a short plan for what is joined many times.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as on one
+    machine, a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrymill-"))
+    return df.checkpoint()

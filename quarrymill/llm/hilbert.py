@@ -13,13 +13,11 @@ not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import globally_ranked
-
-#: Bits for each dimension, and the shards cut.
-BITS, SHARDS = 5, 24
+#: Bits for each dimension, the shards cut, and leading bits of the index that name a stretch.
+BITS, SHARDS, STRETCH_BITS = 5, 24, 16
 
 
 def order_code(text: Column) -> Column:
@@ -98,17 +96,26 @@ def in_runs(rank: Column, total: int, shards: int) -> tuple[Column, Column]:
 def sharded(rows: DataFrame, dims: dict[str, Column], tie: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """``rows`` with ``hilbert``, ``shard`` and ``slot``; ``dims`` names numeric expressions.
 
-    All columns of ``rows`` are sorted and checkpointed, so pass keys and sizes rather than
-    whole texts, and join or partition the texts by the result when they are written.
+    A row's place is that of its stretch of the curve, from the stretches' counts (at most
+    2**STRETCH_BITS rows, whatever the input), plus its place among the stretch's rows.  As
+    dimensions are cut at their own quantiles, a frequent value of one is spread by the others.
+    All columns of ``rows`` are dealt out by stretch, so pass keys and sizes rather than texts.
     """
     names = [f"_dim{k}" for k in range(len(dims))]
     measured = rows.withColumns(dict(zip(names, dims.values(), strict=True)))
     cuts = cut_points(measured, names, bits)
     coordinates = F.array(*[quantised(F.col(n), c) for n, c in zip(names, cuts, strict=True)])
     indexed = measured.withColumn("hilbert", hilbert_index(coordinates, len(names), bits)).drop(*names)
-    ranked, total = globally_ranked(indexed, "hilbert", *tie, rank="_rank")
-    shard, slot = in_runs(F.col("_rank"), total, shards)
-    return ranked.withColumns({"shard": shard, "slot": slot}).drop("_rank")
+    indexed = indexed.withColumn("_stretch", F.shiftright("hilbert", max(0, len(names) * bits - STRETCH_BITS)))
+    counts = indexed.groupBy("_stretch").agg(F.count("*").alias("_n"))
+    along = Window.orderBy("_stretch")
+    before = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    placed = counts.withColumn("_before", before)
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    inside = F.row_number().over(Window.partitionBy("_stretch").orderBy("hilbert", *tie)) - 1
+    ranked = indexed.withColumn("_at", inside).join(F.broadcast(placed.select("_stretch", "_before")), "_stretch")
+    shard, slot = in_runs(F.col("_before") + F.col("_at"), total, shards)
+    return ranked.withColumns({"shard": shard, "slot": slot}).drop("_stretch", "_at", "_before")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

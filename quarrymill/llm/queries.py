@@ -76,5 +76,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_inner_product_search": ann.ORACLE,
         "op3_vector_range_join": range_join.ORACLE,
         "op5_line_dedup": lines.ORACLE,
+        "op6_quotation_linking": quotes.ORACLE,
         "op10_shingle_join": chosen_path.ORACLE,
     }

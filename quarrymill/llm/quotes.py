@@ -126,8 +126,9 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     replies = per.filter("reply_to is not null").groupBy("conv_id", "turn").agg(F.min("reply_to").alias("reply_to"))
     threads = _threads(replies)
     bodies = parsed(messages).select("conv_id", "turn", "role", "body", F.md5(F.coalesce("text", F.lit(""))).alias("message"))
+    own = per.withColumnsRenamed({"conv_id": "_conv", "turn": "_turn", "message": "_message"})
     whole = (
-        bodies.join(per, ["conv_id", "turn", "message"], "left")
+        bodies.join(own, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")) & (F.col("message") == F.col("_message")), "left")
         .join(threads, ["conv_id", "turn"], "left")
         .select(
             "conv_id", "turn", "role", "body", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
@@ -139,3 +140,36 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     return ranked.join(first, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
         "conv_id", "turn", "role", "reply_to", "thread_root", "depth", (F.col("_rank") - F.col("_first")).alias("position"), "n_quotes", "n_linked", "body"
     )
+
+
+#: The same in DuckDB, over the view ``conversations``.
+ORACLE = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, md5(coalesce(text, '')) AS message, row_number() OVER () AS rid FROM conversations),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM m),
+marked AS (SELECT *, regexp_extract(line, '^(?:[ \t]{0,3}>)+') AS marks, regexp_replace(line, '^(?:[ \t]{0,3}>)+[ \t]?', '') AS content FROM lines),
+levelled AS (SELECT *, len(marks) - len(replace(marks, '>', '')) AS level FROM marked),
+steps AS (SELECT *, (lag(level) OVER (PARTITION BY rid ORDER BY pos) IS DISTINCT FROM level)::INT AS step FROM levelled),
+placed AS (SELECT *, sum(step) OVER (PARTITION BY rid ORDER BY pos) AS place FROM steps),
+runs AS (SELECT rid, place, any_value(level) AS level, string_agg(content, chr(10) ORDER BY pos) AS run, list(content ORDER BY pos) AS contents FROM placed GROUP BY 1, 2),
+keys AS (SELECT rid, place, level, run, unnest(list_concat([run], contents)) AS k, unnest(range(len(contents) + 1)) AS preference FROM runs),
+plain AS (SELECT keys.*, conv_id, turn, lower(trim(regexp_replace(k, '\s+', ' ', 'g'))) AS key FROM keys JOIN m USING (rid)),
+holders AS (SELECT conv_id, key, min(turn) AS source_turn FROM plain WHERE level = 0 AND key <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+links AS (
+  SELECT p.rid, place, level, arg_min(source_turn, preference) FILTER (WHERE source_turn < turn) AS source_turn
+  FROM plain p LEFT JOIN holders h ON h.conv_id = p.conv_id AND h.key = p.key
+  WHERE level > 0 AND p.key <> '' AND trim(regexp_replace(run, '\s+', ' ', 'g')) <> '' GROUP BY 1, 2, 3
+), per AS (
+  SELECT rid, count(*) AS n_quotes, count(source_turn) AS n_linked, arg_min(source_turn, level * 1000000 + place) FILTER (WHERE source_turn IS NOT NULL) AS reply_to FROM links GROUP BY 1
+), replies AS (SELECT conv_id, turn, min(reply_to) AS up FROM per JOIN m USING (rid) WHERE reply_to IS NOT NULL GROUP BY 1, 2),
+climb(conv_id, turn, root, depth) AS (
+  SELECT conv_id, turn, up, 1 FROM replies
+  UNION ALL SELECT c.conv_id, c.turn, r.up, c.depth + 1 FROM climb c JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.root
+), threads AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM climb GROUP BY 1, 2),
+bodies AS (
+  SELECT rid, CASE WHEN max(level) > 0 THEN regexp_replace(coalesce(string_agg(run, chr(10) ORDER BY place) FILTER (WHERE level = 0), ''), '^\s*\n|\s+$', '', 'g') END AS body FROM runs GROUP BY 1
+)
+SELECT m.conv_id, m.turn, role, reply_to, coalesce(root, m.turn) AS thread_root, coalesce(depth, 0)::INT AS depth,
+       row_number() OVER (PARTITION BY m.conv_id ORDER BY coalesce(root, m.turn) NULLS FIRST, m.turn NULLS FIRST, message) - 1 AS position,
+       coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(body, m.text) AS body
+FROM m LEFT JOIN per USING (rid) LEFT JOIN threads t ON t.conv_id = m.conv_id AND t.turn = m.turn LEFT JOIN bodies USING (rid)
+"""

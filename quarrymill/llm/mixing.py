@@ -24,14 +24,16 @@ from quarrymill.llm.common import checkpointed, uniform
 #: The dimensions raked, the exponent that tempers observed shares into targets, the share of
 #: all tokens to keep, and the seed of the sample.
 DIMS, TEMPER, BUDGET, SEED = ("source", "lang", "topic"), 0.7, 0.8, 17
+#: Fixed value: ASCII white space.
+BLANK = " \t\n\x0b\f\r"
 #: Cells that are raked on the driver (a few MB); a larger table is raked by Spark jobs.
 MAX_CELLS, SWEEPS, TOLERANCE = 200_000, 100, 1e-10
 
 
 def token_count(text: Column) -> Column:
     """Number of words between runs of ASCII white space."""
-    words = F.split(F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", " " * 5)), " +")
-    return F.when(F.get(words, F.lit(0)) == "", 0).otherwise(F.size(words)).cast("long")
+    inner = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANK))
+    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, f"[{BLANK}]+"))).cast("long")
 
 
 def tempered(shares: dict, temper: float) -> dict:
@@ -117,9 +119,12 @@ def _raked_by_spark(cells: DataFrame, dims, targets, temper, budget, sweeps: int
             sums = now.groupBy(F.col(d).alias("_v")).agg(F.sum("w").alias("_sum"))
             now = now.join(sums, F.col(d).eqNullSafe(F.col("_v"))).withColumn("w", F.col("w") * F.col(f"goal_{d}") / F.col("_sum")).drop("_v", "_sum")
         now = checkpointed(now)
+        first = now.groupBy(dims[0]).agg(F.abs(F.sum("w") - F.first(f"goal_{dims[0]}")).alias("e")).agg(F.max("e")).first()[0]
+        if first < 1e-7:
+            break
     ratio = F.col("w") * F.lit(float(total)) / F.col("tokens")
     low, high = 0.0, 1 / now.agg(F.min(ratio)).first()[0]
-    for _ in range(40):
+    for _ in range(30):
         mid = (low + high) / 2
         kept = now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), ratio * mid))).first()[0]
         low, high = (mid, high) if kept < budget * total else (low, mid)

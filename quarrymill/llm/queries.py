@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import ann, bpe, chosen_path, hilbert, licenses, lines, mixing, quotes, range_join, toxicity
-from quarrymill.llm.common import table
+from quarrymill.llm.common import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,8 @@ def op3_vector_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.token_count(F.col("text")).alias("tokens"))
+    # texts are read once: what is left of them is a count
+    docs = checkpointed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.token_count(F.col("text")).alias("tokens")))
     with_topics = docs.join(mixing.topics(table(spark, sf_dir, "embeddings")), "doc_id", "left")
     return mixing.mixed(with_topics, F.col("tokens"))
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.common import in_small_batches
+
 #: The pre-token pattern and the printable bytes of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -124,9 +126,9 @@ def _ids_column(lists: list[np.ndarray]) -> pa.Array:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about 16 MB of ``column``, so that ids and text fit a small worker."""
+    """Batches cut to about 4 MB of ``column``, so that ids and text fit a small worker."""
     for batch in batches:
-        rows = max(1, int(batch.num_rows * 16e6 // max(batch.column(column).nbytes, 1)))
+        rows = max(1, int(batch.num_rows * 4e6 // max(batch.column(column).nbytes, 1)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
@@ -138,7 +140,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lea
     for each distinct text: their parts are dealt out over tasks and joined by text hash.
     """
     others = [c for c in docs.columns if c != text]
-    kept = docs.select(*others, text)
+    kept = in_small_batches(docs).select(*others, text)
     schema = kept.drop(text).withColumn(ids, F.lit(None).cast("array<int>")).schema
 
     def local(batches):

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import checkpointed, hash128
+from quarrymill.llm.common import checkpointed, hash128, in_small_batches
 from quarrymill.llm.linking import SCHEMA, reported, summed
 from quarrymill.llm.shingles import COORDINATES, mixed, shingle_sets, sketches
 
@@ -199,7 +199,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS
     among them; ``kept`` marks the documents whose id is their component's.
     """
     h1, h2 = hash128(F.coalesce("text", F.lit("")))
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), "text")
+    rows = in_small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), "text")
     sketched = checkpointed(_sketched(rows))
     grouped = sketched.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"), F.first("some").alias("some")

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after its session was told to send Python workers at most ``rows`` rows at once.
+
+    Texts are long; the default of 10,000 rows makes batches that crowd small executors.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
 

@@ -21,6 +21,8 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quarrymill.llm.common import in_small_batches
+
 WORD = re.compile(r"[^\W_]+")
 #: Least share of a template's words to report it.
 COVERAGE = 0.8
@@ -168,4 +170,4 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
             yield made.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 
     schema = "doc_id long, license string, coverage double, first_word long, last_word long, licenses string"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, schema)
+    return in_small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words in a shingle, coordinates of a sketch, and bytes of text treated together.
-WORDS, COORDINATES, CHUNK = 5, 48, 2_000_000
+WORDS, COORDINATES, CHUNK = 5, 48, 1_000_000
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)

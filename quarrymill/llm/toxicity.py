@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.llm.common import in_small_batches
+
 #: Labelled documents to fit on at most, chosen by a hash of their id.
 SAMPLE = 20_000
 #: Lengths of word beginnings used beside whole words.
@@ -166,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     marked = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    chosen = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
     kinds = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not kinds.get(0) or not kinds.get(1):
         return Model()

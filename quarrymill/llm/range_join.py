@@ -28,7 +28,7 @@ from quarrymill.llm.vectors import hashed_sample, is_usable, stacked, usable
 
 COSINE = 0.9
 #: Vectors in a cell and in a block about, and pivots at most (they go to every task).
-CELL, BLOCK, MOST_PIVOTS = 4096, 4096, 4096
+CELL, BLOCK, MOST_PIVOTS = 8192, 8192, 4096
 #: What rounding may add to a distance between unit vectors.
 SLACK = 1e-6
 
@@ -112,31 +112,47 @@ def range_join(embeddings: DataFrame, cosine: float = COSINE, cell: int = CELL,
     deals = 1 + homes // block  # blocks of home vectors in each cell
     spread = max(1, 1 + total // block)  # blocks of members; a cell may have every vector as member
 
+    kind = np.float32 if nodes.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+
     def dealt(batches):
-        """Each vector once as home, and as member for every home block of its cells."""
+        """Each vector once as home, and as member for every home block of its cells.
+
+        What a batch sends to one task is a single row: ids, weights and vectors as bytes.
+        """
         for batch in batches:
             if not len(batch):
                 continue
-            d = _distances(_unit(stacked(batch.embedding)), pivots)
+            node, weight, vectors = batch.node.to_numpy(np.int64), batch.weight.to_numpy(np.int64), stacked(batch.embedding)
+            d = _distances(_unit(vectors), pivots)
             home, belongs = d.argmin(1), replicas(d, between, radius, r)
-            place = (batch.node.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            mine, theirs = place % deals[home], place % spread
+            place = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            mine, theirs, vectors = place % deals[home], place % spread, vectors.astype(kind)
+            out = []
+
+            def send(chosen, cell, home_block, member_block, is_home):
+                if len(chosen):
+                    out.append((cell, home_block, member_block, is_home, node[chosen].tobytes(), weight[chosen].tobytes(), vectors[chosen].tobytes()))
+
             for c in np.flatnonzero(belongs.any(0) & (homes > 0)):
-                member, own = np.flatnonzero(belongs[:, c]), np.flatnonzero(home == c)
-                for k in range(deals[c]):
-                    yield batch.iloc[member].assign(cell=np.int32(c), home_block=np.int32(k), member_block=theirs[member].astype(np.int32), is_home=False)
                 for m in range(spread):
-                    yield batch.iloc[own].assign(cell=np.int32(c), home_block=mine[own].astype(np.int32), member_block=np.int32(m), is_home=True)
+                    member = np.flatnonzero(belongs[:, c] & (theirs == m))
+                    for k in range(deals[c]):
+                        send(member, c, k, m, False)
+                        send(np.flatnonzero((home == c) & (mine == k)), c, k, m, True)
+            yield pd.DataFrame(out, columns=["cell", "home_block", "member_block", "is_home", "node", "weight", "vectors"])
 
     base = nodes.select("node", "weight", "embedding")
-    schema = "node long, weight long, embedding array<float>, cell int, home_block int, member_block int, is_home boolean"
+    schema = "cell int, home_block int, member_block int, is_home boolean, node binary, weight binary, vectors binary"
+
+    def unpacked(rows):
+        ids = np.frombuffer(b"".join(rows.node), np.int64)
+        return np.frombuffer(b"".join(rows.vectors), kind).reshape(len(ids), -1).astype(np.float64), ids, np.frombuffer(b"".join(rows.weight), np.int64)
 
     def joined(rows):
         own, other = rows[rows.is_home], rows[~rows.is_home]
         if not len(own) or not len(other):
             return pd.DataFrame({"kind": [], "a": [], "b": [], "n": []})
-        get = lambda x: (stacked(x.embedding), x.node.to_numpy(), x.weight.to_numpy())
-        return reported(*block_links(*get(own), *get(other), cosine))
+        return reported(*block_links(*unpacked(own), *unpacked(other), cosine))
 
     reports = base.mapInPandas(dealt, schema).groupBy("cell", "home_block", "member_block").applyInPandas(joined, SCHEMA)
     counts, components = summed(reports)

@@ -5,8 +5,9 @@ splits the sets recursively: a bucket draws sketch coordinates, 1 / threshold in
 and deals its members out by their value there.  Buckets that got small, and buckets that hold
 one dense group so that splitting does not help, are compared exactly by brute force, large
 ones in pairs of bounded blocks.  A pair of similarity at least the threshold stays together
-along an expected path or more, so every run finds it with a constant chance, and the runs are
-repeated until the chance to miss it is far below the target.
+along an expected path or more, so every run finds it with a chance that falls slowly with the
+number of splits.  Every run has coordinates of its own, and runs are added until the chance to
+miss a pair at the threshold after the splits that were needed is within the target recall.
 
 A pair is compared in one bucket only, the least one that both sets are in; buckets with the
 same members are compared once.  Pairs are counted and reduced to a spanning forest where they
@@ -21,6 +22,8 @@ empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import functools
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -31,72 +34,96 @@ from quarrymill.llm.common import checkpointed, hash128, in_small_batches
 from quarrymill.llm.linking import SCHEMA, reported, summed
 from quarrymill.llm.shingles import COORDINATES, mixed, shingle_sets, sketches
 
-#: Least similarity, repeated runs, members of a bucket that is not split, sets in a block of a
+#: Least similarity, least share of pairs at it that are found, least number of runs, members of a bucket that is not split, sets in a block of a
 #: larger one about, share of a bucket that stays together in a dense one, and levels at most
 #: (buckets still large then are compared in blocks).
-THRESHOLD, RUNS, SMALL, BLOCK, DENSE, LEVELS = 0.8, 8, 128, 1024, 0.6, 6
+THRESHOLD, RECALL, RUNS, SMALL, BLOCK, DENSE, LEVELS = 0.8, 0.999, 8, 128, 1024, 0.6, 6
+#: Low bits of a path that hold its run.
+_RUN = np.uint64((1 << 10) - 1)
+
+
+def survival(splits: int, threshold: float = THRESHOLD) -> float:
+    """Chance that one run keeps a pair of similarity ``threshold`` together through ``splits`` splits."""
+    more, alive = min(1.0, 1 / threshold - 1), 1.0
+    for _ in range(splits):
+        lost = 1 - threshold * alive
+        alive = 1 - (1 - more) * lost - more * lost**2
+    return alive
+
+
+def needed_runs(splits: int, recall: float = RECALL, threshold: float = THRESHOLD) -> int:
+    """Independent runs after which a pair at the threshold was missed with 1 - ``recall`` at most."""
+    miss = 1 - survival(splits, threshold)
+    return 1 if miss <= 1 - recall else math.ceil(math.log(1 - recall) / math.log(miss))
 
 
 def children(path: np.ndarray, sketch: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and child paths: one coordinate drawn by the path, and a second with the rest of 1 / threshold."""
+    """Rows and child paths: one coordinate drawn by the path, and a second with the rest of 1 / threshold.
+
+    ``sketch`` has the coordinates of each path's run; children keep the run in their low bits.
+    """
     rows, paths = [], []
     draw = mixed(path ^ np.uint64(0xA0761D6478BD642F))
-    more = draw >> np.uint64(44) < np.uint64(int((1 / threshold - 1) * 2**20))
+    more = draw >> np.uint64(44) < np.uint64(int(min(1.0, 1 / threshold - 1) * 2**20))
     for k, there in ((0, np.ones(len(path), bool)), (1, more)):
         row = np.flatnonzero(there)
         at = ((draw[row] >> np.uint64(21 * k)) % np.uint64(COORDINATES) + np.uint64(k * 7)) % np.uint64(COORDINATES)
         value = sketch[row, at.astype(np.int64)]
         rows.append(row)
-        paths.append(mixed(mixed(path[row] + np.uint64(k + 1)) ^ (value + at)))
+        child = mixed(mixed(path[row] + np.uint64(k + 1)) ^ (value.astype(np.uint64) + (at << np.uint64(32))))
+        paths.append(child & ~_RUN | path[row] & _RUN)
     return np.concatenate(rows), np.concatenate(paths)
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, whether there are words, and the sketch as bytes."""
+def _sketched(docs: DataFrame, runs: range) -> DataFrame:
+    """doc_id, text hash, whether there are words, and the sketch for ``runs`` as bytes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
-                sketch, some = sketches(part.text.tolist())
+                sketch, some = sketches(part.text.tolist(), runs.start * COORDINATES, len(runs) * COORDINATES)
                 yield pd.DataFrame({"doc_id": part.doc_id, "h1": part.h1, "h2": part.h2, "some": some, "sketch": [x.tobytes() for x in sketch]})
 
     return docs.mapInPandas(run, "doc_id long, h1 long, h2 long, some boolean, sketch binary")
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, COORDINATES)
+def _matrix(column: pd.Series, runs: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint32).reshape(-1, runs, COORDINATES)
 
 
-def _split(rows: DataFrame) -> DataFrame:
+def _split(rows: DataFrame, runs: range, threshold: float) -> DataFrame:
     """Rows of (parent path, node, sketch) dealt to child paths."""
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                row, path = children(batch.path.to_numpy().view(np.uint64), _matrix(batch.sketch))
+                path = batch.path.to_numpy().view(np.uint64)
+                own = _matrix(batch.sketch, len(runs))[np.arange(len(path)), (path & _RUN).astype(np.int64) - runs.start]
+                row, path = children(path, own, threshold)
                 yield pd.DataFrame({"parent": batch.path.to_numpy()[row], "path": path.view(np.int64), "node": batch.node.to_numpy()[row]})
 
     return rows.mapInPandas(run, "parent long, path long, node long")
 
 
-def _rooted(nodes: DataFrame, runs: int) -> DataFrame:
+def _rooted(nodes: DataFrame, runs: range, threshold: float) -> DataFrame:
     """The first level of every run."""
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                sketch, node = _matrix(batch.sketch), batch.node.to_numpy()
-                for k in range(runs):
-                    row, path = children(np.full(len(node), mixed(np.uint64([k + 1]))[0]), sketch)
+                sketch, node = _matrix(batch.sketch, len(runs)), batch.node.to_numpy()
+                for k in runs:
+                    root = mixed(np.uint64([k + 1]))[0] & ~_RUN | np.uint64(k)
+                    row, path = children(np.full(len(node), root), sketch[:, k - runs.start], threshold)
                     yield pd.DataFrame({"path": path.view(np.int64), "node": node[row]})
 
     return nodes.mapInPandas(run, "path long, node long")
 
 
-def buckets(nodes: DataFrame, runs: int, small: int, levels: int) -> tuple[DataFrame, DataFrame]:
-    """The buckets to compare (path, n) without repeats of the same members, and (path, node)."""
-    now = checkpointed(_rooted(nodes, runs))
+def _grown(nodes: DataFrame, runs: range, small: int, levels: int, threshold: float) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Of some runs the finished buckets (path, n, x, y), all (path, node), and the most splits of a path."""
+    now = checkpointed(_rooted(nodes, runs, threshold))
     everywhere, done = [], []
     for level in range(levels + 1):
         sizes = checkpointed(
@@ -111,16 +138,32 @@ def buckets(nodes: DataFrame, runs: int, small: int, levels: int) -> tuple[DataF
             break
         done.append(sizes.filter(F.col("n") <= small))
         members = now.join(large.select("path"), "path").join(nodes.select("node", "sketch"), "node").select("path", "node", "sketch")
-        split = checkpointed(_split(members))
+        split = checkpointed(_split(members, runs, threshold))
         most = split.groupBy("parent", "path").agg(F.count("*").alias("kept")).groupBy("parent").agg(F.max("kept").alias("kept"))
         judged = checkpointed(large.join(most.withColumnRenamed("parent", "path"), "path"))
         dense = judged.filter(F.col("kept") >= DENSE * F.col("n"))
         done.append(dense.select(*sizes.columns))
         now = split.join(dense.select(F.col("path").alias("parent")), "parent", "left_anti").select("path", "node")
         now = checkpointed(now)
+    return done, everywhere, level + 1
+
+
+def buckets(
+    nodes: DataFrame, sketched_again: Callable[[range], DataFrame], runs: int = RUNS, small: int = SMALL, levels: int = LEVELS, recall: float = RECALL, threshold: float = THRESHOLD
+) -> tuple[DataFrame, DataFrame, int]:
+    """The buckets to compare (path, n) without repeats of the same members, (path, node), and the runs made.
+
+    ``nodes`` are sketched for the first ``runs`` runs, ``sketched_again`` sketches them for more.
+    Runs are added until they are enough for the splits that any run so far has needed.
+    """
+    done, everywhere, splits, made = [], [], 0, 0
+    while made < max(runs, needed_runs(splits, recall, threshold)):
+        now = range(made, max(runs, needed_runs(splits, recall, threshold)))
+        more_done, more_everywhere, deepest = _grown(sketched_again(now) if made else nodes, now, small, levels, threshold)
+        done, everywhere, splits, made = done + more_done, everywhere + more_everywhere, max(splits, deepest), now.stop
     union = functools.partial(functools.reduce, DataFrame.union)
     chosen = checkpointed(union(done).groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n"))
-    return chosen, union(everywhere).join(chosen, "path").select("path", "n", "node")
+    return chosen, union(everywhere).join(chosen, "path").select("path", "n", "node"), made
 
 
 def _pairs(sets: list[np.ndarray], wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +235,9 @@ def _compared(rows: pd.DataFrame, leaf: int, low: int, high: int, threshold: flo
     return reported(node[order], counts, place[a], place[b])
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+def jaccard_join(
+    docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, block: int = BLOCK, levels: int = LEVELS, recall: float = RECALL
+) -> DataFrame:
     """One row for each document: doc_id, n_links, component_id (least id reached) and kept.
 
     A document's links are the other documents of similarity at least ``threshold``, copies
@@ -200,12 +245,18 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS
     """
     h1, h2 = hash128(F.coalesce("text", F.lit("")))
     rows = in_small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), "text")
-    sketched = checkpointed(_sketched(rows))
+    sketched = checkpointed(_sketched(rows, range(runs)))
     grouped = sketched.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"), F.first("some").alias("some")
     )
     nodes = checkpointed(grouped)
-    chosen, members = buckets(nodes.filter("some"), runs, small, levels)
+
+    def sketched_again(more: range) -> DataFrame:
+        """One row of each node, sketched for more runs."""
+        own = rows.join(nodes.filter("some").select(F.col("node").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"])
+        return checkpointed(_sketched(own, more).groupBy(F.col("doc_id").alias("node"), "h1", "h2").agg(F.first("sketch").alias("sketch")))
+
+    chosen, members, _ = buckets(nodes.filter("some"), sketched_again, runs, small, levels, recall, threshold)
     leaves = members.groupBy("node").agg(F.collect_list(F.struct("path", "n")).alias("leaves"))
     wanted = nodes.select("node", "h1", "h2", "weight").join(leaves, "node")
     texts = rows.select(F.col("doc_id").alias("node"), "h1", "h2", "text").join(wanted, ["node", "h1", "h2"])

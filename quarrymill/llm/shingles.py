@@ -9,12 +9,11 @@ from __future__ import annotations
 import numpy as np
 
 #: Words in a shingle, coordinates of a sketch, and bytes of text treated together.
-WORDS, COORDINATES, CHUNK = 5, 48, 1_000_000
+WORDS, COORDINATES, CHUNK = 5, 16, 1_000_000
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
 _PLACE = _RNG.integers(1, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
-_COORDINATE = _RNG.integers(1, 2**64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -86,21 +85,23 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def sketches(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches (texts, coordinates), and whether each text has a word (else its sketch is 0).
+def sketches(texts: list[str | None], first: int = 0, count: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches (texts, coordinates from ``first`` on), and whether each text has a word (else its sketch is 0).
 
     Coordinate k is the least of a text's shingle hashes times the k-th odd number, so two texts
-    agree in it with a probability of their Jaccard similarity.
+    agree in it with a probability of their Jaccard similarity.  Of the hashes the high 32 bits
+    are used: equal minima stay equal, and different ones hardly ever agree.
     """
+    odd = (mixed(np.arange(first, first + count, dtype=np.uint64) + np.uint64(20240229)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     parts, some = [], []
     for rows in _chunks(texts):
         values, counts = _hashed(rows)
-        full = counts > 0
-        sketch = np.zeros((len(rows), COORDINATES), np.uint64)
+        values, full = (values >> np.uint64(32)).astype(np.uint32), counts > 0
+        sketch = np.zeros((len(rows), count), np.uint32)
         if full.any():
             starts = (np.cumsum(counts) - counts)[full]
-            for k, odd in enumerate(_COORDINATE):
-                sketch[full, k] = np.minimum.reduceat(values * odd, starts)
+            for k in range(count):
+                sketch[full, k] = np.minimum.reduceat(values * odd[k], starts)
         parts.append(sketch)
         some.append(full)
-    return np.concatenate(parts) if parts else np.zeros((0, COORDINATES), np.uint64), np.concatenate(some) if some else np.zeros(0, bool)
+    return np.concatenate(parts) if parts else np.zeros((0, count), np.uint32), np.concatenate(some) if some else np.zeros(0, bool)

@@ -170,6 +170,36 @@ def test_chosen_paths_of_no_rows_and_null_ids(spark):
     assert [tuple(r) for r in chosen_path.jaccard_join(rows).collect()] == [(4, 1, 4, True)] * 2
 
 
+def test_chosen_paths_reach_the_target_recall_at_full_depth():
+    """Sets at the threshold, split as often as may be, as many runs as are made for that depth."""
+    rng, splits, pairs = np.random.default_rng(3), chosen_path.LEVELS + 1, 6000
+    for similarity in (0.80, 0.82, 0.85):
+        missed = np.ones(pairs, bool)
+        for run in range(max(chosen_path.RUNS, chosen_path.needed_runs(splits))):
+            pair, agree = np.arange(pairs), rng.random((pairs, shingles.COORDINATES)) < similarity
+            path = rng.integers(0, 2**63, pairs).astype(np.uint64) & ~np.uint64(1023) | np.uint64(run)
+            for _ in range(splits):
+                a = np.zeros((len(pair), shingles.COORDINATES), np.uint16)
+                row, left = chosen_path.children(path, a)
+                _, right = chosen_path.children(path, np.where(agree[pair], a, a + np.uint16(1)))
+                pair, path = pair[row[left == right]], left[left == right]
+            missed[pair] = False
+        assert missed.mean() <= 2 * (1 - chosen_path.RECALL)
+
+
+def test_more_runs_for_more_splits(spark):
+    assert [chosen_path.needed_runs(k) for k in (0, 1, 7)] == [1, 4, 12]
+    passage = " ".join(f"shared{k}" for k in range(60))
+    texts = [f"{passage} {t}" for t in near_copies(20, 2, 60)]
+    rows = spark.createDataFrame([(k, k, 0, t) for k, t in enumerate(texts)], "doc_id long, h1 long, h2 long, text string")
+    sketched = lambda runs: chosen_path._sketched(rows, runs).withColumnRenamed("doc_id", "node")
+    first = sketched(range(chosen_path.RUNS))
+    assert chosen_path.buckets(first, sketched)[2] == chosen_path.RUNS
+    assert chosen_path.buckets(first, sketched, small=2, recall=1 - 1e-7)[2] > chosen_path.RUNS
+    got = chosen_path.jaccard_join(documents(spark, texts), small=2, recall=1 - 1e-7).collect()
+    assert sorted(map(tuple, got)) == plain_join(texts)
+
+
 def test_shingle_sets_and_sketches():
     texts = ["A b c d e f", "a  b\tc d e f\n", "a b", "", None, "é ü ö ä ß ñ"]
     sets = shingles.shingle_sets(texts)

@@ -7,7 +7,12 @@ length of text, so each text is searched in windows of three template lengths, a
 length apart, which hold every such stretch.  A window whose words could not reach the least
 coverage, counted with repeats, is passed over: that bound is exact and loses nothing.
 
-Edge cases: null and empty texts match nothing; ties go to the longer template, then to the
+Templates are whole texts (also those in ``license_texts``), headers and short notices.  A notice
+is found only where all its words stand together, since one word (a version, NC) makes another
+license of it.  The license with most words found comes first; another license found in the same
+place (BSD-2-Clause in a BSD-3-Clause text) is not reported.
+
+Edge cases: null and empty texts match nothing; ties go to the higher coverage, then to the
 first window; repeated rows are scanned alike; texts of any length are scanned whole; extra
 columns are not read.
 """
@@ -17,6 +22,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections import Counter
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,12 +33,25 @@ WORD = re.compile(r"[^\W_]+")
 #: Least share of a template's words to report it.
 COVERAGE = 0.8
 
-#: Notices and texts of well-known licenses.
+#: What licenses of one family share.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+        notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. {} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS
+        IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+        ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND
+        ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN
+        ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = """This {0} is free software: you can redistribute it and/or modify it under the terms of the
+        GNU {1} Public License as published by the Free Software Foundation, either version {2} of the License, or (at
+        your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        {1} Public License for more details."""
+#: Texts and headers of well-known licenses.
 TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
         associated documentation files (the "Software"), to deal in the Software without restriction, including without
         limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
@@ -50,22 +69,61 @@ TEMPLATES = {
         INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
         IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
         PERFORMANCE OF THIS SOFTWARE.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
-        provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
-        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution.""",
+    "BSD-2-Clause": _BSD.format(""),
+    "BSD-3-Clause": _BSD.format(
+        """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission."""
+    ),
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or
+        authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+        dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+        dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+        copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
         Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
         an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
         specific language governing permissions and limitations under the License.""",
-    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the
-        GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
-        your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
-        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
-        General Public License for more details.""",
+    "GPL-2.0-or-later": _GNU.format("program", "General", "2"),
+    "GPL-3.0-or-later": _GNU.format("program", "General", "3"),
+    "AGPL-3.0-or-later": _GNU.format("program", "Affero General", "3"),
+    "LGPL-2.1-or-later": _GNU.format("library", "Lesser General", "2.1"),
+    "LGPL-3.0-or-later": _GNU.format("library", "Lesser General", "3"),
+} | {f.stem: f.read_text("utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+#: Notices, each in all its wordings.
+NOTICES = {
+    "MIT-notice": ("Released under the MIT License.", "under the MIT License", "SPDX-License-Identifier: MIT"),
+    "ISC-notice": ("under the ISC License", "SPDX-License-Identifier: ISC"),
+    "BSD-2-Clause-notice": ("BSD 2-Clause", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause-notice": ("BSD 3-Clause", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "Apache-2.0-notice": ("Licensed under the Apache License, Version 2.0.", "Apache License, Version 2.0", "Apache License 2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "MPL-2.0-notice": ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "Unlicense-notice": ("under the Unlicense", "SPDX-License-Identifier: Unlicense"),
+    "CC0-1.0-notice": ("CC0 1.0",),
 }
+for _name, _words, _short in (("GPL", "General", "GPL"), ("LGPL", "Lesser General", "LGPL"), ("AGPL", "Affero General", "AGPL")):
+    for _version in {"GPL": ("2.0", "3.0"), "LGPL": ("2.1", "3.0"), "AGPL": ("3.0",)}[_name]:
+        _bare, _long = _version.removesuffix(".0"), f"GNU {_words} Public License"
+        NOTICES[f"{_name}-{_version}-notice"] = (
+            f"This work is licensed under the {_long}, version {_bare}.", f"{_long}, version {_bare}", f"{_long} version {_version}", f"{_long} v{_bare}",
+            f"version {_bare} of the {_long}", f"under the {_short} version {_bare}", f"SPDX-License-Identifier: {_short}-{_version}",
+        )
+for _kind, _long in (("", ""), ("-NC", "-NonCommercial"), ("-SA", "-ShareAlike"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives")):
+    for _version in ("2.0", "2.5", "3.0", "4.0"):
+        NOTICES[f"CC-BY{_kind}-{_version}-notice"] = (
+            f"Licensed under CC BY{_kind} {_version}.", f"CC BY{_kind} {_version}", f"Creative Commons Attribution{_long} {_version}",
+            f"creativecommons.org/licenses/by{_kind.lower()}/{_version}",
+        )
+#: What follows a license's name in the names of its templates.
+FORM = re.compile(r"(-or-later|-text|-notice)+$")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -122,11 +180,24 @@ def densest(pairs: list[tuple[int, int]], reach: int) -> tuple[int, int, int]:
     return best
 
 
+def phrase_at(words: list[str], phrase: list[str]) -> int:
+    """The first place where the words of ``phrase`` stand together, or -1."""
+    at, n = -1, len(phrase)
+    try:
+        while True:
+            at = words.index(phrase[0], at + 1)
+            if words[at : at + n] == phrase:
+                return at
+    except ValueError:
+        return -1
+
+
 class Scanner:
-    """Templates as word lists, with the counts that bound their coverage."""
+    """Templates as word lists, with the counts that bound their coverage, and notices."""
 
     def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE):
         self.templates = {k: words_of(v) for k, v in (templates or TEMPLATES).items()}
+        self.notices = {k: sorted(map(words_of, v), key=len, reverse=True) for k, v in ({} if templates else NOTICES).items()}
         self.counts = {k: Counter(v) for k, v in self.templates.items()}
         self.vocabulary = frozenset(w for v in self.templates.values() for w in v)
         self.coverage = coverage
@@ -134,13 +205,22 @@ class Scanner:
     def _bound(self, name: str, found: Counter) -> float:
         return sum(min(n, found[w]) for w, n in self.counts[name].items() if w in found) / len(self.templates[name])
 
+    def _noticed(self, words: list[str]) -> list[tuple[int, str, float, int, int]]:
+        out, there = [], set(words)
+        for name, phrases in self.notices.items():
+            for phrase in phrases:
+                if there.issuperset(phrase) and (at := phrase_at(words, phrase)) >= 0:
+                    out.append((len(phrase), name, 1.0, at, at + len(phrase) - 1))
+                    break
+        return out
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, last word) of all templates found, best first."""
+        """(template, coverage, first word, last word) of the templates found, most words first."""
         words = words_of(text)
         known = Counter(filter(self.vocabulary.__contains__, words))
-        out = []
+        some, out = known.total(), self._noticed(words)
         for name, template in self.templates.items():
-            if self._bound(name, known) < self.coverage:
+            if some < self.coverage * len(template) or self._bound(name, known) < self.coverage:
                 continue
             n, best = len(template), (0, 0, 0)
             for start in range(0, max(1, len(words) - n), n):
@@ -151,8 +231,13 @@ class Scanner:
                 if count > best[0]:
                     best = (count, start + first, start + last)
             if best[0] >= self.coverage * n:
-                out.append((name, best[0] / n, best[1], best[2]))
-        return sorted(out, key=lambda x: (-x[1], -len(self.templates[x[0]]), x[2]))
+                out.append((best[0], name, best[0] / n, best[1], best[2]))
+        kept = []
+        for _, name, share, first, last in sorted(out, key=lambda x: (-x[0], -x[2], x[3])):
+            license = FORM.sub("", name)
+            if all(FORM.sub("", other) == license or last < start or first > end for other, _, start, end in kept):
+                kept.append((name, share, first, last))
+        return kept
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

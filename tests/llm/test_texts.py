@@ -286,6 +286,24 @@ def test_license_scan(spark):
     assert licenses.scanned(empty(spark)).count() == 0
 
 
+def test_licenses_are_not_named_after_their_neighbours():
+    scanner = licenses.Scanner()
+    names = lambda text: [x[0] for x in scanner.scan(text)]
+    for text, name in (
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0-notice"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0-notice"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-notice"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-notice"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1-notice"),
+        ("Distributed under the MIT License", "MIT-notice"),
+    ):
+        assert names(f"some words before. {text} and some after") == [name]
+    for name, text in licenses.TEMPLATES.items():
+        found, license = names("before " + text + " after"), licenses.FORM.sub("", name)
+        assert found[0] == name and {licenses.FORM.sub("", x) for x in found} == {license}, (name, found)
+        noisy = " ".join(w for k, w in enumerate(licenses.words_of(text)) if k % 12 != 5)
+        assert licenses.FORM.sub("", names(noisy)[0]) == license or len(noisy.split()) < 100, (name, names(noisy))
+
+
 def test_bound_never_passes_over_a_match():
     scanner = licenses.Scanner({"t": "alpha beta gamma delta the of the"}, 0.8)
     random.seed(1)

@@ -39,7 +39,7 @@ def _padded(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Codebooks (subspaces, 16, 2), the weight of parallel error, and the error of estimates."""
+    """Codebooks (subspaces, 16, 2), the weight of parallel error, and the error of estimates by norms of residual and query."""
 
     books: np.ndarray
     parallel: float
@@ -70,8 +70,9 @@ class Quantiser:
                 used = np.bincount(codes[:, m], minlength=CENTRES) > 0
                 q.books[m, used] = np.linalg.solve(sums_a[used], sums_b[used][..., None])[..., 0]
         decoded = q._decoded(q.encode(sample)).reshape(n, d)
-        other = x[rng.permutation(n)]
-        q.error = float(np.std(((x - decoded) * other).sum(1)))
+        other, residual = x[rng.permutation(n)], x - decoded
+        lengths = np.linalg.norm(residual, axis=1) * np.linalg.norm(other, axis=1)
+        q.error = float(np.sqrt(np.mean(((residual * other).sum(1) / np.maximum(lengths, 1e-30)) ** 2)))
         return q
 
     def _decoded(self, codes: np.ndarray) -> np.ndarray:
@@ -99,6 +100,11 @@ class Quantiser:
         codes = self.encode(vectors)
         return codes[:, 0::2] << 4 | codes[:, 1::2]
 
+    def errors(self, vectors: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Standard errors of the vectors' estimated products with a query of length 1."""
+        codes = np.stack([packed.T >> 4, packed.T & 15], 2).reshape(len(vectors), -1)
+        return self.error * np.linalg.norm(_padded(vectors) - self._decoded(codes).reshape(len(vectors), -1), axis=1)
+
     def tables(self, query: np.ndarray) -> np.ndarray:
         """Inner products of a query's parts with pairs of centres: (pairs, 256)."""
         one = np.einsum("mw,mkw->mk", _padded(query[None]).reshape(-1, WIDTH), self.books).astype(np.float32)
@@ -117,16 +123,18 @@ def scan_block(q: Quantiser, query_ids, queries: np.ndarray, ids: np.ndarray, ve
     """The best of a block for each query: a scan of its codes, then exact scores.
 
     Scored exactly are all candidates estimated within ``ERRORS`` standard errors of the
-    ``top``-th estimate, however many, so groups of near copies are ranked right.
+    ``top``-th estimate, however many, so groups of near copies are ranked right.  The error is
+    a candidate's own, or the largest of the ``top`` estimates' if that is more.
     """
-    found = []
+    found, errors = [], q.errors(vectors, packed)
     for query_id, query in zip(query_ids, queries, strict=True):
         estimate = np.zeros(len(ids), np.float32)
         for codes, values in zip(packed, q.tables(query), strict=True):
             estimate += values[codes]
         estimate[ids == query_id] = -np.inf
-        least = np.partition(estimate, -top)[-top] if len(ids) > top else -np.inf
-        near = np.flatnonzero((estimate >= least - ERRORS * q.error * np.linalg.norm(query)) & (ids != query_id))
+        first = np.argpartition(estimate, -top)[-top:] if len(ids) > top else np.zeros(0, np.int64)
+        margin = ERRORS * np.linalg.norm(query) * np.maximum(errors, errors[first].max(initial=0))
+        near = np.flatnonzero((estimate >= estimate[first].min(initial=np.inf) - margin if len(first) else True) & (ids != query_id))
         exact = inner_products(vectors[near], query)
         best = np.lexsort((ids[near], -exact))[:top]
         found.append((np.full(len(best), query_id), ids[near][best], exact[best]))

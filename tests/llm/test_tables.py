@@ -40,6 +40,17 @@ def test_search_finds_nearly_all(spark):
     assert np.mean([len(set(got[q]) & set(w)) / 20 for q, w in zip(ids[::20], want, strict=True)]) >= 0.97
 
 
+@pytest.mark.parametrize("norms", [(0.01,), (1,), (30,), (0.1, 1, 5)])
+def test_margin_follows_the_norms(norms):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 32))
+    x *= rng.choice(norms, (4000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    ids, q = np.arange(4000), ann.Quantiser.fit(x)
+    found = ann.scan_block(q, ids[:40], x[:40], ids, x, q.packed(x).T.copy(), 20).groupby("query_id").vec_id.agg(set)
+    want = ann.exact_search(x[:40], ids[:40], x, ids)
+    assert np.mean([len(found[k] & set(w)) / 20 for k, w in enumerate(want)]) >= 0.995
+
+
 def test_search_ties_few_rows_and_none(spark):
     same = [(k, [1.0] * 8) for k in range(5)]
     rows = ann.search(vectors(spark, same[:1]), vectors(spark, same)).orderBy("rank").collect()

@@ -1,18 +1,19 @@
 """Maximum inner product search with score-aware (anisotropic) quantisation.
 
-A product quantiser with four bits for every two dimensions is fitted so that the part of a
-vector's residual that is parallel to the vector costs more than the rest (Guo et al., 2020):
-that part shifts large inner products.  Queries scan the codes by table look-ups, and what may
-belong to the best is scored again exactly, in double precision on the original vectors.
+A product quantiser with four bits for every dimension is fitted so that the part of a vector's
+residual that is parallel to the vector costs more than the rest (Guo et al., 2020): that part
+shifts large inner products.  Queries scan the codes by table look-ups, and what may belong to
+the best is scored again exactly, in double precision on the original vectors.
 
 All queries meet all vectors, in blocks: both sides are dealt into blocks of bounded size by a
 hash of their id, a task joins one block of queries and one of vectors and keeps the best of
 each query, and the blocks' lists are merged.
 
-Edge cases: vectors that are null, zero or hold null or non-finite components take no part, as
-queries or candidates; a query's own id is no candidate; ties go to the smaller id; with fewer
-candidates than asked for all are returned; repeated rows are candidates each; an empty table
-gives no rows; extra columns are not read.
+Edge cases: vectors that are null, zero or hold null or non-finite components, and those of
+another length than most vectors, take no part, as queries or candidates; neither do rows with a
+null id; a query's own id is no candidate; ties go to the smaller id; with fewer candidates than
+asked for all are returned; repeated rows are candidates each, and one query together; an empty
+table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.vectors import hashed_sample, stacked, usable
+from quarrymill.llm.vectors import dimension, hashed_sample, stacked, takes_part
 
 #: Neighbours, vectors the quantiser is fitted on at most, rows in a block of vectors and of
 #: queries about, cosine of the scores that matter (sets the weight of parallel error), and
 #: standard errors of the estimated score within which a candidate is scored exactly.
-TOP, SAMPLE, VECTOR_BLOCK, QUERY_BLOCK, THRESHOLD, ERRORS = 20, 8192, 8192, 2048, 0.2, 5.0
-CENTRES, WIDTH, PASSES = 16, 2, 8
+TOP, SAMPLE, VECTOR_BLOCK, QUERY_BLOCK, THRESHOLD, ERRORS = 20, 8192, 8192, 16384, 0.2, 4.0
+#: Centres of a subspace (four bits), its dimensions, rounds of fitting, and rows encoded at once.
+CENTRES, WIDTH, PASSES, ROWS = 16, 1, 8, 1024
 
 
 def _padded(x: np.ndarray) -> np.ndarray:
@@ -39,7 +41,7 @@ def _padded(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Codebooks (subspaces, 16, 2), the weight of parallel error, and the error of estimates by norms of residual and query."""
+    """Codebooks (subspaces, 16, width), the weight of parallel error, and the error of estimates by norms of residual and query."""
 
     books: np.ndarray
     parallel: float
@@ -52,7 +54,8 @@ class Quantiser:
         n, d = x.shape
         parts = x.reshape(n, d // WIDTH, WIDTH)
         rng = np.random.default_rng(7)
-        start = parts[rng.integers(0, n, CENTRES)].transpose(1, 0, 2) + rng.normal(0, 1e-6, (d // WIDTH, CENTRES, WIDTH))
+        even = np.argsort(parts[:, :, 0], axis=0)[((np.arange(CENTRES) + 0.5) * n / CENTRES).astype(int)]
+        start = parts[even, np.arange(d // WIDTH)].transpose(1, 0, 2) + rng.normal(0, 1e-6, (d // WIDTH, CENTRES, WIDTH))
         q = cls(start.copy(), max(0.0, (d - 1) * threshold**2 / (1 - threshold**2) - 1))
         norm2 = np.maximum((x**2).sum(1), 1e-30)
         for _ in range(PASSES):
@@ -80,6 +83,9 @@ class Quantiser:
 
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         """Codes (rows, subspaces) by coordinate descent on the anisotropic loss."""
+        return np.concatenate([self._encoded(vectors[k : k + ROWS]) for k in range(0, max(1, len(vectors)), ROWS)])
+
+    def _encoded(self, vectors: np.ndarray) -> np.ndarray:
         x = _padded(vectors)
         n, d = x.shape
         parts = x.reshape(n, d // WIDTH, WIDTH)
@@ -119,6 +125,14 @@ def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
+def candidates(estimate: np.ndarray, errors: np.ndarray, top: int) -> np.ndarray:
+    """Places that may belong to the ``top`` largest: within ``ERRORS`` standard errors of the least of those estimates."""
+    if len(estimate) <= top:
+        return np.arange(len(estimate))
+    first = np.argpartition(estimate, -top)[-top:]
+    return np.flatnonzero(estimate >= estimate[first].min() - ERRORS * np.maximum(errors, errors[first].max()))
+
+
 def scan_block(q: Quantiser, query_ids, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, packed: np.ndarray, top: int) -> pd.DataFrame:
     """The best of a block for each query: a scan of its codes, then exact scores.
 
@@ -126,15 +140,15 @@ def scan_block(q: Quantiser, query_ids, queries: np.ndarray, ids: np.ndarray, ve
     ``top``-th estimate, however many, so groups of near copies are ranked right.  The error is
     a candidate's own, or the largest of the ``top`` estimates' if that is more.
     """
-    found, errors = [], q.errors(vectors, packed)
+    found, errors, packed = [], q.errors(vectors, packed), packed.astype(np.intp)
     for query_id, query in zip(query_ids, queries, strict=True):
-        estimate = np.zeros(len(ids), np.float32)
+        estimate, one = np.zeros(len(ids), np.float32), np.empty(len(ids), np.float32)
         for codes, values in zip(packed, q.tables(query), strict=True):
-            estimate += values[codes]
+            np.take(values, codes, out=one, mode="clip")
+            estimate += one
         estimate[ids == query_id] = -np.inf
-        first = np.argpartition(estimate, -top)[-top:] if len(ids) > top else np.zeros(0, np.int64)
-        margin = ERRORS * np.linalg.norm(query) * np.maximum(errors, errors[first].max(initial=0))
-        near = np.flatnonzero((estimate >= estimate[first].min(initial=np.inf) - margin if len(first) else True) & (ids != query_id))
+        near = candidates(estimate, errors * np.linalg.norm(query), top)
+        near = near[ids[near] != query_id]
         exact = inner_products(vectors[near], query)
         best = np.lexsort((ids[near], -exact))[:top]
         found.append((np.full(len(best), query_id), ids[near][best], exact[best]))
@@ -144,7 +158,8 @@ def scan_block(q: Quantiser, query_ids, queries: np.ndarray, ids: np.ndarray, ve
 
 def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, sample: int = SAMPLE, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """For each query (vec_id, embedding) its ``top`` vectors: query_id, rank, vec_id, score."""
-    vectors, queries = (usable(t.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null")) for t in (vectors, queries))
+    part = takes_part(dimension(vectors))
+    vectors, queries = (t.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter("vec_id is not null").filter(part) for t in (vectors, queries))
     fitted = hashed_sample(vectors, sample)
     schema = "query_id long, vec_id long, score double"
     if not len(fitted):
@@ -163,6 +178,8 @@ def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, sample: int =
         return F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # repeats of a query are one: their lists would fill each other's places
+    queries = queries.dropDuplicates(["vec_id"])
     left = queries.withColumn("qb", block(n_queries, "query")).withColumn("vb", every(n_vectors))
     codes = vectors.mapInPandas(coded, vectors.withColumn("codes", F.lit(b"")).schema)
     right = codes.withColumn("vb", block(n_vectors, "vector")).withColumn("qb", every(n_queries))

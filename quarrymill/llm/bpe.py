@@ -8,22 +8,21 @@ encoding the whole text gives.  Parts of long texts are encoded by different tas
 
 Edge cases: a null text counts as empty and gives no ids; equal texts of any number share one
 encoding when they are long; the special strings of the tokenizer file become their own ids,
-as the tokenizers library has it; texts of any length are encoded whole.
+as the tokenizers library has it; texts of any length are encoded whole; repeated rows each
+stay; an empty table gives no rows; extra columns, whatever their names, come back in ``row``.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import in_small_batches
+from quarrymill.llm.common import slices
 
 #: The pre-token pattern and the printable bytes of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -125,43 +124,35 @@ def _ids_column(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else [], pa.int32()))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about 4 MB of ``column``, so that ids and text fit a small worker."""
-    for batch in batches:
-        rows = max(1, int(batch.num_rows * 4e6 // max(batch.column(column).nbytes, 1)))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", leaf: int = LEAF_CHARS, spread: int = SPREAD_CHARS) -> DataFrame:
-    """``docs`` with the column ``text`` replaced by ``ids`` (array of int).
+def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF_CHARS, spread: int = SPREAD_CHARS) -> DataFrame:
+    """The other columns of ``docs`` as the struct ``row``, and the ``ids`` (array of int) of its column ``text``.
 
     Texts up to ``spread`` characters are encoded where they lie.  Longer ones are encoded once
     for each distinct text: their parts are dealt out over tasks and joined by text hash.
     """
-    others = [c for c in docs.columns if c != text]
-    kept = in_small_batches(docs).select(*others, text)
-    schema = kept.drop(text).withColumn(ids, F.lit(None).cast("array<int>")).schema
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    kept = docs.select(F.struct(*others or [F.lit(None).cast("string").alias("none")]).alias("row"), F.col(text).alias("text"))
+    schema = kept.select("row", F.lit(None).cast("array<int>").alias("ids")).schema
 
     def local(batches):
         enc = load(path)
-        for batch in _slices(batches, text):
-            made = _ids_column([encode_text(enc, t, leaf) for t in batch.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), made], names=[*others, ids])
+        for batch in slices(batches):
+            made = _ids_column([encode_text(enc, t, leaf) for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), made], names=["row", "ids"])
 
-    is_long = F.coalesce(F.length(text) > spread, F.lit(False))
+    is_long = F.coalesce(F.length("text") > spread, F.lit(False))
     near = kept.filter(~is_long).mapInArrow(local, schema)
 
     def parts_of(batches):
         special = list(load(path)._special_tokens)
-        for batch in batches:
+        for batch in slices(batches):
             for key, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 parts = cut(t, leaf, special)
                 yield pa.RecordBatch.from_pydict({"key": [key] * len(parts), "part": pa.array(range(len(parts)), pa.int32()), "text": parts})
 
     def encode_parts(batches):
         enc = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             made = _ids_column([encode_part(enc, t) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("part"), made], names=["key", "part", "ids"])
 
@@ -169,38 +160,43 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", lea
         parts = rows.sort_values("part").ids
         return pd.DataFrame({"key": [key[0]], "ids": [join_all(load(path), [np.asarray(p, np.int32) for p in parts])]})
 
-    long = kept.filter(is_long).withColumn("_key", F.sha2(text, 256))
-    distinct = long.select(F.col("_key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    long = kept.filter(is_long).withColumn("key", F.sha2("text", 256))
+    distinct = long.select("key", "text").dropDuplicates(["key"])
     parts = distinct.mapInArrow(parts_of, "key string, part int, text string").repartition("key", "part")
     whole = parts.mapInArrow(encode_parts, "key string, part int, ids array<int>").groupBy("key").applyInPandas(joined, "key string, ids array<int>")
-    far = long.drop(text).join(whole.select(F.col("key").alias("_key"), F.col("ids").alias(ids)), "_key").select(*others, ids)
-    return near.unionByName(far)
+    return near.unionByName(long.select("row", "key").join(whole, "key").select("row", "ids"))
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``encoded`` with a column ``text`` decoded from ``ids``; of the other columns only ``keep``.
+def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """The other columns of ``encoded`` as the struct ``row``, and the text ``decoded`` from its column ``ids``.
 
     Bytes that are not UTF-8 become replacement characters; null ids give an empty text.
     """
 
     def run(batches):
         enc = load(path)
-        for batch in _slices(batches, ids):
-            column = batch.column(ids)
+        for batch in slices(batches):
+            column = batch.column("ids")
             values, ends = column.values.to_numpy(), column.offsets.to_numpy()
             made = [enc.decode_bytes(values[a:b].tolist()).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.string())], names=[*keep, text])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.string())], names=["row", "decoded"])
+
+    others = [F.col(f"`{c}`") for c in encoded.columns if c != ids]
+    whole = encoded.select(F.struct(*others or [F.lit(None).cast("string").alias("none")]).alias("row"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    return whole.mapInArrow(run, whole.select("row", F.lit("").alias("decoded")).schema)
+
 
-    whole = encoded.withColumn(ids, F.coalesce(ids, F.array().cast("array<int>"))).select(*(c for c in keep if c != ids), ids)
-    return whole.mapInArrow(run, encoded.select(*keep).withColumn(text, F.lit("")).schema)
+def digested(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """For each document: number of tokens, SHA-256 of its ids and of its decoded text, and the ids if asked for."""
+    kept = ["doc_id", "n_tokens", "ids_sha256", *(["token_ids"] if keep_ids else [])]
+    encoded = encode(docs.select("doc_id", "text"), path).select(
+        F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.col("ids").alias("token_ids"), "ids",
+    )
+    out = decode(encoded.select(*kept, "ids"), path).select(*[f"row.{c}" for c in kept], F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.withColumnRenamed("token_ids", "ids")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """For each document: number of tokens, and SHA-256 of its ids and of its decoded text."""
-    encoded = encode(docs.select("doc_id", "text"), path)
-    digested = encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids"
-    )
-    return decode(digested, path, keep=("doc_id", "n_tokens", "ids_sha256")).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    """For each document: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    return digested(docs, path)

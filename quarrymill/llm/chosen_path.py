@@ -3,41 +3,48 @@
 Sets are the five-word shingles of texts, embedded as min-hash sketches.  Each of several runs
 splits the sets recursively: a bucket draws sketch coordinates, 1 / threshold in expectation,
 and deals its members out by their value there.  Buckets that got small, and buckets that hold
-one dense group so that splitting does not help, are compared exactly by brute force, large
-ones in pairs of bounded blocks.  A pair of similarity at least the threshold stays together
-along an expected path or more, so every run finds it with a chance that falls slowly with the
-number of splits.  Every run has coordinates of its own, and runs are added until the chance to
-miss a pair at the threshold after the splits that were needed is within the target recall.
+one dense group so that splitting does not help, are compared by brute force, large ones in
+pairs of bounded blocks.  A pair of similarity at least the threshold stays together along an
+expected path or more, so every run finds it with a chance that falls slowly with the number of
+splits.  Every run has coordinates of its own, and there are as many runs as keep the chance to
+miss a pair at the threshold after the deepest split within the target recall.
+
+Buckets are compared in two passes.  The first has sketches only and leaves out pairs that agree
+in fewer coordinates than a pair at the threshold does by five standard errors; the second gets
+the texts of what is left, in groups of candidates, and compares whole sets exactly.
 
 A pair is compared in one bucket only, the least one that both sets are in; buckets with the
 same members are compared once.  Pairs are counted and reduced to a spanning forest where they
 are found, so groups of copies never become lists of pairs.
 
-Equal texts are one node with a multiplicity, whatever they hold.  Edge cases: null texts count
-as empty; texts without words have no shingles and link with their equals alone; a text of
-fewer than five words is one shingle; rows with a null id are left out; repeated rows are documents of their own that share an id; an
-empty table gives no rows; extra columns are not read.
+Equal texts are one node with a multiplicity; nodes are told apart by a 128-bit hash of the
+text, so ids that repeat with other texts do no harm.  Edge cases: null texts count as empty;
+texts without words have no shingles and link with their equals alone; a text of fewer than five
+words is one shingle; repeated rows, and rows with a null id, are documents of their own; the
+least id of a component counts no nulls (null if there is no other); an empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import checkpointed, hash128, in_small_batches
-from quarrymill.llm.linking import SCHEMA, reported, summed
+from quarrymill.llm.common import checkpointed, hash128, mapped, packed
+from quarrymill.llm.linking import SCHEMA, forest, reported, summed
 from quarrymill.llm.shingles import COORDINATES, mixed, shingle_sets, sketches
 
-#: Least similarity, least share of pairs at it that are found, least number of runs, members of a bucket that is not split, sets in a block of a
-#: larger one about, share of a bucket that stays together in a dense one, and levels at most
-#: (buckets still large then are compared in blocks).
-THRESHOLD, RECALL, RUNS, SMALL, BLOCK, DENSE, LEVELS = 0.8, 0.999, 8, 128, 1024, 0.6, 6
+#: Least similarity, least share of pairs at it that are found, members of a bucket that is not
+#: split, sets in a block of a larger one about, share of a bucket that stays together in a
+#: dense one, and levels at most (buckets still large then are compared in blocks).
+THRESHOLD, RECALL, SMALL, BLOCK, DENSE, LEVELS = 0.8, 0.999, 128, 512, 0.6, 6
+#: Standard errors below the expected agreement of a pair at the threshold that a candidate may
+#: lie, bytes of text compared by a task at once about, and rows of a table that is broadcast.
+ERRORS, PART_BYTES, BROADCAST_ROWS = 5.0, 8_000_000, 500_000
 #: Low bits of a path that hold its run.
 _RUN = np.uint64((1 << 10) - 1)
 
@@ -75,55 +82,55 @@ def children(path: np.ndarray, sketch: np.ndarray, threshold: float = THRESHOLD)
     return np.concatenate(rows), np.concatenate(paths)
 
 
-def _sketched(docs: DataFrame, runs: range) -> DataFrame:
-    """doc_id, text hash, whether there are words, and the sketch for ``runs`` as bytes."""
+def _sketched(docs: DataFrame, runs: int) -> DataFrame:
+    """doc_id, text hash, size, whether there are words, and the sketch for all runs as bytes."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                sketch, some = sketches(part.text.tolist(), runs.start * COORDINATES, len(runs) * COORDINATES)
-                yield pd.DataFrame({"doc_id": part.doc_id, "h1": part.h1, "h2": part.h2, "some": some, "sketch": [x.tobytes() for x in sketch]})
+    def made(part: pd.DataFrame) -> pd.DataFrame:
+        sketch, some = sketches(part.text.tolist(), runs * COORDINATES)
+        return part.drop(columns="text").assign(some=some, sketch=[x.tobytes() for x in sketch])
 
-    return docs.mapInPandas(run, "doc_id long, h1 long, h2 long, some boolean, sketch binary")
+    return mapped(docs, made, "doc_id long, h1 long, h2 long, size long, some boolean, sketch binary")
 
 
-def _matrix(column: pd.Series, runs: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(-1, runs, COORDINATES)
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
-def _split(rows: DataFrame, runs: range, threshold: float) -> DataFrame:
-    """Rows of (parent path, node, sketch) dealt to child paths."""
+def _rooted(nodes: DataFrame, runs: int, threshold: float) -> DataFrame:
+    """The first level of every run: (path, node, the coordinates of the path's run)."""
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                path = batch.path.to_numpy().view(np.uint64)
-                own = _matrix(batch.sketch, len(runs))[np.arange(len(path)), (path & _RUN).astype(np.int64) - runs.start]
-                row, path = children(path, own, threshold)
-                yield pd.DataFrame({"parent": batch.path.to_numpy()[row], "path": path.view(np.int64), "node": batch.node.to_numpy()[row]})
+                sketch, node = _matrix(batch.sketch).reshape(len(batch), runs, COORDINATES), batch.node.to_numpy()
+                for k in range(runs):
+                    root = mixed(np.uint64([k + 1]))[0] & ~_RUN | np.uint64(k)
+                    row, path = children(np.full(len(node), root), sketch[:, k], threshold)
+                    yield pd.DataFrame({"path": path.view(np.int64), "node": node[row], "own": [x.tobytes() for x in sketch[row, k]]})
 
-    return rows.mapInPandas(run, "parent long, path long, node long")
+    return nodes.select("node", "sketch").mapInPandas(run, "path long, node long, own binary")
 
 
-def _rooted(nodes: DataFrame, runs: range, threshold: float) -> DataFrame:
-    """The first level of every run."""
+def _split(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows of (path, node, own) dealt to child paths, with the parent path."""
 
     def run(batches):
         for batch in batches:
             if len(batch):
-                sketch, node = _matrix(batch.sketch, len(runs)), batch.node.to_numpy()
-                for k in runs:
-                    root = mixed(np.uint64([k + 1]))[0] & ~_RUN | np.uint64(k)
-                    row, path = children(np.full(len(node), root), sketch[:, k - runs.start], threshold)
-                    yield pd.DataFrame({"path": path.view(np.int64), "node": node[row]})
+                row, path = children(batch.path.to_numpy().view(np.uint64), _matrix(batch.own), threshold)
+                yield pd.DataFrame({"parent": batch.path.to_numpy()[row], "path": path.view(np.int64), "node": batch.node.to_numpy()[row], "own": batch.own.to_numpy()[row]})
+
+    return rows.mapInPandas(run, "parent long, path long, node long, own binary")
 
-    return nodes.mapInPandas(run, "path long, node long")
 
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of paths, to be broadcast if its rows, counted, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-def _grown(nodes: DataFrame, runs: range, small: int, levels: int, threshold: float) -> tuple[list[DataFrame], list[DataFrame], int]:
-    """Of some runs the finished buckets (path, n, x, y), all (path, node), and the most splits of a path."""
-    now = checkpointed(_rooted(nodes, runs, threshold))
+
+def buckets(nodes: DataFrame, runs: int, small: int = SMALL, levels: int = LEVELS, threshold: float = THRESHOLD) -> DataFrame:
+    """The members of the buckets to compare (path, n, node); of buckets with the same members one."""
+    now = _rooted(nodes, runs, threshold)
     everywhere, done = [], []
     for level in range(levels + 1):
         sizes = checkpointed(
@@ -131,39 +138,101 @@ def _grown(nodes: DataFrame, runs: range, small: int, levels: int, threshold: fl
                 F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "node")).alias("y")
             ).filter("n > 1")
         )
-        everywhere.append(now)
+        everywhere.append(now.select("path", "node"))
         large = sizes.filter(F.col("n") > small)
         if level == levels or large.isEmpty():
             done.append(sizes)
             break
         done.append(sizes.filter(F.col("n") <= small))
-        members = now.join(large.select("path"), "path").join(nodes.select("node", "sketch"), "node").select("path", "node", "sketch")
-        split = checkpointed(_split(members, runs, threshold))
+        split = checkpointed(_split(now.join(_small(large.select("path")), "path"), threshold))
         most = split.groupBy("parent", "path").agg(F.count("*").alias("kept")).groupBy("parent").agg(F.max("kept").alias("kept"))
         judged = checkpointed(large.join(most.withColumnRenamed("parent", "path"), "path"))
         dense = judged.filter(F.col("kept") >= DENSE * F.col("n"))
         done.append(dense.select(*sizes.columns))
-        now = split.join(dense.select(F.col("path").alias("parent")), "parent", "left_anti").select("path", "node")
-        now = checkpointed(now)
-    return done, everywhere, level + 1
+        now = split.join(_small(dense.select(F.col("path").alias("parent"))), "parent", "left_anti").drop("parent")
+    every, members = done[0], everywhere[0]
+    for more in done[1:]:
+        every = every.union(more)
+    for more in everywhere[1:]:
+        members = members.union(more)
+    chosen = checkpointed(every.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n"))
+    return members.join(_small(chosen), "path").select("path", "n", "node")
+
+
+def _met(leaves: pd.Series, leaf: int) -> np.ndarray:
+    """Which rows share a bucket that is less than ``leaf``: they are compared there."""
+    lesser = [np.asarray(x, np.int64) for x in leaves]
+    flat = np.concatenate(lesser)
+    where, good = np.repeat(np.arange(len(lesser)), [len(x) for x in lesser]), flat < leaf
+    names, column, times = np.unique(flat[good], return_inverse=True, return_counts=True)
+    if not len(names) or times.max() < 2:
+        return np.zeros((len(lesser), len(lesser)), bool)
+    place = np.cumsum(times > 1) - 1
+    incidence = np.zeros((len(lesser), place[-1] + 1), np.float32)
+    again = times[column] > 1
+    incidence[where[good][again], place[column[again]]] = 1
+    return incidence @ incidence.T > 0
+
+
+def _pairs_to_meet(rows: pd.DataFrame, leaf: int, low: int, high: int) -> np.ndarray:
+    """Pairs of rows (upper half) that meet in this bucket: in other blocks, and in no lesser bucket."""
+    wanted = np.triu(~_met(rows.leaves, leaf), 1)
+    if low != high:
+        block = rows.block.to_numpy()
+        wanted &= block[:, None] != block[None, :]
+    return wanted
+
 
+CANDIDATES = (
+    "leaf long, low int, high int, part int, label int, chunk int, across boolean, "
+    "node long, doc_id long, h1 long, h2 long, weight long, block int, leaves array<long>"
+)
 
-def buckets(
-    nodes: DataFrame, sketched_again: Callable[[range], DataFrame], runs: int = RUNS, small: int = SMALL, levels: int = LEVELS, recall: float = RECALL, threshold: float = THRESHOLD
-) -> tuple[DataFrame, DataFrame, int]:
-    """The buckets to compare (path, n) without repeats of the same members, (path, node), and the runs made.
 
-    ``nodes`` are sketched for the first ``runs`` runs, ``sketched_again`` sketches them for more.
-    Runs are added until they are enough for the splits that any run so far has needed.
+def _candidates(rows: pd.DataFrame, leaf: int, low: int, high: int, threshold: float) -> pd.DataFrame:
+    """Rows of a bucket, or of two blocks of it, that have a candidate, in parts of bounded bytes.
+
+    Candidates are grouped (``label``).  Small groups share a part; a large one is cut into
+    chunks, with one part for each chunk and each two chunks (``across``).
     """
-    done, everywhere, splits, made = [], [], 0, 0
-    while made < max(runs, needed_runs(splits, recall, threshold)):
-        now = range(made, max(runs, needed_runs(splits, recall, threshold)))
-        more_done, more_everywhere, deepest = _grown(sketched_again(now) if made else nodes, now, small, levels, threshold)
-        done, everywhere, splits, made = done + more_done, everywhere + more_everywhere, max(splits, deepest), now.stop
-    union = functools.partial(functools.reduce, DataFrame.union)
-    chosen = checkpointed(union(done).groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n"))
-    return chosen, union(everywhere).join(chosen, "path").select("path", "n", "node"), made
+    rows = rows.reset_index(drop=True)
+    sketch = _matrix(rows.sketch)
+    agree = np.zeros((len(rows), len(rows)), np.uint16)
+    for k in range(sketch.shape[1]):
+        agree += sketch[:, k, None] == sketch[None, :, k]
+    least = sketch.shape[1] * threshold - ERRORS * math.sqrt(sketch.shape[1] * threshold * (1 - threshold))
+    wanted = np.triu(agree >= least, 1)
+    live = np.flatnonzero(wanted.any(0) | wanted.any(1))
+    wanted = wanted[np.ix_(live, live)] & _pairs_to_meet(rows.iloc[live], leaf, low, high) if len(live) else wanted[:0, :0]
+    a, b = np.nonzero(wanted)
+    if not len(a):
+        return pd.DataFrame()
+    label = forest(a, b, len(live))
+    met = np.unique(np.concatenate([a, b]))
+    order = met[np.argsort(label[met], kind="stable")]
+    size = rows["size"].to_numpy()[live]
+    out, part, filled = [], 0, 0
+
+    def put(at, chunk, across):
+        made = rows.iloc[live[at]][["node", "doc_id", "h1", "h2", "weight", "block", "leaves"]]
+        out.append(made.assign(part=part, label=label[at], chunk=chunk, across=across))
+
+    for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        total = size[group].sum()
+        if filled and filled + total > PART_BYTES:
+            part, filled = part + 1, 0
+        if total <= PART_BYTES:
+            put(group, 0, False)
+            filled += total
+            continue
+        chunks = (np.cumsum(size[group]) - size[group]) // (PART_BYTES // 2)
+        chunks = np.unique(chunks, return_inverse=True)[1]
+        for i in range(chunks.max() + 1):
+            for j in range(i, chunks.max() + 1):
+                at = (chunks == i) | (chunks == j)
+                put(group[at], chunks[at], i != j)
+                part += 1
+    return pd.concat(out).assign(leaf=leaf, low=low, high=high)
 
 
 def _pairs(sets: list[np.ndarray], wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +244,11 @@ def _pairs(sets: list[np.ndarray], wanted: np.ndarray, threshold: float) -> tupl
     size = np.array([len(s) for s in sets])
     low, high = np.minimum.outer(size, size), np.maximum.outer(size, size)
     wanted &= low >= threshold * high - 1e-9
+    if wanted.sum() <= 2 * len(sets):  # few pairs: one by one
+        a, b = np.nonzero(wanted)
+        both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)])
+        close = (1 + threshold) * both >= threshold * (size[a] + size[b]) - 1e-6
+        return a[close], b[close]
     wanted = wanted | wanted.T
     out = []
     live = np.flatnonzero(wanted.any(1))
@@ -210,84 +284,101 @@ def _pairs(sets: list[np.ndarray], wanted: np.ndarray, threshold: float) -> tupl
 
 
 def _compared(rows: pd.DataFrame, leaf: int, low: int, high: int, threshold: float) -> pd.DataFrame:
-    """Links between the sets of a bucket, or of two blocks of it, that no lesser bucket has."""
-    rows = rows.drop_duplicates("node")
-    node, block, weight = rows.node.to_numpy(), rows.block.to_numpy(), rows.weight.to_numpy()
-    wanted = np.triu(np.ones((len(rows), len(rows)), bool), 1)
-    if low != high:
-        wanted &= block[:, None] != block[None, :]
-    lesser = [[x for x in leaves if x < leaf] for leaves in rows.leaves]
-    if any(lesser):
-        flat = np.concatenate([np.asarray(x, np.int64) for x in lesser])
-        where, column = np.repeat(np.arange(len(rows)), [len(x) for x in lesser]), np.unique(flat, return_inverse=True)[1]
-        incidence = np.zeros((len(rows), column.max() + 1), np.float32)
-        incidence[where, column] = 1
-        wanted &= incidence @ incidence.T == 0
-    if not wanted.any():
-        return reported(node, np.zeros(len(node), np.int64), *[np.zeros(0, np.int64)] * 2)
-    a, b = _pairs(shingle_sets(rows.text.tolist()), wanted, threshold)
-    order = np.argsort(node)
-    place = np.empty(len(node), np.int64)
-    place[order] = np.arange(len(node))
-    counts = np.zeros(len(node), np.int64)
-    np.add.at(counts, place[a], weight[b])
-    np.add.at(counts, place[b], weight[a])
-    return reported(node[order], counts, place[a], place[b])
-
-
-def jaccard_join(
-    docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, block: int = BLOCK, levels: int = LEVELS, recall: float = RECALL
-) -> DataFrame:
-    """One row for each document: doc_id, n_links, component_id (least id reached) and kept.
-
-    A document's links are the other documents of similarity at least ``threshold``, copies
-    among them; ``kept`` marks the documents whose id is their component's.
-    """
-    h1, h2 = hash128(F.coalesce("text", F.lit("")))
-    rows = in_small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), "text")
-    sketched = checkpointed(_sketched(rows, range(runs)))
-    grouped = sketched.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"), F.first("some").alias("some")
+    """The links of a part of a bucket, found by comparing whole sets within each group."""
+    rows = rows.drop_duplicates("node").sort_values("label", kind="stable").reset_index(drop=True)
+    node, weight, counts = rows.node.to_numpy(), rows.weight.to_numpy(), np.zeros(len(rows), np.int64)
+    sets, links = shingle_sets(rows.text.tolist()), ([], [])
+    for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows.label)) + 1):
+        wanted = _pairs_to_meet(rows.iloc[at], leaf, low, high)
+        if rows.across.iloc[at[0]]:
+            chunk = rows.chunk.to_numpy()[at]
+            wanted &= chunk[:, None] != chunk[None, :]
+        a, b = _pairs([sets[k] for k in at], wanted, threshold)
+        a, b = at[a], at[b]
+        np.add.at(counts, a, weight[b])
+        np.add.at(counts, b, weight[a])
+        links[0].append(a)
+        links[1].append(b)
+    return reported(node, counts, *(np.concatenate(x) for x in links))
+
+
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, block: int = BLOCK, levels: int = LEVELS, recall: float = RECALL) -> DataFrame:
+    """One row for each distinct text: h1, h2, low (its least id), weight (its rows), n_links,
+    component (a number) and component_id (the least id in it)."""
+    runs = needed_runs(levels + 1, recall, threshold)
+    h1, h2 = hash128(_text())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.octet_length(_text()).cast("long").alias("size"), "text")
+    grouped = _sketched(rows, runs).groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("some").alias("some"), F.first("sketch").alias("sketch")
     )
-    nodes = checkpointed(grouped)
-
-    def sketched_again(more: range) -> DataFrame:
-        """One row of each node, sketched for more runs."""
-        own = rows.join(nodes.filter("some").select(F.col("node").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"])
-        return checkpointed(_sketched(own, more).groupBy(F.col("doc_id").alias("node"), "h1", "h2").agg(F.first("sketch").alias("sketch")))
-
-    chosen, members, _ = buckets(nodes.filter("some"), sketched_again, runs, small, levels, recall, threshold)
+    # numbers are given once, in what the checkpoint holds
+    nodes = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
+    members = buckets(nodes.filter("some"), runs, small, levels, threshold)
     leaves = members.groupBy("node").agg(F.collect_list(F.struct("path", "n")).alias("leaves"))
-    wanted = nodes.select("node", "h1", "h2", "weight").join(leaves, "node")
-    texts = rows.select(F.col("doc_id").alias("node"), "h1", "h2", "text").join(wanted, ["node", "h1", "h2"])
-    place = F.xxhash64(F.lit("block"), "node")
     dealt = (
-        texts.withColumns({"leaf": F.explode("leaves")})
+        nodes.join(leaves, "node")
+        .withColumns({"leaf": F.explode("leaves"), "place": F.xxhash64(F.lit("block"), "h1", "h2")})
         .withColumn("blocks", (1 + F.floor(F.col("leaf.n") / block)).cast("int"))
-        .withColumn("block", F.pmod(place, F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod("place", F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             F.col("leaf.path").alias("leaf"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-            "node", "block", "weight", F.transform("leaves", lambda x: x["path"]).alias("leaves"), "text",
+            "node", F.col("low").alias("doc_id"), "h1", "h2", "weight", "size", "block", F.transform("leaves", lambda x: x["path"]).alias("leaves"), "sketch",
         )
     )
 
+    def candidates(key, part):
+        found, names = _candidates(part, *map(int, key), threshold), [x.split()[0] for x in CANDIDATES.split(", ")]
+        return found[names] if len(found) else pd.DataFrame(columns=names, dtype=object)
+
     def compared(key, part):
-        return _compared(part, *map(int, key), threshold)
-
-    counts, components = summed(dealt.groupBy("leaf", "low", "high").applyInPandas(compared, SCHEMA))
-    found = nodes.select("h1", "h2", "node", "weight").join(counts, "node", "left").join(components, "node", "left")
-    found = found.select("h1", "h2", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    known = sketched.select("doc_id", "h1", "h2").join(found, ["h1", "h2"], "left")
-    return known.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
-        "kept", F.col("doc_id") == F.col("component_id")
+        return _compared(part, *map(int, key[:3]), threshold)
+
+    live = checkpointed(dealt.groupBy("leaf", "low", "high").applyInPandas(candidates, CANDIDATES))
+    # one row of each text, the one with its least id
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    texts = rows.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "text")
+    filled = live.join(texts, same).drop("_id", "_h1", "_h2", "doc_id", "h1", "h2")
+    counts, components = summed(filled.groupBy("leaf", "low", "high", "part").applyInPandas(compared, SCHEMA))
+    found = nodes.select("h1", "h2", "node", "low", "weight").join(counts, "node", "left").join(components, "node", "left")
+    found = checkpointed(
+        found.select("h1", "h2", "low", "weight", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
+    return found.join(found.groupBy("component").agg(F.min("low").alias("component_id")), "component")
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """One row for each document: doc_id, n_links, component_id (least id reached) and kept.
+
+    A document's links are the other documents of similarity at least ``threshold``, copies
+    among them; ``kept`` marks the documents whose id is their component's.
+    """
+    h1, h2 = hash128(_text())
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2")).join(linked(docs, **options), ["h1", "h2"])
+    return known.select("doc_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_unique(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with all its columns, less near copies: of each component its least id stays."""
-    gone = jaccard_join(docs, **options).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` with all its columns, less near copies: one row of each component stays.
+
+    It is a row of the component's least id (nulls last); of several texts with that id the one
+    with the least hash stays, and of repeats of that row one.
+    """
+    h1, h2 = hash128(_text())
+    keyed = packed(docs, id=F.col("doc_id").cast("long"), h1=h1, h2=h2)
+    first = linked(docs, **options).groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("last"), "low", "h1", "h2")).alias("first")).select("first.*")
+    rows = keyed.groupBy("id", "h1", "h2").agg(F.count("*").alias("rows")).filter("rows > 1").withColumnRenamed("id", "low")
+    same = F.col("first.low").eqNullSafe(F.col("again.low")) & (F.col("first.h1") == F.col("again.h1")) & (F.col("first.h2") == F.col("again.h2"))
+    first = first.alias("first").join(rows.alias("again"), same, "left").select(
+        F.col("first.low").alias("_low"), F.col("first.h1").alias("_h1"), F.col("first.h2").alias("_h2"), F.col("rows").isNotNull().alias("repeated")
+    )
+    kept = keyed.join(first, F.col("id").eqNullSafe(F.col("_low")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    once = kept.filter("repeated").dropDuplicates(["_h1", "_h2"])
+    return kept.filter("not repeated").select("row.*").union(once.select("row.*"))
 
 
 #: The same in DuckDB, over the view ``documents``.

@@ -1,14 +1,22 @@
-"""Helpers shared by the operators: table access, lineage cuts, hashing and ranking."""
+"""Helpers shared by the operators: table access, lineage cuts, hashing, ranking and batches."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bits that ``monotonically_increasing_id`` leaves for the position inside a partition.
 _POSITION_BITS = 33
+#: Bytes of a batch that a Python worker turns into objects at a time.
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,25 +24,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, after its session was told to send Python workers at most ``rows`` rows at once.
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of ``df`` as the struct ``row``, with further columns beside it.
 
-    Texts are long; the default of 10,000 rows makes batches that crowd small executors.
+    Whatever the columns of ``df`` are called, they cannot clash with those that an operator
+    adds; ``select("row.*")`` gives them back as they were.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+    return df.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``size`` bytes, as long texts would crowd a small worker."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def mapped(df: DataFrame, made: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType, size: int = SLICE_BYTES) -> DataFrame:
+    """``made`` applied to ``df`` in pieces of about ``size`` bytes (nullable integers stay integers)."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in slices(batches, size):
+            part = batch.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
+            yield pa.RecordBatch.from_pandas(made(part), arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where the session names none
-    (tests on one machine) is a temporary one made.
+    The folder is the one in ``spark.checkpoint.dir``.  Only where the session names none and
+    runs in one process (tests) is a temporary one made; a cluster without one is an error,
+    because its machines do not share local folders.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrymill-"))
     return df.checkpoint(eager=True)
 

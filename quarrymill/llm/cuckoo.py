@@ -86,13 +86,26 @@ class CuckooFilter:
         return found
 
     def delete(self, first: np.ndarray, second: np.ndarray) -> int:
-        """Takes one copy of each key out; keys must have been inserted. Returns how many were."""
+        """Takes one copy of each key out; keys must have been inserted. Returns how many were.
+
+        In a round every key points at a slot with its fingerprint; of keys that point at the
+        same slot one takes it, and the others look again.
+        """
         mark, gone = self._print(second), 0
-        for k in range(len(first)):
-            for table in self.tables:
-                spots = [(b[k], s) for b in self._places(first, mark, table) for s in np.flatnonzero(table[b[k]] == mark[k])]
-                if spots:
-                    table[spots[0]] = 0
-                    gone += 1
-                    break
+        for table in self.tables:
+            for which in (0, 1):
+                while len(first):
+                    bucket = self._places(first, mark, table)[which]
+                    match = table[bucket] == mark[:, None]
+                    slot = bucket * SLOTS + match.argmax(1)
+                    hit = np.flatnonzero(match.any(1))
+                    if not len(hit):
+                        break
+                    _, one = np.unique(slot[hit], return_index=True)
+                    taken = hit[one]
+                    table.reshape(-1)[slot[taken]] = 0
+                    gone += len(taken)
+                    left = np.ones(len(first), bool)
+                    left[taken] = False
+                    first, mark = first[left], mark[left]
         return gone

@@ -8,7 +8,7 @@ that filters on any of them skip files.
 Only DataFrame functions are used.  Edge cases: a null in a dimension takes coordinate 0; a
 null text has size 8 and the checksum of the empty text; repeated rows get a slot each, ties
 are broken by text checksum and ``doc_id``; an empty table gives no rows; other columns are
-not read.
+not read.  Strings are compared whole, so values that begin alike stay apart.
 """
 
 from __future__ import annotations
@@ -16,15 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.llm.common import checkpointed, packed
+
 #: Bits for each dimension, the shards cut, and leading bits of the index that name a stretch.
 BITS, SHARDS, STRETCH_BITS = 5, 24, 16
 
 
-def order_code(text: Column) -> Column:
-    """A number that sorts as the first seven bytes of a string do."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-
-
 def hilbert_index(coordinates: Column, dims: int, bits: int) -> Column:
     """Index on the Hilbert curve of an array of ``dims`` integers below 2**bits.
 
@@ -69,18 +66,39 @@ def hilbert_index(coordinates: Column, dims: int, bits: int) -> Column:
     return F.get(F.transform(F.array(grayed), packed), F.lit(0))
 
 
-def quantised(value: Column, cuts: list[float]) -> Column:
+def quantised(value: Column, cuts: list) -> Column:
     """Number of cut points at or below the value: its coordinate (0 for null)."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.coalesce(value.cast("double"), F.lit(float("-inf")))))
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)), F.lit(0))
 
 
-def cut_points(rows: DataFrame, dims: list[str], bits: int) -> list[list[float]]:
-    """For each dimension at most 2**bits - 1 distinct approximate quantiles (all the driver sees)."""
+def _string_cuts(rows: DataFrame, name: str, bits: int) -> list[str]:
+    """Strings that begin each of 2**bits equal shares of the rows, whole values compared.
+
+    Distinct values are range-sorted with their counts; the driver sees one sum for each
+    partition and at most 2**bits - 1 values.
+    """
+    counts = rows.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    ranked = checkpointed(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    sums, before, total = {r["part"]: r["n"] for r in ranked.groupBy("part").agg(F.sum("n").alias("n")).collect()}, [], 0
+    for k in range(max(sums, default=-1) + 1):
+        before.append(total)
+        total += sums.get(k, 0)
+    start = F.get(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.col("part"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    share = F.floor((start + inside) * (1 << bits) / F.lit(max(total, 1))).cast("int")
+    found = ranked.select("value", share.alias("share")).filter("share > 0").groupBy("share").agg(F.min("value").alias("value")).collect()
+    return sorted((r["value"] for r in found), key=lambda v: v.encode())
+
+
+def cut_points(rows: DataFrame, dims: list[str], bits: int) -> list[list]:
+    """For each dimension at most 2**bits - 1 distinct quantiles: approximate ones of numbers, exact ones of strings."""
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = rows.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(d) for d in dims]).first()
-    return [sorted(set(found[d] or [])) for d in dims]
+    text = [d for d in dims if rows.schema[d].dataType.simpleString() == "string"]
+    numbers = [d for d in dims if d not in text]
+    found = rows.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(d) for d in numbers]).first() if numbers else {}
+    return [_string_cuts(rows, d, bits) if d in text else sorted(set(found[d] or [])) for d in dims]
 
 
 def in_runs(rank: Column, total: int, shards: int) -> tuple[Column, Column]:
@@ -94,37 +112,43 @@ def in_runs(rank: Column, total: int, shards: int) -> tuple[Column, Column]:
 
 
 def sharded(rows: DataFrame, dims: dict[str, Column], tie: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """``rows`` with ``hilbert``, ``shard`` and ``slot``; ``dims`` names numeric expressions.
+    """All columns of ``rows`` as the struct ``row``, with ``hilbert``, ``shard`` and ``slot``.
 
-    A row's place is that of its stretch of the curve, from the stretches' counts (at most
-    2**STRETCH_BITS rows, whatever the input), plus its place among the stretch's rows.  As
+    ``dims`` names expressions, numbers or strings; rows of one index are ordered by the columns
+    ``tie``.  A row's place is that of its stretch of the curve, from the stretches' counts (at
+    most 2**STRETCH_BITS rows, whatever the input), plus its place among the stretch's rows.  As
     dimensions are cut at their own quantiles, a frequent value of one is spread by the others.
-    All columns of ``rows`` are dealt out by stretch, so pass keys and sizes rather than texts.
+    All columns of ``rows`` are checkpointed and dealt out by stretch, so pass keys and sizes
+    rather than texts.
     """
-    names = [f"_dim{k}" for k in range(len(dims))]
-    measured = rows.withColumns(dict(zip(names, dims.values(), strict=True)))
+    names = [f"dim{k}" for k in range(len(dims))]
+    numbers = {"double", "string"}
+    measured = packed(rows, **dict(zip(names, dims.values(), strict=True)))
+    measured = checkpointed(
+        measured.select("row", *[F.col(n) if measured.schema[n].dataType.simpleString() in numbers else F.col(n).cast("double").alias(n) for n in names])
+    )
     cuts = cut_points(measured, names, bits)
     coordinates = F.array(*[quantised(F.col(n), c) for n, c in zip(names, cuts, strict=True)])
-    indexed = measured.withColumn("hilbert", hilbert_index(coordinates, len(names), bits)).drop(*names)
-    indexed = indexed.withColumn("_stretch", F.shiftright("hilbert", max(0, len(names) * bits - STRETCH_BITS)))
-    counts = indexed.groupBy("_stretch").agg(F.count("*").alias("_n"))
-    along = Window.orderBy("_stretch")
-    before = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    placed = counts.withColumn("_before", before)
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    inside = F.row_number().over(Window.partitionBy("_stretch").orderBy("hilbert", *tie)) - 1
-    ranked = indexed.withColumn("_at", inside).join(F.broadcast(placed.select("_stretch", "_before")), "_stretch")
-    shard, slot = in_runs(F.col("_before") + F.col("_at"), total, shards)
-    return ranked.withColumns({"shard": shard, "slot": slot}).drop("_stretch", "_at", "_before")
+    indexed = measured.select("row", hilbert_index(coordinates, len(names), bits).alias("hilbert"))
+    indexed = checkpointed(indexed.withColumn("stretch", F.shiftright("hilbert", max(0, len(names) * bits - STRETCH_BITS))))
+    counts = indexed.groupBy("stretch").agg(F.count("*").alias("n"))
+    along = Window.orderBy("stretch")
+    before = F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    placed = counts.select("stretch", before.alias("before"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    inside = F.row_number().over(Window.partitionBy("stretch").orderBy("hilbert", *[f"row.{t}" for t in tie])) - 1
+    ranked = indexed.withColumn("at", inside).join(F.broadcast(placed), "stretch")
+    shard, slot = in_runs(F.col("before") + F.col("at"), total, shards)
+    return ranked.select("row", "hilbert", shard.alias("shard"), slot.alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Documents by source, language, length and id, cut into ``shards`` runs (law ``rows``)."""
+    """Documents by source, language, length and id, cut into ``shards`` runs (law ``rows``); texts are read once."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(
         "doc_id", "source", "lang", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    dims = {"source": order_code(F.col("source")), "lang": order_code(F.col("lang")), "size": F.col("size"), "doc_id": F.col("doc_id")}
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.col("size"), "doc_id": F.col("doc_id")}
     return sharded(slim, dims, ["text_crc32", "doc_id"], shards).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )

@@ -27,7 +27,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quarrymill.llm.common import in_small_batches
+from quarrymill.llm.common import mapped
 
 WORD = re.compile(r"[^\W_]+")
 #: Least share of a template's words to report it.
@@ -244,15 +244,14 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
     """One row for each document: its best license with coverage and place, and all licenses."""
     scanner = Scanner(templates, coverage)
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                found = scanner.scan(text)
-                name, share, first, last = found[0] if found else (None, 0.0, None, None)
-                rows.append((doc_id, name, share, first, last, ",".join(x[0] for x in found)))
-            made = pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "first_word", "last_word", "licenses"])
-            yield made.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+    def made(part: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for doc_id, text in zip(part.doc_id, part.text, strict=True):
+            found = scanner.scan(text)
+            name, share, first, last = found[0] if found else (None, 0.0, None, None)
+            rows.append((doc_id, name, share, first, last, ",".join(x[0] for x in found)))
+        out = pd.DataFrame(rows, columns=["doc_id", "license", "coverage", "first_word", "last_word", "licenses"])
+        return out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 
     schema = "doc_id long, license string, coverage double, first_word long, last_word long, licenses string"
-    return in_small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, schema)
+    return mapped(docs.selectExpr("cast(doc_id as long) doc_id", "text"), made, schema)

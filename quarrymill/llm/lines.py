@@ -10,7 +10,8 @@ document that holds it.
 Edge cases: null and empty texts are one empty line; documents with a null id keep all lines
 and count nowhere; rows that repeat an id are one document, each row keeps its own text; a line
 of one document that repeats inside it is not shared; keys have whole lines of any length;
-extra columns are not read by the index and stay untouched by ``without_shared``.
+an empty table gives no rows; extra columns are not read by the index and, whatever their names,
+come back untouched in ``row``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import checkpointed, hash128
+from quarrymill.llm.common import checkpointed, hash128, packed
 from quarrymill.llm.cuckoo import CuckooFilter
 
 #: Least code points of a key, keys in a shard's filter about, and lines probed by a task about.
@@ -84,7 +85,11 @@ class LineIndex:
 
     @classmethod
     def of(cls, postings: DataFrame, shards: int | None = None) -> LineIndex:
-        shared = checkpointed(shared_keys(postings))
+        return cls._sharded(postings, checkpointed(shared_keys(postings)), shards)
+
+    @classmethod
+    def _sharded(cls, postings: DataFrame, shared: DataFrame, shards: int | None = None) -> LineIndex:
+        """The index with filters made anew, for as many shards as the shared keys need."""
         shards = shards or 1 + shared.count() // SHARD_KEYS
 
         def made(key, rows):
@@ -105,10 +110,11 @@ class LineIndex:
         known = next((r["shards"] for r in (p.select("shards").first() for p in reversed(parts)) if r), 1)
         return cls(*(p.drop("shards") for p in parts), known)
 
-    def _updated(self, postings: DataFrame, touched: DataFrame) -> LineIndex:
+    def _updated(self, postings: DataFrame, touched: DataFrame, shard_keys: int = SHARD_KEYS) -> LineIndex:
         """The index over new postings, when only keys of ``touched`` may have changed.
 
         Counts are taken for touched keys alone; filters change by the keys that crossed two.
+        Where shards hold more than twice ``shard_keys`` keys, they are dealt out anew.
         """
         touched = checkpointed(touched.select("h1", "h2").distinct())
         now = checkpointed(shared_keys(postings.join(touched, ["h1", "h2"], "left_semi")))
@@ -127,14 +133,16 @@ class LineIndex:
             cuckoo.insert(h1[add], h2[add])
             return _filter_rows(int(key[0]), cuckoo)
 
+        shared = checkpointed(self.shared.join(touched, ["h1", "h2"], "left_anti").union(now.select(*self.shared.columns)))
+        if shared.count() > 2 * self.shards * shard_keys:  # shards have outgrown a task
+            return LineIndex._sharded(postings, shared, 1 + shared.count() // shard_keys)
         filters = self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(changed, FILTER_SCHEMA)
-        shared = self.shared.join(touched, ["h1", "h2"], "left_anti").union(now.select(*self.shared.columns))
-        return LineIndex(postings, checkpointed(shared), checkpointed(filters), self.shards)
+        return LineIndex(postings, shared, checkpointed(filters), self.shards)
 
-    def insert(self, docs: DataFrame) -> LineIndex:
+    def insert(self, docs: DataFrame, shard_keys: int = SHARD_KEYS) -> LineIndex:
         """With the documents added; an id already present gets the further lines."""
         new = checkpointed(postings_of(docs))
-        return self._updated(self.postings.union(new), new)
+        return self._updated(self.postings.union(new), new, shard_keys)
 
     def remove(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents whose ``doc_id`` is given."""
@@ -181,23 +189,22 @@ def _kept(text: pd.Series, drop: pd.Series) -> pd.Series:
 
 
 def without_shared(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
-    """``docs`` with ``kept`` (text without shared lines), ``n_lines`` and ``n_dropped``."""
+    """All columns of ``docs`` as the struct ``row``, with ``kept`` (its text without shared lines), ``n_lines`` and ``n_dropped``."""
     index = index or LineIndex.build(docs)
     text = F.coalesce("text", F.lit(""))
-    drops = index.dropped().select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "drop")
-    joined = docs.withColumn("_text_row", F.xxhash64(text)).join(drops, (F.col("doc_id") == F.col("_id")) & (F.col("_text_row") == F.col("_row")), "left")
-    some = joined.filter("drop is not null").withColumn("kept", F.pandas_udf(_kept, "string")("text", "drop"))
+    drops = index.dropped().withColumnsRenamed({"doc_id": "drop_id", "row": "drop_row"})
+    keyed = packed(docs, id=F.col("doc_id"), text_row=F.xxhash64(text))
+    text = F.coalesce("row.text", F.lit(""))
+    joined = keyed.join(drops, (F.col("id") == F.col("drop_id")) & (F.col("text_row") == F.col("drop_row")), "left")
+    some = joined.filter("drop is not null").withColumn("kept", F.pandas_udf(_kept, "string")("row.text", "drop"))
     none = joined.filter("drop is null").withColumn("kept", text)
-    return (
-        some.union(none)
-        .withColumns({"n_lines": F.size(F.split(text, "\n", -1)).cast("long"), "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long")})
-        .drop("_id", "_row", "_text_row", "drop")
-    )
+    counts = (F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return some.select("row", "kept", *counts).union(none.select("row", "kept", *counts))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     out = without_shared(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 #: The same in DuckDB, over the view ``documents``.

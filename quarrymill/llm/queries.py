@@ -36,8 +36,9 @@ def op3_vector_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # texts are read once: what is left of them is a count
     docs = checkpointed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.token_count(F.col("text")).alias("tokens")))
-    with_topics = docs.join(mixing.topics(table(spark, sf_dir, "embeddings")), "doc_id", "left")
-    return mixing.mixed(with_topics, F.col("tokens"))
+    dims = {"source": F.col("row.source"), "lang": F.col("row.lang"), "topic": F.col("topic")}
+    out = mixing.mixed(mixing.with_topics(docs, table(spark, sf_dir, "embeddings")), F.col("row.tokens"), dims)
+    return out.select("row.doc_id", "source", "lang", "topic", "tokens", "probability", "weight", "kept")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ with the message they reply to and their place in reply order.
 Only DataFrame functions are used.  Edge cases: null or empty texts have an empty body and no
 quotes; a message without ``conv_id`` or ``turn`` loses its quotes but links to nothing;
 repeated rows each stay; a passage that no earlier message holds stays unlinked; extra columns
-are not read.  Passages are matched on whole runs first, then on single lines.
+are not read.  A passage is matched as a whole run first; else it belongs to the earlier message
+that holds most of its lines, if those are at least half of its lines that are not blank (a line
+counts for the first message that holds it; of equal shares the earlier message wins).
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from quarrymill.llm.common import checkpointed, globally_ranked
 
 #: Fixed value: quote markers at the start of a line, at most three blanks before each.
 MARKERS = r"^(?:[ \t]{0,3}>)+"
+#: Least share of a passage's lines that the message it is linked to must hold.
+LINE_SHARE = 0.5
 
 
 def line_level(line: Column) -> Column:
@@ -38,14 +42,19 @@ def passage_key(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Messages with ``runs`` (array of level and text, in order) and ``body``."""
-    split = messages.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    """Messages (conv_id, turn, role, text) with ``runs`` (array of level and text, in order) and ``body``.
+
+    Messages without a marked line are one run of their own text and are not taken apart.
+    """
+    text = F.coalesce("text", F.lit(""))
+    lines = F.when(text.rlike("(?m)" + MARKERS), F.split(text, "\n"))
+    split = messages.select("conv_id", "turn", "role", text.alias("text"), lines.alias("_lines"))
     levelled = split.withColumns({"_levels": F.transform("_lines", line_level), "_contents": F.transform("_lines", line_content)})
     starts = F.filter(
         F.sequence(F.lit(0), F.size("_levels") - 1),
         lambda k: (k == 0) | (F.get("_levels", k) != F.coalesce(F.get("_levels", k - 1), F.lit(-1))),
     )
-    runs = F.transform(
+    taken = F.transform(
         F.sequence(F.lit(0), F.size("_starts") - 1),
         lambda k: F.struct(
             F.get("_levels", F.get("_starts", k)).alias("level"),
@@ -54,10 +63,11 @@ def parsed(messages: DataFrame) -> DataFrame:
             ).alias("text"),
         ),
     )
+    runs = F.when(F.col("_lines").isNotNull(), taken).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.col("text").alias("text"))))
     own = F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["text"]), "\n")
-    quoted = F.exists("runs", lambda r: r["level"] > 0)
-    body = F.when(quoted, F.regexp_replace(own, r"^\s*\n|\s+$", "")).otherwise(F.coalesce("text", F.lit("")))
-    return levelled.withColumn("_starts", starts).withColumn("runs", runs).withColumn("body", body).drop("_lines", "_levels", "_contents", "_starts")
+    body = F.when(F.exists("runs", lambda r: r["level"] > 0), F.regexp_replace(own, r"^\s*\n|\s+$", "")).otherwise(F.col("text"))
+    starting = F.when(F.col("_lines").isNotNull(), starts)
+    return levelled.withColumn("_starts", starting).withColumn("runs", runs).withColumn("body", body).drop("_lines", "_levels", "_contents", "_starts")
 
 
 def _keys(text: Column) -> Column:
@@ -90,9 +100,16 @@ def quote_links(messages: DataFrame) -> DataFrame:
         .agg(F.min("turn").alias("source_turn"))
     )
     found = quoted.join(holders, ["conv_id", "key"], "left").withColumn("source_turn", F.when(F.col("source_turn") < F.col("turn"), F.col("source_turn")))
-    return found.groupBy("conv_id", "turn", "message", "place", "level").agg(
-        F.min(F.when(F.col("source_turn").isNotNull(), F.struct("preference", "source_turn")))["source_turn"].alias("source_turn")
+    passage = ["conv_id", "turn", "message", "place", "level"]
+    votes = found.groupBy(*passage, "source_turn").agg(F.count_if(F.col("preference") == 0).alias("whole"), F.count_if(F.col("preference") > 0).alias("lines"))
+    linked = F.col("source_turn").isNotNull()
+    best = votes.groupBy(*passage).agg(
+        F.min(F.when(linked & (F.col("whole") > 0), F.col("source_turn"))).alias("whole"),
+        F.min(F.when(linked & (F.col("lines") > 0), F.struct((-F.col("lines")).alias("n"), "source_turn"))).alias("most"),
+        F.sum("lines").alias("lines"),
     )
+    by_lines = F.when(-F.col("most.n") >= LINE_SHARE * F.col("lines"), F.col("most.source_turn"))
+    return best.select(*passage, F.coalesce("whole", by_lines).alias("source_turn"))
 
 
 def _threads(replies: DataFrame) -> DataFrame:
@@ -155,9 +172,14 @@ keys AS (SELECT rid, place, level, run, unnest(list_concat([run], contents)) AS
 plain AS (SELECT keys.*, conv_id, turn, lower(trim(regexp_replace(k, '\s+', ' ', 'g'))) AS key FROM keys JOIN m USING (rid)),
 holders AS (SELECT conv_id, key, min(turn) AS source_turn FROM plain WHERE level = 0 AND key <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
 links AS (
-  SELECT p.rid, place, level, arg_min(source_turn, preference) FILTER (WHERE source_turn < turn) AS source_turn
-  FROM plain p LEFT JOIN holders h ON h.conv_id = p.conv_id AND h.key = p.key
-  WHERE level > 0 AND p.key <> '' AND trim(regexp_replace(run, '\s+', ' ', 'g')) <> '' GROUP BY 1, 2, 3
+  SELECT rid, place, level, coalesce(min(source_turn) FILTER (WHERE whole > 0), CASE WHEN 2 * max(n) FILTER (WHERE source_turn IS NOT NULL) >= sum(n)
+           THEN arg_min(source_turn, -n * 1000000 + source_turn) FILTER (WHERE source_turn IS NOT NULL AND n > 0) END) AS source_turn
+  FROM (
+    SELECT p.rid, place, level, CASE WHEN source_turn < turn THEN source_turn END AS source_turn,
+           count(*) FILTER (WHERE preference = 0) AS whole, count(*) FILTER (WHERE preference > 0) AS n
+    FROM plain p LEFT JOIN holders h ON h.conv_id = p.conv_id AND h.key = p.key
+    WHERE level > 0 AND p.key <> '' AND trim(regexp_replace(run, '\s+', ' ', 'g')) <> '' GROUP BY 1, 2, 3, 4
+  ) GROUP BY 1, 2, 3
 ), per AS (
   SELECT rid, count(*) AS n_quotes, count(source_turn) AS n_linked, arg_min(source_turn, level * 1000000 + place) FILTER (WHERE source_turn IS NOT NULL) AS reply_to FROM links GROUP BY 1
 ), replies AS (SELECT conv_id, turn, min(reply_to) AS up FROM per JOIN m USING (rid) WHERE reply_to IS NOT NULL GROUP BY 1, 2),

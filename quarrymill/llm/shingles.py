@@ -85,23 +85,23 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def sketches(texts: list[str | None], first: int = 0, count: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches (texts, coordinates from ``first`` on), and whether each text has a word (else its sketch is 0).
+def sketches(texts: list[str | None], count: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches (texts, ``count`` coordinates), and whether each text has a word (else its sketch is 0).
 
     Coordinate k is the least of a text's shingle hashes times the k-th odd number, so two texts
-    agree in it with a probability of their Jaccard similarity.  Of the hashes the high 32 bits
-    are used: equal minima stay equal, and different ones hardly ever agree.
+    agree in it with a probability of their Jaccard similarity.  Of the least number the low 16
+    bits are kept: equal minima stay equal, and of different ones one in 65,536 agree.
     """
-    odd = (mixed(np.arange(first, first + count, dtype=np.uint64) + np.uint64(20240229)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    odd = (mixed(np.arange(count, dtype=np.uint64) + np.uint64(20240229)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     parts, some = [], []
     for rows in _chunks(texts):
         values, counts = _hashed(rows)
         values, full = (values >> np.uint64(32)).astype(np.uint32), counts > 0
-        sketch = np.zeros((len(rows), count), np.uint32)
+        sketch = np.zeros((len(rows), count), np.uint16)
         if full.any():
             starts = (np.cumsum(counts) - counts)[full]
             for k in range(count):
-                sketch[full, k] = np.minimum.reduceat(values * odd[k], starts)
+                sketch[full, k] = np.minimum.reduceat(values * odd[k], starts).astype(np.uint16)
         parts.append(sketch)
         some.append(full)
-    return np.concatenate(parts) if parts else np.zeros((0, count), np.uint32), np.concatenate(some) if some else np.zeros(0, bool)
+    return np.concatenate(parts) if parts else np.zeros((0, count), np.uint16), np.concatenate(some) if some else np.zeros(0, bool)

@@ -1,14 +1,20 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-A bounded sample of labelled documents gives log-odds of words and word beginnings under
-Dirichlet priors.  Every text is read as a row of word scores, all maximal scoring segments are
-found in linear time (Ruzzo and Tompa, 1999), and extreme-value statistics (Karlin and
-Altschul, 1990) turn segment sums into excesses that do not depend on the text's length.  A
-logistic curve fitted on the same sample maps a text's total excess to a score in [0, 1].
+A bounded sample of labelled documents gives every word a log-odds ratio of toxic and other
+documents under a Dirichlet prior: a word's prior is the estimate of its longest known
+beginning, that one's of the next shorter, and the first's the share of all toxic documents.
+Words of both kinds of evidence count, and words never seen are read by their beginnings.  A
+constant is taken off every word's ratio so that words without evidence end a passage.  All
+maximal scoring segments of a text are found in linear time (Ruzzo and Tompa, 1999), and
+extreme-value statistics (Karlin and Altschul, 1990) turn segment sums into excesses over what
+chance gives a text of that length.  A logistic curve over the best sum, the total excess and
+the length maps a text to a score in [0, 1].  When documents of the sample are scored to fit
+rate and curve, their own counts are left out.
 
 Edge cases: null and empty texts have no words and the score of no evidence; repeated rows
 score alike; labels for unknown documents, and null labels, are ignored; without any labelled
-document of either kind every score is 0; extra columns are not read.
+document of either kind every score is 0; an empty table gives no rows; extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -20,61 +26,99 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import in_small_batches
+from quarrymill.llm.common import checkpointed, mapped, packed, slices
 
 #: Labelled documents to fit on at most, chosen by a hash of their id.
 SAMPLE = 20_000
 #: Lengths of word beginnings used beside whole words.
-BEGINNINGS = (4, 5, 6)
-#: Prior documents of each kind, standard errors that a log-odds ratio is lowered by, the least
-#: lowered ratio and least toxic documents of a feature, and the share of lexicon words expected
-#: in a toxic passage.
-PRIOR, ERRORS, LEAST_RATIO, LEAST_DOCS, DENSITY = 0.5, 2.0, 1.0, 3, 0.1
+BEGINNINGS = (2, 3, 4, 5, 6, 8)
+#: Documents that a prior counts for, the least documents of a feature (rarer ones are read by
+#: their beginnings), and what is taken off every word's log-odds ratio.
+PRIOR, LEAST_DOCS, DRIFT = 10.0, 5, 1.0
 #: Karlin-Altschul constant K: chances for a segment to start, for each word.
 START_RATE = 0.1
+#: Word scores remembered by a task at a time.
+MEMO = 200_000
 
 WORD = re.compile(r"\w+")
 
 
 def features(word: str) -> list[str]:
-    """The word itself and its beginnings, which carry a mark."""
-    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) >= k)]
+    """The beginnings of a word, which carry a mark, from short to long, and the word itself."""
+    return [*(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k), word]
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+@dataclass
+class Lexicon:
+    """Documents of each kind that have a feature (bounded by the sample), and of all."""
+
+    counts: dict[str, tuple[int, int]] = field(default_factory=dict)
+    other: int = 0
+    toxic: int = 0
+
+    def ratio(self, word: str, own: int | None = None, prior: float = PRIOR) -> float:
+        """A word's log-odds ratio less the drift; ``own`` is the kind of a document whose counts are left out."""
+        share = root = self.toxic / (self.toxic + self.other)
+        for f in features(word):
+            known = self.counts.get(f)
+            if known:
+                b, a = known[0] - (own == 0), known[1] - (own == 1)
+                share = (a + prior * share) / (a + b + prior)
+        return math.log(share / (1 - share)) - math.log(root / (1 - root)) - DRIFT
 
 
 @dataclass
 class Model:
-    """What scoring needs: a lexicon bounded by the sample, and a few numbers."""
+    """What scoring needs: the lexicon, the decay rate of segment sums, and the logistic curve."""
 
-    lexicon: dict[str, float] = field(default_factory=dict)
-    other: float = -0.1
+    lexicon: Lexicon = field(default_factory=Lexicon)
     rate: float = 1.0
-    slope: float = 0.0
-    offset: float = -math.inf
+    curve: tuple[float, ...] = ()
+    memo: dict[tuple[str, int | None], float] = field(default_factory=dict, repr=False)
 
-    def scores(self, text: str | None) -> tuple[list[str], list[float]]:
-        words = WORD.findall((text or "").lower())
-        known, lexicon, other = {}, self.lexicon, self.other
-        out = []
+    def scores(self, words: list[str], own: int | None = None) -> list[float]:
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        memo, out = self.memo, []
         for w in words:
-            s = known.get(w)
+            s = memo.get((w, own))
             if s is None:
-                s = known[w] = max((lexicon[f] for f in features(w) if f in lexicon), default=other)
+                s = memo[w, own] = self.lexicon.ratio(w, own)
             out.append(s)
-        return words, out
+        return out
+
+    def segments(self, words: list[str], own: int | None = None) -> list[tuple[int, int, float]]:
+        return maximal_segments(self.scores(words, own))
 
-    def excess(self, sums: list[float], n: int) -> float:
-        """Total of the significant segments' excess over chance; the best one's if none is."""
-        floor = math.log(START_RATE * max(n, 1) + 1)
-        each = [self.rate * s - floor for s in sums]
-        return sum(x for x in each if x > 0) or max(each, default=-floor)
+    def floor(self, n: int) -> float:
+        """The sum, times the rate, that the best segment of ``n`` words without toxicity has by chance."""
+        return math.log(START_RATE * max(n, 1) + 1)
 
-    def probability(self, excess: float) -> float:
-        if self.offset == -math.inf:
+    def evidence(self, segments: list[tuple[int, int, float]], n: int) -> tuple[float, float, float]:
+        """Best sum and total excess of the significant segments, and the text's length, all on log scales."""
+        sums, floor = [self.rate * s for *_, s in segments], self.floor(n)
+        return max(sums, default=0.0), math.log1p(sum(x - floor for x in sums if x > floor)), math.log(max(n, 1))
+
+    def probability(self, evidence: tuple[float, float, float]) -> float:
+        if not self.curve:
             return 0.0
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * excess + self.offset))))
+        x = sum(w * v for w, v in zip(self.curve, (*evidence, 1.0), strict=True))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+
+    def judged(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """Score of a text and its significant passages as (start word, end word, excess)."""
+        words = words_of(text)
+        found, floor = self.segments(words) if self.curve else [], self.floor(len(words))
+        return self.probability(self.evidence(found, len(words))), [(a, b, self.rate * s - floor) for a, b, s in found if self.rate * s > floor]
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -105,36 +149,21 @@ def held_out(doc_id: Column) -> Column:
 def _counted(sample: DataFrame) -> DataFrame:
     """For each feature the number of toxic and other documents that have it."""
 
-    def run(batches):
-        for batch in batches:
-            found = (Counter(), Counter())
-            for text, toxic in zip(batch.text, batch.toxic, strict=True):
-                found[toxic].update({f for w in set(WORD.findall((text or "").lower())) for f in features(w)})
-            names = list(found[0] | found[1])
-            yield pd.DataFrame({"feature": names, "other": [found[0][f] for f in names], "toxic": [found[1][f] for f in names]})
-
-    made = sample.mapInPandas(run, "feature string, other long, toxic long")
-    return made.groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-
+    def made(part: pd.DataFrame) -> pd.DataFrame:
+        found = (Counter(), Counter())
+        for text, toxic in zip(part.text, part.toxic, strict=True):
+            found[toxic].update({f for w in set(words_of(text)) for f in features(w)})
+        names = list(found[0] | found[1])
+        return pd.DataFrame({"feature": names, "other": [found[0][f] for f in names], "toxic": [found[1][f] for f in names]})
 
-def lexicon(counts: DataFrame, n_other: int, n_toxic: int, prior: float = PRIOR, errors: float = ERRORS) -> dict[str, float]:
-    """Features whose log-odds ratio of documents is significantly toxic, and its lower bound.
-
-    Every feature has the same Dirichlet prior of ``prior`` documents of each kind, so that rare
-    features shrink to no evidence.
-    """
-    a, b = F.col("toxic") + prior, F.col("other") + prior
-    ratio = F.log(a / (n_toxic + 2 * prior - a)) - F.log(b / (n_other + 2 * prior - b))
-    lowered = counts.withColumn("ratio", ratio - errors * F.sqrt(1 / a + 1 / b))
-    kept = lowered.filter((F.col("ratio") > LEAST_RATIO) & (F.col("toxic") >= LEAST_DOCS))
-    return {r["feature"]: r["ratio"] for r in kept.select("feature", "ratio").collect()}
+    counts = mapped(sample, made, "feature string, other long, toxic long")
+    return counts.groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
 
 
 def decay_rate(scores: Counter) -> float:
     """The root of E[exp(rate * score)] = 1 for word scores of texts without toxicity."""
     values = np.array(list(scores), float)
-    shares = np.array(list(scores.values()), float) + 0.5 * (values > 0)
-    shares /= shares.sum()
+    shares = np.array(list(scores.values()), float) / max(1, sum(scores.values()))
     if not (values > 0).any() or values @ shares >= 0:
         return 1.0
     low, high = 1e-6, 1.0
@@ -146,76 +175,72 @@ def decay_rate(scores: Counter) -> float:
     return high
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps with a light ridge on the slope."""
-    scale = max(float(np.abs(x).max()), 1e-9)
-    u, w = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
-    ridge = np.diag([1e-3, 1e-6]) * len(x)
-    for _ in range(50):
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
+    """Weights of the columns of ``x`` and the offset of a logistic curve, by Newton steps with a light ridge."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    u, w = np.column_stack([(x - mean) / scale, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    light = np.append(np.full(x.shape[1], ridge), 1e-6) * len(x)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
-        step = np.linalg.solve(u.T @ (u * (p * (1 - p))[:, None]) + ridge, u.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(u.T @ (u * (p * (1 - p))[:, None]) + np.diag(light), u.T @ (y - p) - light * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]) / scale, float(w[1])
+    slopes = w[:-1] / scale
+    return (*map(float, slopes), float(w[-1] - slopes @ mean))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents that are not held out.
 
     They are those with the least hash of their id: the same share of every kind of document,
-    and all of them where fewer are labelled.
+    and all of them where fewer are labelled.  The sample is read once; features, the histogram
+    of word scores and one row of evidence for each document come back from the executors.
     """
     marked = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    chosen = checkpointed(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"))
     kinds = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not kinds.get(0) or not kinds.get(1):
         return Model()
-    model = Model(lexicon(_counted(chosen), kinds[0], kinds[1]), math.log(1 - DENSITY))
-
-    def summed(batches):
-        for batch in batches:
-            rows = []
-            for text, toxic in zip(batch.text, batch.toxic, strict=True):
-                words, scores = model.scores(text)
-                rows.append((toxic, len(words), sum(s > 0 for s in scores), [x[2] for x in maximal_segments(scores)], [s for s in scores if s > 0]))
-            yield pd.DataFrame(rows, columns=["toxic", "n", "hits", "sums", "positive"])
-
-    rows = chosen.mapInPandas(summed, "toxic int, n long, hits long, sums array<double>, positive array<double>").collect()
-    clean = Counter()
-    for r in rows:
-        if not r["toxic"]:
-            clean[model.other] += r["n"] - r["hits"]
-            clean.update(round(s, 1) for s in r["positive"])
-    best = round(max(model.lexicon.values(), default=1.0), 1)
-    clean[best] += 0
-    model.rate = decay_rate(clean)
-    x = np.array([model.excess(r["sums"], r["n"]) for r in rows])
-    model.slope, model.offset = logistic(np.clip(x, -20, 20), np.array([r["toxic"] for r in rows], float))
+    counts = _counted(chosen).filter(F.col("other") + F.col("toxic") >= LEAST_DOCS).collect()
+    model = Model(Lexicon({r["feature"]: (r["other"], r["toxic"]) for r in counts}, kinds[0], kinds[1]))
+
+    def tallied(part: pd.DataFrame) -> pd.DataFrame:
+        found = Counter()
+        for text in part.text:
+            found.update(round(s, 1) for s in model.scores(words_of(text), 0))
+        return pd.DataFrame({"score": list(found), "n": list(found.values())})
+
+    tally = mapped(chosen.filter("toxic = 0"), tallied, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    model.rate = decay_rate(Counter({r["score"]: r["n"] for r in tally}))
+
+    def weighed(part: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for text, toxic in zip(part.text, part.toxic, strict=True):
+            words = words_of(text)
+            rows.append((toxic, *model.evidence(model.segments(words, toxic), len(words))))
+        return pd.DataFrame(rows, columns=["toxic", "best", "total", "length"])
+
+    rows = mapped(chosen, weighed, "toxic int, best double, total double, length double").toPandas()
+    rows = rows.sort_values(list(rows.columns))  # the order of tasks decides nothing
+    model.curve = logistic(rows[["best", "total", "length"]].to_numpy(float), rows.toxic.to_numpy(float))
+    model.memo = {}
     return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text) scored: score, predicted, number of significant passages, the best one.
+    """``docs`` (doc_id, text) scored: score, predicted, and ``passages``, the significant segments as (start word, end word, excess)."""
 
-    ``passages`` holds (start word, end word, excess) of every significant segment.
-    """
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                words, scores = model.scores(text)
-                found = maximal_segments(scores)
-                floor = math.log(START_RATE * max(len(words), 1) + 1)
-                p = model.probability(min(20.0, max(-20.0, model.excess([x[2] for x in found], len(words)))))
-                passages = [(a, b, model.rate * s - floor) for a, b, s in found if model.rate * s > floor]
-                rows.append((doc_id, p, int(p >= 0.5), passages))
-            yield pd.DataFrame(rows, columns=["doc_id", "score", "predicted", "passages"]).astype({"doc_id": "Int64"})
+    def made(part: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for doc_id, text in zip(part.doc_id, part.text, strict=True):
+            p, passages = model.judged(text)
+            rows.append((doc_id, p, int(p >= 0.5), [{"start": a, "end": b, "excess": x} for a, b, x in passages]))
+        return pd.DataFrame(rows, columns=["doc_id", "score", "predicted", "passages"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, score double, predicted int, passages array<struct<start:int,end:int,excess:double>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), made, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -227,14 +252,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with all its columns, less the rows predicted toxic; texts are scored where they lie."""
+    rows = packed(docs)
 
-    @F.pandas_udf("int")
-    def predicted(text: pd.Series) -> pd.Series:
-        out = []
-        for t in text:
-            words, scores = model.scores(t)
-            x = model.excess([s for *_, s in maximal_segments(scores)], len(words))
-            out.append(int(model.probability(min(20.0, max(-20.0, x))) >= 0.5))
-        return pd.Series(out, dtype="int32")
+    def run(batches):
+        for batch in slices(batches):
+            mild = [model.judged(t)[0] < 0.5 for t in pc.struct_field(batch.column("row"), "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(mild, pa.bool_()))], names=["row"])
 
-    return docs.filter(predicted("text") == 0)
+    return rows.mapInArrow(run, rows.schema).select("row.*")

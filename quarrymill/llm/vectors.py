@@ -15,8 +15,16 @@ def is_usable(vector: str = "embedding") -> Column:
     return F.coalesce(fine & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def usable(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
-    return embeddings.filter(is_usable(vector))
+def dimension(embeddings: DataFrame, vector: str = "embedding") -> int:
+    """The length that most usable vectors have, the least of those that tie; 0 without any."""
+    sizes = embeddings.filter(is_usable(vector)).groupBy(F.size(vector).alias("d")).count()
+    first = sizes.orderBy(F.desc("count"), "d").first()
+    return first["d"] if first else 0
+
+
+def takes_part(d: int, vector: str = "embedding") -> Column:
+    """Whether a vector is usable and has the length ``d``: products of unlike lengths mean nothing."""
+    return is_usable(vector) & (F.size(vector) == d)
 
 
 def stacked(column: pd.Series) -> np.ndarray:
@@ -25,6 +33,6 @@ def stacked(column: pd.Series) -> np.ndarray:
 
 
 def hashed_sample(rows: DataFrame, size: int, key: str = "vec_id", vector: str = "embedding") -> np.ndarray:
-    """At most ``size`` vectors, those with the least hash of their id, for fitting on the driver."""
+    """At most ``size`` vectors, those with the least hash of their key, for fitting on the driver."""
     found = rows.select(key, vector).orderBy(F.xxhash64(key), key).limit(size).toPandas()
     return stacked(found[vector])

@@ -88,6 +88,23 @@ def test_range_join_of_nothing(spark):
     assert sorted(map(tuple, range_join.range_join(vectors(spark, ODD)).collect())) == [(k, 0, k, True) for k, _ in ODD]
 
 
+def test_range_join_with_one_id_for_several_vectors(spark):
+    rows = [(1, (1, 0)), (1, (0, 1)), (2, (1, 0.01)), (3, (1, 0, 0)), (4, (0, 1))]
+    assert sorted(map(tuple, range_join.range_join(vectors(spark, rows)).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 1, False)]
+
+
+def test_range_join_over_many_cells_near_the_threshold(spark):
+    """Vectors with structure, many of whose cosines lie about 0.9, replicated to some of many cells."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    rows = [(k, (centres[k % 40] + 0.32 * rng.normal(size=16) * np.linalg.norm(centres[k % 40]) / 4).astype(np.float32)) for k in range(800)]
+    x = range_join._unit(np.array([v for _, v in rows], float))
+    cosines = (x @ x.T)[np.triu_indices(800, 1)]
+    assert ((cosines > 0.88) & (cosines < 0.92)).sum() > 1000
+    got = sorted(map(tuple, range_join.range_join(vectors(spark, rows), cell=25, block=64).collect()))
+    assert got == plain_links(rows) and sum(n for _, n, *_ in got) > 2000
+
+
 def test_replicas_keep_every_close_pair():
     rng = np.random.default_rng(5)
     x = range_join._unit(rng.normal(size=(300, 3)))
@@ -160,7 +177,8 @@ def test_raking_reaches_the_targets():
     rng = np.random.default_rng(2)
     codes = [rng.integers(0, 3, 40), rng.integers(0, 4, 40)]
     goals = [np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.2, 0.3, 0.4])]
-    w = mixing.rake(rng.integers(1, 100, 40).astype(float), codes, goals)
+    w, sweeps, error = mixing.rake(rng.integers(1, 100, 40).astype(float), codes, goals)
+    assert sweeps < mixing.SWEEPS and error < mixing.TOLERANCE
     for code, goal in zip(codes, goals, strict=True):
         assert np.bincount(code, w) == pytest.approx(goal)
     tokens, ratio = rng.integers(1, 100, 40).astype(float), rng.random(40) + 0.1
@@ -172,21 +190,74 @@ def test_raking_reaches_the_targets():
 def test_mixing_by_both_ways(spark):
     random.seed(4)
     data = [(k, "w " * random.randrange(0, 60), random.choice("aaab"), random.choice(["en", None]), random.choice([None, 1, 2])) for k in range(3000)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string, topic int").withColumn("kept_before", F.lit(1))
-    out = mixing.mixed(docs, mixing.token_count(F.col("text")))
-    rows = {r["doc_id"]: r for r in out.collect()}
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, lang string, topic int")
+    decided = lambda **options: {r["doc_id"]: r for r in mixing.mixed(docs, mixing.token_count(F.col("text")), **options).select("row.doc_id", "tokens", "probability", "kept").collect()}
+    rows = decided()
     assert len(rows) == 3000 and all(r["tokens"] == len((t or "").split()) for (k, t, *_), r in zip(data, rows.values(), strict=False) if rows[k] is r)
     total = sum(r["tokens"] for r in rows.values())
     assert sum(r["tokens"] * r["probability"] for r in rows.values()) == pytest.approx(mixing.BUDGET * total)
     assert abs(sum(r["tokens"] for r in rows.values() if r["kept"]) / total - mixing.BUDGET) < 0.05
-    other = {r["doc_id"]: r["probability"] for r in mixing.mixed(docs, mixing.token_count(F.col("text")), max_cells=0).collect()}
-    assert all(other[k] == pytest.approx(r["probability"], abs=1e-4) for k, r in rows.items())
+    for targets in ({}, {"lang": {"en": 0.3, None: 0.7}}):
+        here, by_spark = decided(targets=targets), decided(targets=targets, max_cells=0)
+        assert all(by_spark[k]["probability"] == pytest.approx(r["probability"], abs=1e-7) for k, r in here.items())
     none = mixing.mixed(docs.limit(0), mixing.token_count(F.col("text")))
     assert none.count() == 0
     given = mixing.full_target({"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 0.2, "b": 0.2}, 1)
     assert given == pytest.approx({"a": 0.45, "b": 0.45, "c": 0.1})
 
 
+def plain_mixing(rows, budget, temper):
+    """Keep probability of each row by raking and bisection over dicts."""
+    cells, probability = defaultdict(float), {}
+    for tokens, cell in rows:
+        cells[cell] += tokens
+    total = sum(cells.values())
+    w = {c: t / total for c, t in cells.items() if t}
+    goals = []
+    for d in range(3):
+        raised = defaultdict(float)
+        for c, x in w.items():
+            raised[c[d]] += x
+        raised = {v: x**temper for v, x in raised.items()}
+        goals.append({v: x / sum(raised.values()) for v, x in raised.items()})
+    for _ in range(200):
+        for d in range(3):
+            now = defaultdict(float)
+            for c, x in w.items():
+                now[c[d]] += x
+            w = {c: x * goals[d][c[d]] / now[c[d]] for c, x in w.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        probability = {c: min(1, mid * x * total / cells[c]) for c, x in w.items()}
+        low, high = (mid, high) if sum(cells[c] * p for c, p in probability.items()) < budget * total else (low, mid)
+    return [probability.get(cell, 1.0) for _, cell in rows]
+
+
+def test_mixing_query_as_brute_force(spark, tmp_path):
+    from quarrymill.llm import queries
+    from quarrymill.llm.common import uniform
+
+    random.seed(14)
+    data = [(k, random.choice([None, "", "a b", "w " * (k % 37)]), random.choice("aaab"), random.choice(["en", "de", None]), 5, 0.5) for k in range(400)]
+    spark.createDataFrame(data, "doc_id long, text string, source string, lang string, topic int, probability double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 4) for k in range(0, 400, 3)], "vec_id long, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["doc_id"]: r for r in queries.op4_source_mixing(spark, str(tmp_path)).withColumn("u", uniform(mixing.SEED, F.col("doc_id"))).collect()}
+    want = plain_mixing([(len((t or "").split()), (s, lang, k % 4 if k % 3 == 0 else None)) for k, t, s, lang, *_ in data], mixing.BUDGET, mixing.TEMPER)
+    assert len(got) == len(data)
+    for (k, t, *_), p in zip(data, want, strict=True):
+        r = got[k]
+        assert r["tokens"] == len((t or "").split()) and r["probability"] == pytest.approx(p, abs=1e-7) and r["kept"] == (r["u"] < r["probability"])
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    docs = spark.createDataFrame([(1, "a", "en", 9), (2, "b", "de", 1)], "doc_id long, source string, lang string, tokens long")
+    for cells in (10, 0):
+        with pytest.warns(UserWarning, match="miss their targets"):
+            made = mixing.probabilities(docs, ("source", "lang"), {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}}, max_cells=cells, sweeps=3)
+        assert made.sweeps == 3 and made.error == pytest.approx(0.4)
+
+
 def test_token_counts(spark):
     texts = [None, "", "  ", "a", " a\tb\n\nc ", "é ü"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.token_count(F.col("t")).alias("n")).collect()
@@ -224,6 +295,15 @@ def test_quotes_link_and_order(spark):
     assert quotes.reply_ordered(rows.limit(0)).count() == 0
 
 
+def test_a_passage_needs_half_of_its_lines(spark):
+    data = [
+        (1, 0, "u", "yes\nalpha one\nbeta two\ngamma three"), (1, 1, "u", "yes"), (1, 2, "u", "> yes\n> something else\n> and more\nno"),
+        (1, 3, "u", "> alpha one\n> changed\n> gamma three\nwhy"), (1, 4, "u", "> beta two\n> gamma three\nok"),
+    ]
+    rows = quotes.reply_ordered(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [r["reply_to"] for r in rows] == [None, None, None, 0, 0]
+
+
 def test_quotes_as_sql(spark):
     """Random conversations of quotes of quotes, with repeats, gaps and nulls."""
     import duckdb

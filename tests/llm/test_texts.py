@@ -4,8 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -45,8 +47,8 @@ def test_round_trip_of_all_kinds_of_rows(spark):
     own = Tokenizer.from_file(PATH)
     docs = documents(spark, texts)
     encoded = bpe.encode(docs, PATH, leaf=16, spread=100)
-    assert set(encoded.columns) == {"doc_id", "row", "h1", "score", "ids"}
-    ids = {r["doc_id"]: r["ids"] for r in encoded.collect()}
+    assert encoded.columns == ["row", "ids"] and encoded.select("row.*").columns == ["doc_id", "row", "h1", "score"]
+    ids = {r["doc_id"]: r["ids"] for r in encoded.select("row.doc_id", "ids").collect()}
     assert ids == {k: own.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
     for r in bpe.round_trip(docs, PATH).collect():
         t = texts[r["doc_id"]] or ""
@@ -85,7 +87,8 @@ def test_line_dedup_as_brute_force(spark):
     odd = docs.union(spark.createDataFrame([(None, "same line here", 1, "x", "y"), (1, "a second text of one\nsame line here", 1, "x", "y")], EXTRA))
     assert sorted(map(tuple, lines.line_dedup(odd).collect()), key=str) == plain_lines([*rows, (None, "same line here"), (1, "a second text of one\nsame line here")])
     assert lines.line_dedup(empty(spark)).count() == 0
-    assert set(lines.without_shared(docs).columns) == {*docs.columns, "kept", "n_lines", "n_dropped"}
+    assert lines.without_shared(docs).columns == ["row", "kept", "n_lines", "n_dropped"]
+    assert sorted(lines.without_shared(docs).select("row.*").collect()) == sorted(docs.collect())
 
 
 def test_line_index_is_reversible(spark, tmp_path):
@@ -165,17 +168,44 @@ def test_chosen_paths_lose_no_link(spark, options):
 
 
 def test_chosen_paths_of_no_rows_and_null_ids(spark):
-    assert chosen_path.jaccard_join(empty(spark)).count() == 0
-    rows = spark.createDataFrame([(None, "a b c d e f", 1, "x", "y"), (4, "a b c d e f", 1, "x", "y"), (4, "a b c d e f", 1, "x", "y")], EXTRA)
-    assert [tuple(r) for r in chosen_path.jaccard_join(rows).collect()] == [(4, 1, 4, True)] * 2
+    assert chosen_path.jaccard_join(empty(spark)).count() == 0 == chosen_path.near_unique(empty(spark)).count()
+    rows = spark.createDataFrame([(k, "a b c d e f", 1, "x", "y") for k in (None, 4, 4)] + [(None, "g h i j k l", 1, "x", "y")] * 2, EXTRA)
+    assert sorted(map(str, chosen_path.jaccard_join(rows).collect())) == sorted(
+        map(str, [*[Row(doc_id=4, n_links=2, component_id=4, kept=True)] * 2, Row(doc_id=None, n_links=2, component_id=4, kept=False), *[Row(doc_id=None, n_links=1, component_id=None, kept=True)] * 2])
+    )
+    kept = chosen_path.near_unique(rows)
+    assert kept.columns == rows.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "g h i j k l"), (4, "a b c d e f")]
+
+
+def test_chosen_paths_with_one_id_for_several_texts(spark):
+    """The other text of an id neither hides a link nor gets one."""
+    a, near = near_copies(1, 2, 60, 1)
+    rows = spark.createDataFrame([(1, a, 1, "x", "y"), (1, "quite another text of one id here", 1, "x", "y"), (2, near + " end", 1, "x", "y")], EXTRA)
+    got = sorted((r["doc_id"], r["n_links"], r["component_id"]) for r in chosen_path.jaccard_join(rows).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+    assert sorted(r["text"] for r in chosen_path.near_unique(rows).collect()) == sorted([a, "quite another text of one id here"])
+
+
+def test_chosen_paths_compare_long_texts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "PART_BYTES", 3000)
+    texts = near_copies(3, 9, 150)
+    sketched = pd.DataFrame({"text": texts, "node": range(len(texts)), "doc_id": range(len(texts)), "h1": 0, "h2": 0, "weight": 1, "block": 0, "size": [len(t) for t in texts]})
+    sketched["sketch"] = [x.tobytes() for x in shingles.sketches(texts, 192)[0]]
+    sketched["leaves"] = [np.array([5])] * len(texts)
+    parts = chosen_path._candidates(sketched, 5, 0, 0, 0.8).merge(sketched[["node", "text"]], on="node")
+    assert parts.across.any() and parts.groupby("part").text.agg(lambda t: t.str.len().sum()).max() <= 4000
+    found = pd.concat([chosen_path._compared(part, 5, 0, 0, 0.8) for _, part in parts.groupby("part")])
+    links = found[found.kind == 0].groupby("a").n.sum()
+    assert [int(links.get(k, 0)) for k in range(len(texts))] == [x[1] for x in plain_join(texts)]
 
 
 def test_chosen_paths_reach_the_target_recall_at_full_depth():
     """Sets at the threshold, split as often as may be, as many runs as are made for that depth."""
     rng, splits, pairs = np.random.default_rng(3), chosen_path.LEVELS + 1, 6000
+    assert [chosen_path.needed_runs(k) for k in (0, 1, splits)] == [1, 4, 12]
     for similarity in (0.80, 0.82, 0.85):
         missed = np.ones(pairs, bool)
-        for run in range(max(chosen_path.RUNS, chosen_path.needed_runs(splits))):
+        for run in range(chosen_path.needed_runs(splits)):
             pair, agree = np.arange(pairs), rng.random((pairs, shingles.COORDINATES)) < similarity
             path = rng.integers(0, 2**63, pairs).astype(np.uint64) & ~np.uint64(1023) | np.uint64(run)
             for _ in range(splits):
@@ -187,19 +217,6 @@ def test_chosen_paths_reach_the_target_recall_at_full_depth():
         assert missed.mean() <= 2 * (1 - chosen_path.RECALL)
 
 
-def test_more_runs_for_more_splits(spark):
-    assert [chosen_path.needed_runs(k) for k in (0, 1, 7)] == [1, 4, 12]
-    passage = " ".join(f"shared{k}" for k in range(60))
-    texts = [f"{passage} {t}" for t in near_copies(20, 2, 60)]
-    rows = spark.createDataFrame([(k, k, 0, t) for k, t in enumerate(texts)], "doc_id long, h1 long, h2 long, text string")
-    sketched = lambda runs: chosen_path._sketched(rows, runs).withColumnRenamed("doc_id", "node")
-    first = sketched(range(chosen_path.RUNS))
-    assert chosen_path.buckets(first, sketched)[2] == chosen_path.RUNS
-    assert chosen_path.buckets(first, sketched, small=2, recall=1 - 1e-7)[2] > chosen_path.RUNS
-    got = chosen_path.jaccard_join(documents(spark, texts), small=2, recall=1 - 1e-7).collect()
-    assert sorted(map(tuple, got)) == plain_join(texts)
-
-
 def test_shingle_sets_and_sketches():
     texts = ["A b c d e f", "a  b\tc d e f\n", "a b", "", None, "é ü ö ä ß ñ"]
     sets = shingles.shingle_sets(texts)
@@ -317,4 +334,4 @@ def test_bound_never_passes_over_a_match():
 
 
 def test_counts_of_features():
-    assert Counter(toxicity.features("abcdefg")) == Counter(["abcdefg", "abcd*", "abcde*", "abcdef*"])
+    assert Counter(toxicity.features("abcdefg")) == Counter(["ab*", "abc*", "abcd*", "abcde*", "abcdef*", "abcdefg"])

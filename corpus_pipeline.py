@@ -2,6 +2,11 @@
 
 Every stage takes what its predecessor kept and returns the columns of ``documents``; the last
 returns token ids.  ``run`` cuts the lineage between stages by checkpoints.
+
+Edge cases, in every stage: null and empty texts are empty documents (one of them stays as near
+copy of the others); rows with a null id, and rows that repeat an id, are documents of their own
+until they are near copies; an empty table gives no rows; columns besides those of ``documents``
+stay as they are, whatever their names.  A document of which line dedup drops every line stays.
 """
 
 from __future__ import annotations
@@ -21,28 +26,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared lines stay in the first document that holds them; every document stays."""
-    out = lines.without_shared(docs).withColumn("text", F.col("kept"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    row = F.col("row").withField("text", F.col("kept"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return lines.without_shared(docs).select(row.alias("row")).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return chosen_path.near_unique(docs).select(*docs.columns)
+    return chosen_path.near_unique(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with tempered shares of sources, languages and topics."""
-    named = docs.join(mixing.topics(table(spark, sf_dir, "embeddings")), "doc_id", "left")
-    return mixing.mixed(named, mixing.token_count(F.col("text"))).filter("kept").select(*docs.columns)
+    return mixing.sampled(docs, table(spark, sf_dir, "embeddings"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary()).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids"
-    )
-    decoded = bpe.decode(encoded, vocabulary(), keep=("doc_id", "n_tokens", "ids_sha256", "ids"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    return bpe.digested(docs, vocabulary(), keep_ids=True)
 
 
 STAGES = [

@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from quarrymill.llm.common import checkpointed, hash128, mapped, packed
 from quarrymill.llm.linking import SCHEMA, forest, reported, summed
@@ -43,8 +44,11 @@ from quarrymill.llm.shingles import COORDINATES, mixed, shingle_sets, sketches
 #: dense one, and levels at most (buckets still large then are compared in blocks).
 THRESHOLD, RECALL, SMALL, BLOCK, DENSE, LEVELS = 0.8, 0.999, 128, 512, 0.6, 6
 #: Standard errors below the expected agreement of a pair at the threshold that a candidate may
-#: lie, bytes of text compared by a task at once about, and rows of a table that is broadcast.
-ERRORS, PART_BYTES, BROADCAST_ROWS = 5.0, 8_000_000, 500_000
+#: lie, coordinates compared at once, bytes of text compared by a task at once about, and rows of
+#: a table that is broadcast.
+ERRORS, AGREED, PART_BYTES, BROADCAST_ROWS = 5.0, 4_000_000, 8_000_000, 500_000
+#: Rows of buckets that a task is given at once about.
+BUNDLE_ROWS = 2000
 #: Low bits of a path that hold its run.
 _RUN = np.uint64((1 << 10) - 1)
 
@@ -83,17 +87,21 @@ def children(path: np.ndarray, sketch: np.ndarray, threshold: float = THRESHOLD)
 
 
 def _sketched(docs: DataFrame, runs: int) -> DataFrame:
-    """doc_id, text hash, size, whether there are words, and the sketch for all runs as bytes."""
+    """doc_id, text hash, size, whether there are words, and the sketch for all runs as bytes.
+
+    ``brief`` keeps one byte of each coordinate, which is enough to tell how many agree.
+    """
 
     def made(part: pd.DataFrame) -> pd.DataFrame:
         sketch, some = sketches(part.text.tolist(), runs * COORDINATES)
-        return part.drop(columns="text").assign(some=some, sketch=[x.tobytes() for x in sketch])
+        brief = sketch.astype(np.uint8)
+        return part.drop(columns="text").assign(some=some, sketch=[x.tobytes() for x in sketch], brief=[x.tobytes() for x in brief])
 
-    return mapped(docs, made, "doc_id long, h1 long, h2 long, size long, some boolean, sketch binary")
+    return mapped(docs, made, "doc_id long, h1 long, h2 long, size long, some boolean, sketch binary, brief binary")
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+def _matrix(column: pd.Series, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
 def _rooted(nodes: DataFrame, runs: int, threshold: float) -> DataFrame:
@@ -128,8 +136,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def buckets(nodes: DataFrame, runs: int, small: int = SMALL, levels: int = LEVELS, threshold: float = THRESHOLD) -> DataFrame:
-    """The members of the buckets to compare (path, n, node); of buckets with the same members one."""
+def buckets(nodes: DataFrame, runs: int, small: int = SMALL, levels: int = LEVELS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The members of the buckets to compare (path, n, node), and the buckets (path, n); of buckets with the same members one."""
     now = _rooted(nodes, runs, threshold)
     everywhere, done = [], []
     for level in range(levels + 1):
@@ -156,10 +164,19 @@ def buckets(nodes: DataFrame, runs: int, small: int = SMALL, levels: int = LEVEL
     for more in everywhere[1:]:
         members = members.union(more)
     chosen = checkpointed(every.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n"))
-    return members.join(_small(chosen), "path").select("path", "n", "node")
+    return members.join(_small(chosen), "path").select("path", "n", "node"), chosen
+
 
+def _groups(part: pd.DataFrame, keys: list[str]):
+    """Places of the rows of each value of ``keys``, whose columns are numbers."""
+    columns = np.stack([part[k].to_numpy(np.int64) for k in keys])
+    order = np.lexsort(columns[::-1])
+    columns = columns[:, order]
+    starts = np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1
+    return np.split(order, starts) if len(order) else []
 
-def _met(leaves: pd.Series, leaf: int) -> np.ndarray:
+
+def _met(leaves: np.ndarray, leaf: int) -> np.ndarray:
     """Which rows share a bucket that is less than ``leaf``: they are compared there."""
     lesser = [np.asarray(x, np.int64) for x in leaves]
     flat = np.concatenate(lesser)
@@ -174,65 +191,69 @@ def _met(leaves: pd.Series, leaf: int) -> np.ndarray:
     return incidence @ incidence.T > 0
 
 
-def _pairs_to_meet(rows: pd.DataFrame, leaf: int, low: int, high: int) -> np.ndarray:
-    """Pairs of rows (upper half) that meet in this bucket: in other blocks, and in no lesser bucket."""
-    wanted = np.triu(~_met(rows.leaves, leaf), 1)
-    if low != high:
-        block = rows.block.to_numpy()
-        wanted &= block[:, None] != block[None, :]
-    return wanted
+def _to_meet(wanted: np.ndarray, leaves: np.ndarray, block: np.ndarray, leaf: int, across_blocks: bool) -> np.ndarray:
+    """Of the wanted pairs those that meet in this bucket: in other blocks, and in no lesser bucket."""
+    wanted = wanted & ~_met(leaves, leaf)
+    return wanted & (block[:, None] != block[None, :]) if across_blocks else wanted
 
 
 CANDIDATES = (
     "leaf long, low int, high int, part int, label int, chunk int, across boolean, "
-    "node long, doc_id long, h1 long, h2 long, weight long, block int, leaves array<long>"
+    "node long, doc_id long, h1 long, h2 long, weight long, size long, block int, leaves array<long>"
 )
+NAMES = [x.split()[0] for x in CANDIDATES.split(", ")]
 
 
-def _candidates(rows: pd.DataFrame, leaf: int, low: int, high: int, threshold: float) -> pd.DataFrame:
-    """Rows of a bucket, or of two blocks of it, that have a candidate, in parts of bounded bytes.
+def _parted(groups: list[np.ndarray], size: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Groups of rows put into parts of bounded bytes, as (part, rows, chunks, across).
 
-    Candidates are grouped (``label``).  Small groups share a part; a large one is cut into
-    chunks, with one part for each chunk and each two chunks (``across``).
+    Small groups share a part; a large one is cut into chunks, with one part for each chunk and
+    one for each two (``across``).
     """
-    rows = rows.reset_index(drop=True)
-    sketch = _matrix(rows.sketch)
-    agree = np.zeros((len(rows), len(rows)), np.uint16)
-    for k in range(sketch.shape[1]):
-        agree += sketch[:, k, None] == sketch[None, :, k]
-    least = sketch.shape[1] * threshold - ERRORS * math.sqrt(sketch.shape[1] * threshold * (1 - threshold))
-    wanted = np.triu(agree >= least, 1)
-    live = np.flatnonzero(wanted.any(0) | wanted.any(1))
-    wanted = wanted[np.ix_(live, live)] & _pairs_to_meet(rows.iloc[live], leaf, low, high) if len(live) else wanted[:0, :0]
-    a, b = np.nonzero(wanted)
-    if not len(a):
-        return pd.DataFrame()
-    label = forest(a, b, len(live))
-    met = np.unique(np.concatenate([a, b]))
-    order = met[np.argsort(label[met], kind="stable")]
-    size = rows["size"].to_numpy()[live]
     out, part, filled = [], 0, 0
-
-    def put(at, chunk, across):
-        made = rows.iloc[live[at]][["node", "doc_id", "h1", "h2", "weight", "block", "leaves"]]
-        out.append(made.assign(part=part, label=label[at], chunk=chunk, across=across))
-
-    for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+    for group in groups:
         total = size[group].sum()
         if filled and filled + total > PART_BYTES:
             part, filled = part + 1, 0
         if total <= PART_BYTES:
-            put(group, 0, False)
+            out.append((part, group, np.zeros(len(group), np.int64), False))
             filled += total
             continue
-        chunks = (np.cumsum(size[group]) - size[group]) // (PART_BYTES // 2)
-        chunks = np.unique(chunks, return_inverse=True)[1]
+        part, filled = part + (filled > 0), 0
+        chunks = np.unique((np.cumsum(size[group]) - size[group]) // (PART_BYTES // 2), return_inverse=True)[1]
         for i in range(chunks.max() + 1):
             for j in range(i, chunks.max() + 1):
                 at = (chunks == i) | (chunks == j)
-                put(group[at], chunks[at], i != j)
+                out.append((part, group[at], chunks[at], i != j))
                 part += 1
-    return pd.concat(out).assign(leaf=leaf, low=low, high=high)
+    return out
+
+
+def _candidates(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Rows of buckets, or of two blocks of one, that have a candidate there, with the parts to compare."""
+    brief = _matrix(rows.brief, np.uint8)
+    least = brief.shape[1] * threshold - ERRORS * math.sqrt(brief.shape[1] * threshold * (1 - threshold))
+    leaf, low, high, block, size = (rows[c].to_numpy(np.int64) for c in ("leaf", "low", "high", "block", "size"))
+    leaves, out = rows.leaves.to_numpy(), []
+    for at in _groups(rows, ["leaf", "low", "high"]):
+        own, strip = brief[at], max(1, AGREED // (len(at) * brief.shape[1]))
+        wanted = np.triu(np.concatenate([np.count_nonzero(own[k : k + strip, None] == own[None], axis=2) >= least for k in range(0, len(at), strip)]), 1)
+        live = np.flatnonzero(wanted.any(0) | wanted.any(1))
+        if not len(live):
+            continue
+        at = at[live]
+        a, b = np.nonzero(_to_meet(wanted[np.ix_(live, live)], leaves[at], block[at], leaf[at[0]], low[at[0]] != high[at[0]]))
+        if not len(a):
+            continue
+        label, met = forest(a, b, len(at)), np.unique(np.concatenate([a, b]))
+        order = met[np.argsort(label[met], kind="stable")]
+        groups = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+        for part, group, chunk, across in _parted(groups, size[at]):
+            out.append((at[group], np.full(len(group), part), label[group], chunk, np.full(len(group), across)))
+    if not out:
+        return pd.DataFrame(columns=NAMES, dtype=object)
+    row, part, label, chunk, across = (np.concatenate(x) for x in zip(*out, strict=True))
+    return rows.iloc[row].assign(part=part, label=label, chunk=chunk, across=across)[NAMES]
 
 
 def _pairs(sets: list[np.ndarray], wanted: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -283,23 +304,33 @@ def _pairs(sets: list[np.ndarray], wanted: np.ndarray, threshold: float) -> tupl
     return pairs[0], pairs[1]
 
 
-def _compared(rows: pd.DataFrame, leaf: int, low: int, high: int, threshold: float) -> pd.DataFrame:
-    """The links of a part of a bucket, found by comparing whole sets within each group."""
-    rows = rows.drop_duplicates("node").sort_values("label", kind="stable").reset_index(drop=True)
-    node, weight, counts = rows.node.to_numpy(), rows.weight.to_numpy(), np.zeros(len(rows), np.int64)
-    sets, links = shingle_sets(rows.text.tolist()), ([], [])
-    for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows.label)) + 1):
-        wanted = _pairs_to_meet(rows.iloc[at], leaf, low, high)
-        if rows.across.iloc[at[0]]:
-            chunk = rows.chunk.to_numpy()[at]
-            wanted &= chunk[:, None] != chunk[None, :]
-        a, b = _pairs([sets[k] for k in at], wanted, threshold)
-        a, b = at[a], at[b]
-        np.add.at(counts, a, weight[b])
-        np.add.at(counts, b, weight[a])
-        links[0].append(a)
-        links[1].append(b)
-    return reported(node, counts, *(np.concatenate(x) for x in links))
+def _compared(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The links of parts of buckets, found by comparing whole sets within each group of candidates."""
+    rows = rows.drop_duplicates(["leaf", "low", "high", "part", "node"])
+    leaf, low, high, block, chunk, label = (rows[c].to_numpy(np.int64) for c in ("leaf", "low", "high", "block", "chunk", "label"))
+    leaves, across, texts = rows.leaves.to_numpy(), rows.across.to_numpy(bool), rows.text.to_numpy()
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in _groups(rows, ["leaf", "low", "high", "part"]):
+        sets, one = shingle_sets(texts[at].tolist()), at[0]
+        for of in _groups(pd.DataFrame({"label": label[at]}), ["label"]):
+            own = at[of]
+            wanted = _to_meet(np.triu(np.ones((len(own), len(own)), bool), 1), leaves[own], block[own], leaf[one], low[one] != high[one])
+            if across[one]:
+                wanted &= chunk[own][:, None] != chunk[own][None, :]
+            a, b = _pairs([sets[k] for k in of], wanted, threshold)
+            first.append(own[a])
+            second.append(own[b])
+    a, b = np.concatenate(first), np.concatenate(second)
+    ids, place = np.unique(rows.node.to_numpy(np.int64), return_inverse=True)
+    counts, weight = np.zeros(len(ids), np.int64), rows.weight.to_numpy(np.int64)
+    np.add.at(counts, place[a], weight[b])
+    np.add.at(counts, place[b], weight[a])
+    return reported(ids, counts, place[a], place[b])
+
+
+def _bundled(df: DataFrame, keys: list[str], bundles: int) -> GroupedData:
+    """``df`` grouped into about ``bundles`` groups that keep the rows of equal ``keys`` together."""
+    return df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(bundles)).alias("bundle"))
 
 
 def _text() -> Column:
@@ -313,37 +344,34 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, bl
     h1, h2 = hash128(_text())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.octet_length(_text()).cast("long").alias("size"), "text")
     grouped = _sketched(rows, runs).groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("some").alias("some"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("low"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("some").alias("some"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")
     )
     # numbers are given once, in what the checkpoint holds
     nodes = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
-    members = buckets(nodes.filter("some"), runs, small, levels, threshold)
+    members, chosen = buckets(nodes.filter("some"), runs, small, levels, threshold)
+    blocks = 1 + F.floor(F.col("n") / block)
+    meetings = chosen.agg(F.coalesce(F.sum(F.col("n") * blocks), F.lit(0))).first()[0]
     leaves = members.groupBy("node").agg(F.collect_list(F.struct("path", "n")).alias("leaves"))
     dealt = (
-        nodes.join(leaves, "node")
+        nodes.drop("sketch").join(leaves, "node")
         .withColumns({"leaf": F.explode("leaves"), "place": F.xxhash64(F.lit("block"), "h1", "h2")})
-        .withColumn("blocks", (1 + F.floor(F.col("leaf.n") / block)).cast("int"))
+        .withColumn("n", F.col("leaf.n")).withColumn("blocks", blocks.cast("int"))
         .withColumn("block", F.pmod("place", F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             F.col("leaf.path").alias("leaf"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-            "node", F.col("low").alias("doc_id"), "h1", "h2", "weight", "size", "block", F.transform("leaves", lambda x: x["path"]).alias("leaves"), "sketch",
+            "node", F.col("low").alias("doc_id"), "h1", "h2", "weight", "size", "block", F.transform("leaves", lambda x: x["path"]).alias("leaves"), "brief",
         )
     )
-
-    def candidates(key, part):
-        found, names = _candidates(part, *map(int, key), threshold), [x.split()[0] for x in CANDIDATES.split(", ")]
-        return found[names] if len(found) else pd.DataFrame(columns=names, dtype=object)
-
-    def compared(key, part):
-        return _compared(part, *map(int, key[:3]), threshold)
-
-    live = checkpointed(dealt.groupBy("leaf", "low", "high").applyInPandas(candidates, CANDIDATES))
+    bundles = _bundled(dealt, ["leaf", "low", "high"], 1 + meetings // BUNDLE_ROWS)
+    live = checkpointed(bundles.applyInPandas(lambda part: _candidates(part, threshold), CANDIDATES))
+    total = live.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     # one row of each text, the one with its least id
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
     texts = rows.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "text")
-    filled = live.join(texts, same).drop("_id", "_h1", "_h2", "doc_id", "h1", "h2")
-    counts, components = summed(filled.groupBy("leaf", "low", "high", "part").applyInPandas(compared, SCHEMA))
+    filled = live.join(texts, same).drop("_id", "_h1", "_h2", "doc_id", "h1", "h2", "size")
+    bundles = _bundled(filled, ["leaf", "low", "high", "part"], 1 + total // (PART_BYTES // 2))
+    counts, components = summed(bundles.applyInPandas(lambda part: _compared(part, threshold), SCHEMA))
     found = nodes.select("h1", "h2", "node", "low", "weight").join(counts, "node", "left").join(components, "node", "left")
     found = checkpointed(
         found.select("h1", "h2", "low", "weight", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))

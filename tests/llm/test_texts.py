@@ -189,12 +189,12 @@ def test_chosen_paths_with_one_id_for_several_texts(spark):
 def test_chosen_paths_compare_long_texts_in_parts(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "PART_BYTES", 3000)
     texts = near_copies(3, 9, 150)
-    sketched = pd.DataFrame({"text": texts, "node": range(len(texts)), "doc_id": range(len(texts)), "h1": 0, "h2": 0, "weight": 1, "block": 0, "size": [len(t) for t in texts]})
-    sketched["sketch"] = [x.tobytes() for x in shingles.sketches(texts, 192)[0]]
+    sketched = pd.DataFrame({"text": texts, "node": range(len(texts)), "doc_id": range(len(texts)), "h1": 0, "h2": 0, "weight": 1, "block": 0, "leaf": 5, "low": 0, "high": 0, "size": [len(t) for t in texts]})
+    sketched["brief"] = [x.tobytes() for x in shingles.sketches(texts, 192)[0].astype(np.uint8)]
     sketched["leaves"] = [np.array([5])] * len(texts)
-    parts = chosen_path._candidates(sketched, 5, 0, 0, 0.8).merge(sketched[["node", "text"]], on="node")
+    parts = chosen_path._candidates(sketched, 0.8).merge(sketched[["node", "text"]], on="node")
     assert parts.across.any() and parts.groupby("part").text.agg(lambda t: t.str.len().sum()).max() <= 4000
-    found = pd.concat([chosen_path._compared(part, 5, 0, 0, 0.8) for _, part in parts.groupby("part")])
+    found = pd.concat([chosen_path._compared(part, 0.8) for _, part in parts.groupby("part")])
     links = found[found.kind == 0].groupby("a").n.sum()
     assert [int(links.get(k, 0)) for k in range(len(texts))] == [x[1] for x in plain_join(texts)]
 

@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.operators import chunking, code, dense, enrich, evidence, graph, graph_queries, hybrid, keyword, tickets
-from quarrymill.operators.documents import HTML_SUFFIXES, html_sections, markdown_sections, suffix
+from quarrymill.operators.documents import document_parser, html_sections, markdown_sections, suffix
 from quarrymill.operators.hybrid import QueryRequest
 from quarrymill.operators.python_source import parsed_python, python_sections
 from quarrymill.session import materialized
 from quarrymill.sources.files import DOCUMENT_SUFFIXES, read_repository
+from quarrymill.sources.ingest import Ingestion
 
-SECTION = ("path", "language", "section_idx", "title", "level", "kind", "content", "hierarchy")
+KEY = ("repo", "path")
+SECTION = (*KEY, "language", "section_idx", "title", "level", "kind", "content", "hierarchy")
 FACTS = ("framework_type", "classes", "symbols", "api_routes", "http_calls", "dependencies")
 SUMMARY_QUERY = "README architecture overview major modules important files configuration setup"
 SUMMARY_CHARS, SECTION_CHARS, MOST_SYMBOLS = 900, 1200, 50
 
 
 def repository_chunks(files: DataFrame, sizes: chunking.ChunkSizes | None = None) -> DataFrame:
-    """Chunks of files (repo, path, text) with file-level facts on each chunk; one row for each id."""
+    """Chunks of files (repo, path, text) with file-level facts on each chunk; one row for each id.
+
+    A file is known by repository and path.  PDF files count as documents whose text is given.
+    """
     is_doc = suffix(F.col("path")).isin(*DOCUMENT_SUFFIXES)
     docs, sources = files.filter(is_doc), files.filter(~is_doc)
-    is_html = suffix(F.col("path")).isin(*HTML_SUFFIXES)
-    pages = html_sections(docs.filter(is_html), "path", "text").withColumn("language", F.lit("html")).select(*SECTION)
-    texts = markdown_sections(docs.filter(~is_html)).withColumn("language", F.lit("markdown")).select(*SECTION)
+    parser = document_parser(F.col("path"))
+    pages = html_sections(docs.filter(parser == "html"), KEY, "text").withColumn("language", F.lit("html")).select(*SECTION)
+    texts = markdown_sections(docs.filter(parser != "html"), KEY).withColumn("language", parser).select(*SECTION)
     parsed = code.parsed_sources(sources)
     python = parsed_python(parsed.filter("language = 'python'"))
-    trees = python_sections(python).select(*SECTION)
+    trees = python_sections(python, KEY).select(*SECTION)
     has_tree = F.col("py.parsed") & (F.size("py.sections") > 0)
-    patterns = code.source_sections(parsed.filter("language <> 'python'").unionByName(python.filter(~has_tree).drop("py"))).select(*SECTION)
+    patterns = code.source_sections(parsed.filter("language <> 'python'").unionByName(python.filter(~has_tree).drop("py")), KEY).select(*SECTION)
     sections = pages.unionByName(texts).unionByName(trees).unionByName(patterns)
     none = F.array().cast("array<string>")
-    facts = parsed.select("path", *FACTS).unionByName(
-        docs.select("path", F.lit(None).cast("string").alias("framework_type"), *[none.alias(c) for c in FACTS[1:]])
+    facts = parsed.select(*KEY, *FACTS).unionByName(
+        docs.select(*KEY, F.lit(None).cast("string").alias("framework_type"), *[none.alias(c) for c in FACTS[1:]])
     )
-    hashed = files.select("repo", "path", enrich.source_hash(F.col("text")).alias("source_hash"))
-    made = chunking.chunks(sections.join(hashed, "path"), sizes).join(facts, "path")
+    hashed = files.select(*KEY, enrich.source_hash(F.col("text")).alias("source_hash"))
+    made = chunking.chunks(sections.join(hashed, list(KEY)), sizes, KEY).join(facts, list(KEY))
     made = made.withColumn("heading_hierarchy", F.col("section_hierarchy")).select(
         "id", "repo", "path", "language", "section", "heading_hierarchy", "section_hierarchy", "chunk_type", "text", "token_count", *FACTS,
         "prev_chunk_id", "next_chunk_id", "source_hash", "section_idx", "chunk_idx",
@@ -45,24 +52,38 @@ def repository_chunks(files: DataFrame, sizes: chunking.ChunkSizes | None = None
 
 
 class Engine:
-    """Search, graph and evidence over one table of chunks."""
+    """Search, graph and evidence over one table of chunks and the index tables kept beside it."""
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, ticket_table: DataFrame | None = None, dim: int = dense.DIM):
+    def __init__(
+        self, spark: SparkSession, chunks: DataFrame, ticket_table: DataFrame | None = None, dim: int = dense.DIM,
+        index: keyword.KeywordIndex | None = None, vectors: DataFrame | None = None,
+    ):
         self.spark, self.chunks, self.ticket_table, self.dim = spark, chunks, ticket_table, dim
-        self.index = keyword.build_index(chunks)
-        self.vectors = dense.hash_embedding(chunks, dim=dim)
+        self.index = index or keyword.build_index(chunks).kept(materialized)
+        self.vectors = materialized(dense.hash_embedding(chunks, dim=dim)) if vectors is None else vectors
         self.graph = graph.build_graph(chunks)
 
     @classmethod
-    def ingest(cls, spark: SparkSession, roots: dict[str, str], **options) -> Engine:
-        """An engine over the files below each root, by repository name."""
+    def ingest(
+        cls, spark: SparkSession, roots: dict[str, str], store: str | None = None, force: bool = False, pdf_text: Callable[[bytes], str] | None = None, **options
+    ) -> Engine:
+        """An engine over the files below each root, by repository name.
+
+        With a ``store`` folder only new and changed files are parsed; chunks, index tables, the
+        manifest and a record of the job are kept there (see ``sources.ingest``).
+        """
+        if not roots:
+            raise ValueError("no source given")
         files = None
         for repo, root in roots.items():
-            one = read_repository(spark, root, repo)
+            one = read_repository(spark, root, repo, pdf_text)
             files = one if files is None else files.unionByName(one)
-        if files is None:
-            raise ValueError("no source given")
-        return cls(spark, materialized(repository_chunks(files)), **options)
+        if store is None:
+            return cls(spark, materialized(repository_chunks(files)), **options)
+        kept = Ingestion(spark, store, dim=options.get("dim", dense.DIM))
+        kept.run(files, repository_chunks, force)
+        index = keyword.KeywordIndex.of(kept.table("postings"), kept.table("lengths")).kept(materialized)
+        return cls(spark, kept.table("chunks"), index=index, vectors=kept.table("vectors"), **options)
 
     def _dense(self, request: QueryRequest) -> DataFrame:
         kept = F.lit(True)
@@ -107,14 +128,7 @@ class Engine:
         return ranked.agg(rows.alias("rows")).select(F.array_join(F.transform(chosen, lambda r: r["text"]), "\n\n").alias("summary"))
 
     def summarize_repo(self, repo: str) -> DataFrame:
-        found = self.search(QueryRequest(SUMMARY_QUERY, repo))
-        rows = F.array_sort(F.collect_list(F.struct((-F.col("rerank_score")).alias("s"), "merge_rank", F.substring("text", 1, SUMMARY_CHARS).alias("text"))))
-        return found.agg(
-            F.array_join(F.transform(F.slice(rows, 1, 5), lambda r: r["text"]), "\n\n").alias("architecture_overview"),
-            F.array_sort(F.collect_set("path")).alias("important_files"),
-            F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("symbols")))), 1, MOST_SYMBOLS).alias("major_modules"),
-            F.array_sort(F.collect_set("framework_type")).alias("frameworks"),
-        )
+        return hybrid.summary_of(self.search(QueryRequest(SUMMARY_QUERY, repo)), SUMMARY_CHARS, MOST_SYMBOLS)
 
     def endpoints(self, repo: str | None = None, only_repo: bool = False) -> DataFrame:
         return graph_queries.endpoint_catalog(self.graph, repo, only_repo)
@@ -128,6 +142,10 @@ class Engine:
     def explain(self, feature: str, mode: str = "union") -> DataFrame:
         return evidence.summary(self.trace(feature), mode)
 
+    def report(self, feature: str) -> str:
+        """The evidence of a feature as text, without a language model."""
+        return evidence.report(self.trace(feature), self.chunks, feature)
+
     def stats(self) -> DataFrame:
         return graph.live_stats(self.graph)
 

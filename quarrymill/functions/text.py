@@ -5,6 +5,8 @@ Patterns use explicit Unicode classes and ``(?d)`` line ends because Java's defa
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +17,6 @@ TERM = r"[a-z0-9_]+"
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-def lit_regex(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches of one group; an optional group that did not take part gives ''."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -37,6 +35,11 @@ def terms(text: Column) -> Column:
     return matches(F.lower(text), TERM)
 
 
+def columns(key: str | Sequence[str]) -> list[str]:
+    """The names of a key of one column or several."""
+    return [key] if isinstance(key, str) else list(key)
+
+
 def sorted_distinct(values: Column) -> Column:
     return F.array_sort(F.array_distinct(values))
 

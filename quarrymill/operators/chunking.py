@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import matches, stripped, token_count, uuid5
+from quarrymill.functions.text import TOKEN, bound, columns, matches, stripped, token_count, uuid5
 
 #: A fenced block, or what lies between fenced blocks.
 FENCE_OR_TEXT = r"(?s)```.*?```|(?:(?!```.*?```).)+"
@@ -30,7 +31,7 @@ class ChunkSizes:
 
 def blocks(text: Column) -> Column:
     """Fenced blocks whole, other text at blank lines; an empty text is one block."""
-    parts = matches(text, FENCE_OR_TEXT)
+    parts = F.when(F.contains(text, F.lit("```")), matches(text, FENCE_OR_TEXT)).otherwise(F.array(text))
     cut = F.flatten(
         F.transform(parts, lambda p: F.when(F.startswith(stripped(p), F.lit("```")), F.array(stripped(p))).otherwise(F.transform(F.split(p, r"\n\s*\n"), stripped)))
     )
@@ -38,33 +39,50 @@ def blocks(text: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(text))
 
 
-def _overlap(current: Column, overlap: int) -> Column:
-    """Whole blocks from the end until they reach ``overlap`` tokens, at least one."""
-    state = F.struct(F.array().cast("array<string>").alias("blocks"), F.lit(0).alias("tokens"))
-    return F.aggregate(
-        F.reverse(current),
-        state,
-        lambda acc, b: F.when((F.size(acc["blocks"]) > 0) & (acc["tokens"] >= overlap), acc).otherwise(
-            F.struct(F.array_prepend(acc["blocks"], b).alias("blocks"), (acc["tokens"] + token_count(b)).alias("tokens"))
-        ),
-    )["blocks"]
-
-
 def packed(parts: Column, sizes: ChunkSizes) -> Column:
-    """Blocks greedily joined to texts of at most ``most`` tokens; a larger block stays whole."""
-    text = lambda blocks: stripped(F.array_join(blocks, GLUE))
-    state = F.struct(F.array().cast("array<string>").alias("current"), F.array().cast("array<string>").alias("done"))
-
-    def add(acc: Column, block: Column) -> Column:
-        longer = F.array_append(acc["current"], block)
-        full = (F.size(acc["current"]) > 0) & (token_count(text(longer)) > sizes.most)
-        carried = F.array_append(_overlap(acc["current"], sizes.overlap), block)
-        return F.struct(
-            F.when(full, carried).otherwise(longer).alias("current"),
-            F.when(full, F.array_append(acc["done"], text(acc["current"]))).otherwise(acc["done"]).alias("done"),
-        )
+    """Blocks greedily joined to texts of at most ``most`` tokens; a larger block stays whole.
+
+    Tokens do not reach over blocks, so each block is counted once and the fold is over numbers:
+    a chunk is a run of blocks, and the next one begins at the last blocks of it that reach
+    ``overlap`` tokens, at least one.  Texts are cut out at the end.
+    """
 
-    return F.aggregate(parts, state, add, lambda acc: F.array_append(acc["done"], text(acc["current"])))
+    def runs(counts: Column) -> Column:
+        span = lambda a, b: F.struct(a.alias("start"), b.alias("stop"))
+        state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("tokens"), F.array().cast("array<struct<start:int,stop:int>>").alias("done"))
+
+        def back(acc: Column) -> Column:
+            """(blocks, tokens) from the end of the present chunk that the next one begins with."""
+            kept = F.struct(F.lit(0).alias("blocks"), F.lit(0).alias("tokens"))
+            return F.aggregate(
+                F.reverse(F.slice(counts, acc["start"] + 1, acc["at"] - acc["start"])),
+                kept,
+                lambda k, n: F.when((k["blocks"] > 0) & (k["tokens"] >= sizes.overlap), k).otherwise(
+                    F.struct((k["blocks"] + 1).alias("blocks"), (k["tokens"] + F.greatest(F.lit(1), n)).alias("tokens"))
+                ),
+            )
+
+        def add(acc: Column, n: Column) -> Column:
+            full = (acc["at"] > acc["start"]) & (acc["tokens"] + n > sizes.most)
+            longer = F.struct((acc["at"] + 1).alias("at"), acc["start"].alias("start"), (acc["tokens"] + n).alias("tokens"), acc["done"].alias("done"))
+            cut = bound(
+                back(acc),
+                lambda k: F.struct(
+                    (acc["at"] + 1).alias("at"),
+                    (acc["at"] - k["blocks"]).alias("start"),
+                    (F.aggregate(F.slice(counts, acc["at"] - k["blocks"] + 1, k["blocks"]), F.lit(0), lambda s, x: s + x) + n).alias("tokens"),
+                    F.array_append(acc["done"], span(acc["start"], acc["at"])).alias("done"),
+                ),
+            )
+            return F.when(full, cut).otherwise(longer)
+
+        return F.aggregate(counts, state, add, lambda acc: F.array_append(acc["done"], span(acc["start"], acc["at"])))
+
+    def texts(parts: Column) -> Column:
+        found = bound(F.transform(parts, lambda b: F.regexp_count(b, F.lit(TOKEN))), runs)
+        return F.transform(found, lambda r: stripped(F.array_join(F.slice(parts, r["start"] + 1, r["stop"] - r["start"]), GLUE)))
+
+    return bound(parts, texts)
 
 
 def rebalanced(texts: Column, sizes: ChunkSizes) -> Column:
@@ -108,16 +126,17 @@ def chunk_id(path: Column, digest: Column, title: Column, index: Column, text: C
     return uuid5(name)
 
 
-def chunks(sections: DataFrame, sizes: ChunkSizes | None = None) -> DataFrame:
+def chunks(sections: DataFrame, sizes: ChunkSizes | None = None, key: str | Sequence[str] = "path") -> DataFrame:
     """Chunks of sections: adds chunk_idx, text, id, chunk_type, token_count, prev and next ids.
 
     ``sections`` has path, language, source_hash, section_idx, title, kind, content, hierarchy.
-    Links follow the order in the document; equal ids are kept, as links may name them.
+    Links follow the order in the document, which ``key`` names (repository and path where several
+    repositories are there); equal ids are kept, as links may name them.
     """
     sizes = sizes or ChunkSizes()
-    made = sections.withColumn("_chunks", rebalanced(packed(blocks(F.col("content")), sizes), sizes))
+    made = sections.withColumn("_texts", packed(blocks(F.col("content")), sizes)).withColumn("_chunks", rebalanced(F.col("_texts"), sizes))
     rows = made.select(*sections.columns, F.posexplode("_chunks").alias("chunk_idx", "c")).withColumns({"text": F.col("c.text"), "index": F.col("c.index")}).drop("c")
-    order = Window.partitionBy("path").orderBy("section_idx", "chunk_idx")
+    order = Window.partitionBy(*columns(key)).orderBy("section_idx", "chunk_idx")
     named = rows.withColumns(
         {
             "id": chunk_id(F.col("path"), F.col("source_hash"), F.col("title"), F.col("index"), F.col("text")),

@@ -6,10 +6,12 @@ All rules look at one file's text and its language.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import matches, non_empty, sorted_distinct, stripped
+from quarrymill.functions.text import columns, matches, sorted_distinct, stripped
 
 #: Suffixes of source files and their languages; other suffixes name themselves.
 LANGUAGES = {
@@ -156,7 +158,7 @@ def parsed_sources(files: DataFrame) -> DataFrame:
     ).drop("_routes", "_decorators")
 
 
-def source_sections(parsed: DataFrame) -> DataFrame:
+def source_sections(parsed: DataFrame, key: str | Sequence[str] = "path") -> DataFrame:
     """Sections of parsed files: one for each class, interface and function, each the whole file.
 
     A file without any is one module section.
@@ -166,13 +168,9 @@ def source_sections(parsed: DataFrame) -> DataFrame:
     symbols = F.concat(of("_classes", "class"), of("_interfaces", "interface"), of("_functions", "function"))
     whole = F.array(F.struct(name.alias("title"), F.lit(1).alias("level"), F.lit("module").alias("kind")))
     rows = parsed.select(
-        "path", "language", F.col("text").alias("content"), F.posexplode(F.when(F.size(symbols) > 0, symbols).otherwise(whole)).alias("section_idx", "s")
+        *columns(key), "language", F.col("text").alias("content"), F.posexplode(F.when(F.size(symbols) > 0, symbols).otherwise(whole)).alias("section_idx", "s"), name.alias("_name")
     )
     return rows.select(
-        "path", "language", "section_idx", F.col("s.title").alias("title"), F.col("s.level").alias("level"), F.col("s.kind").alias("kind"), "content",
-        F.when(F.col("s.kind") == "module", F.array(name)).otherwise(F.array(name, F.col("s.title"))).alias("hierarchy"),
+        *columns(key), "language", "section_idx", F.col("s.title").alias("title"), F.col("s.level").alias("level"), F.col("s.kind").alias("kind"), "content",
+        F.when(F.col("s.kind") == "module", F.array("_name")).otherwise(F.array(F.col("_name"), F.col("s.title"))).alias("hierarchy"),
     )
-
-
-def first_seen(values: Column) -> Column:
-    return non_empty(values)

@@ -13,13 +13,12 @@ DIM = 1024
 def hash_embedding(docs: DataFrame, key: str = "id", text: str = "text", dim: int = DIM) -> DataFrame:
     """Sparse hash embeddings (id, bucket, value) of unit length.
 
-    Equal tokens of a document are counted before they are hashed; sums are by (id, bucket).
-    Documents without tokens have no rows.
+    Tokens are hashed where they stand and summed by (id, bucket), combined before the shuffle;
+    norms are joined by id.  Documents without tokens have no rows.
     """
     lowered = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Z}]+")
     tokens = docs.select(F.col(key).alias("id"), F.explode(F.filter(lowered, lambda t: t != "")).alias("token"))
-    counted = tokens.groupBy("id", "token").agg(F.count("*").alias("times"))
-    summed = counted.groupBy("id", hash_bucket(F.col("token"), dim).alias("bucket")).agg(F.sum(F.col("times") * hash_sign(F.col("token"))).alias("raw"))
+    summed = tokens.groupBy("id", hash_bucket(F.col("token"), dim).alias("bucket")).agg(F.sum(hash_sign(F.col("token"))).alias("raw"))
     norms = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return summed.join(norms, "id").select("id", "bucket", (F.col("raw") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("value"))
 

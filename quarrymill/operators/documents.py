@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrymill.functions.text import matches, non_empty, stripped
+from quarrymill.functions.text import columns, matches, non_empty, stripped
 
 #: Heading lines, fenced blocks, and the terms that decide a section's kind.
 HEADING = r"(?dm)^(#{1,6})\s+(.+)$"
@@ -78,42 +79,43 @@ def heading_hierarchies(levels: Column, titles: Column) -> Column:
     )
 
 
-def markdown_sections(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+def markdown_sections(docs: DataFrame, key: str | Sequence[str] = "path", text: str = "text") -> DataFrame:
     """One row for each heading, or one ``document`` section: key, section_idx and section columns.
 
-    Text before the first heading is dropped.  The pieces between headings come from one split
-    by the heading pattern, their positions from sums of lengths, so a document is read once.
+    Text before the first heading is dropped.  Headings come from one match and the pieces
+    between them from one split; lines are running sums over both, so a document is folded once.
     """
-    base = docs.select(key, F.coalesce(text, F.lit("")).alias("_t"))
-    cut = base.withColumns(
-        {"_heads": matches(F.col("_t"), HEADING), "_levels": F.transform(matches(F.col("_t"), HEADING, 1), F.length), "_titles": headings(F.col("_t"))}
-    )
+    keys = columns(key)
+    cut = docs.select(*keys, F.coalesce(text, F.lit("")).alias("_t")).withColumn("_heads", matches(F.col("_t"), HEADING))
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     found = cut.filter(F.size("_heads") > 0).withColumns(
-        {"_bodies": F.split("_t", HEADING), "_paths": heading_hierarchies(F.col("_levels"), F.col("_titles"))}
+        {
+            "_levels": F.transform("_heads", lambda h: F.length(F.regexp_extract(h, "^#+", 0))),
+            "_titles": F.transform("_heads", lambda h: stripped(F.regexp_replace(h, r"^#{1,6}\s+", ""))),
+            "_bodies": F.split("_t", HEADING),
+        }
     )
-    rows = found.select(key, F.get("_bodies", F.lit(0)).alias("_before"), F.posexplode(F.arrays_zip("_heads", "_levels", "_titles", "_paths", F.expr("slice(_bodies, 2, size(_heads))").alias("_body"))).alias("section_idx", "s"), "_heads", "_bodies")
-    # newlines before a heading: those of all bodies and headings before it
-    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    lines_to = lambda upto: F.aggregate(
-        F.slice("_bodies", F.lit(1), upto + 1), F.lit(0), lambda n, b: n + newlines(b)
-    ) + F.aggregate(F.slice("_heads", F.lit(1), upto), F.lit(0), lambda n, h: n + newlines(h))
-    body = stripped(F.col("s._body"))
-    k = F.col("section_idx")
+    steps = F.zip_with("_heads", F.expr("slice(_bodies, 2, size(_heads))"), lambda h, b: newlines(h) + newlines(b))
+    lines = F.aggregate(steps, F.array(newlines(F.get("_bodies", F.lit(0)))), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+    found = found.withColumns({"_paths": heading_hierarchies(F.col("_levels"), F.col("_titles")), "_starts": lines})
+    parts = F.arrays_zip("_heads", "_levels", "_titles", "_paths", F.expr("slice(_bodies, 2, size(_heads))").alias("_body"), "_starts", F.expr("slice(_starts, 2, size(_heads))").alias("_ends"))
+    rows = found.select(*keys, F.posexplode(F.slice(parts, F.lit(1), F.size("_heads"))).alias("section_idx", "s"))
+    rows = rows.withColumn("_body", stripped(F.col("s._body")))
     sections = rows.select(
-        key,
-        k,
+        *keys,
+        "section_idx",
         F.col("s._titles").alias("title"),
         F.col("s._levels").alias("level"),
-        stripped(F.concat(F.col("s._heads"), F.lit("\n"), body)).alias("content"),
-        section_kind(F.col("s._titles"), body).alias("kind"),
-        (lines_to(k) + 1).alias("line_start"),
-        (lines_to(k + 1) + 1).alias("line_end"),
+        stripped(F.concat(F.col("s._heads"), F.lit("\n"), F.col("_body"))).alias("content"),
+        section_kind(F.col("s._titles"), F.col("_body")).alias("kind"),
+        (F.col("s._starts") + 1).alias("line_start"),
+        (F.col("s._ends") + 1).alias("line_end"),
         F.col("s._paths").alias("hierarchy"),
         F.expr("slice(s._paths, 1, size(s._paths) - 1)").alias("related_sections"),
     )
     none = F.array().cast("array<string>")
     whole = cut.filter(F.size("_heads") == 0).select(
-        key, F.lit(0).alias("section_idx"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("level"), F.col("_t").alias("content"),
+        *keys, F.lit(0).alias("section_idx"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("level"), F.col("_t").alias("content"),
         F.lit("document").alias("kind"), F.lit(1).alias("line_start"), F.greatest(F.lit(1), _line_count(F.col("_t"))).alias("line_end"),
         none.alias("hierarchy"), none.alias("related_sections"),
     )
@@ -200,7 +202,7 @@ def html_outline(html: str | None) -> dict:
     }
 
 
-def html_documents(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
+def html_documents(pages: DataFrame, key: str | Sequence[str] = "url", html: str = "html") -> DataFrame:
     """Key, text, headings, code_blocks, tables, and the levels and bodies of headings."""
     fields = "text string, headings array<string>, code_blocks array<string>, tables array<string>, levels array<int>, bodies array<string>"
 
@@ -208,25 +210,25 @@ def html_documents(pages: DataFrame, key: str = "url", html: str = "html") -> Da
         return pd.DataFrame([html_outline(x) for x in column])
 
     parsed = F.pandas_udf(outlined, fields)
-    return pages.select(key, parsed(F.col(html)).alias("p")).select(key, "p.*")
+    return pages.select(*columns(key), parsed(F.col(html)).alias("p")).select(*columns(key), "p.*")
 
 
-def html_sections(pages: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
+def html_sections(pages: DataFrame, key: str | Sequence[str] = "url", html: str = "html") -> DataFrame:
     """Sections of pages, as ``markdown_sections`` gives them; a page without headings is one."""
-    parsed = html_documents(pages, key, html)
+    keys, parsed = columns(key), html_documents(pages, key, html)
     paths = heading_hierarchies(F.col("levels"), F.col("headings"))
     rows = parsed.filter(F.size("headings") > 0).withColumn("paths", paths)
-    rows = rows.select(key, "text", F.posexplode(F.arrays_zip("levels", "headings", "paths", "bodies")).alias("section_idx", "s"))
+    rows = rows.select(*keys, "text", F.posexplode(F.arrays_zip("levels", "headings", "paths", "bodies")).alias("section_idx", "s"))
     last = F.greatest(F.lit(1), _line_count(F.col("text")))
     found = rows.select(
-        key, "section_idx", F.col("s.headings").alias("title"), F.col("s.levels").alias("level"),
+        *keys, "section_idx", F.col("s.headings").alias("title"), F.col("s.levels").alias("level"),
         stripped(F.concat(F.col("s.headings"), F.lit("\n"), F.col("s.bodies"))).alias("content"),
         section_kind(F.col("s.headings"), F.col("s.bodies")).alias("kind"), F.lit(1).alias("line_start"), last.alias("line_end"),
         F.col("s.paths").alias("hierarchy"), F.expr("slice(s.paths, 1, size(s.paths) - 1)").alias("related_sections"),
     )
     none = F.array().cast("array<string>")
     whole = parsed.filter(F.size("headings") == 0).select(
-        key, F.lit(0).alias("section_idx"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("level"), F.col("text").alias("content"),
+        *keys, F.lit(0).alias("section_idx"), F.lit(None).cast("string").alias("title"), F.lit(1).alias("level"), F.col("text").alias("content"),
         F.lit("document").alias("kind"), F.lit(1).alias("line_start"), last.alias("line_end"), none.alias("hierarchy"), none.alias("related_sections"),
     )
     return found.unionByName(whole)

@@ -7,7 +7,7 @@ by chunk id wins; that is the scan order here.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,23 +20,6 @@ from quarrymill.session import materialized
 HANDLER_NAMES = ("controller", "resource", "handler")
 
 
-@dataclass
-class Graph:
-    """Nodes by label and edges by type; nodes have an ``id``, edges ``src`` and ``dst``."""
-
-    repos: DataFrame
-    files: DataFrame
-    classes: DataFrame
-    endpoints: DataFrame
-    http_calls: DataFrame
-    belongs_to: DataFrame
-    defined_in: DataFrame
-    handles: DataFrame
-    depends_on: DataFrame
-    makes: DataFrame
-    resolves_to: DataFrame
-
-
 def class_id(repo: Column, path: Column, name: Column) -> Column:
     return F.concat_ws("::", repo, path, name)
 
@@ -71,24 +54,41 @@ def _with_verb(calls: Column) -> Column:
     return F.filter(calls, lambda c: F.size(F.split(c, " ", 2)) == 2)
 
 
+def _by_masks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of routes that agree wherever neither has a placeholder, for routes with one.
+
+    A route's mask says which segments are placeholders.  Each side meets the distinct masks of
+    the other with its verb and size, which are few, and joins on its own segments with those
+    under either mask blanked.
+    """
+    segments = lambda c: F.split(F.regexp_replace(c, "^/+|/+$", ""), "/")
+
+    def masked(rows: DataFrame, route: str) -> DataFrame:
+        return rows.withColumn("parts", segments(F.col(route))).withColumn("mask", F.transform("parts", lambda p: p == routes.PARAM))
+
+    def keyed(rows: DataFrame, others: DataFrame, own: str, other: str) -> DataFrame:
+        masks = others.select("verb", F.size("mask").alias("size"), F.col("mask").alias(other)).distinct()
+        met = rows.withColumn("size", F.size("mask")).withColumnRenamed("mask", own).join(masks, ["verb", "size"])
+        blank = F.zip_with(F.col(own), F.col(other), lambda x, y: x | y)
+        return met.filter(F.exists(blank, lambda v: v)).withColumn("key", F.array_join(F.zip_with("parts", blank, lambda p, v: F.when(v, "*").otherwise(p)), "/")).drop("parts", "size")
+
+    x, y = masked(a, "front"), masked(b, "back")
+    return keyed(x, y, "mask_a", "mask_b").join(keyed(y, x, "mask_b", "mask_a"), ["verb", "mask_a", "mask_b", "key"]).select("verb", "front", "back")
+
+
 def resolve_routes(fronts: DataFrame, backs: DataFrame) -> DataFrame:
     """(verb, front, back, match_quality) of distinct routes in normal form that match.
 
     Each way to match has an equi join of its own, so no pair is tried only because its verbs
     agree: equal routes on the route, prefixes on the exploded prefixes of the longer one, and
-    templates on the number of segments where one side has a placeholder.
+    templates on the segments that are literal under the placeholders of both.
     """
-    size = lambda c: F.size(F.split(F.regexp_replace(c, "^/+|/+$", ""), "/"))
     prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
-    has_slot = lambda c: F.contains(F.col(c), F.lit(routes.PARAM))
     a, b = fronts.select("verb", "front").distinct(), backs.select("verb", "back").distinct()
     exact = a.join(b.withColumn("front", F.col("back")), ["verb", "front"])
     below = b.filter("back <> ''").withColumn("front", prefixes(F.col("back"))).join(a.filter("front <> ''"), ["verb", "front"])
     above = a.filter("front <> ''").withColumn("back", prefixes(F.col("front"))).join(b.filter("back <> ''"), ["verb", "back"])
-    x, y = a.withColumn("size", size(F.col("front"))), b.withColumn("size", size(F.col("back")))
-    slots = x.filter(has_slot("front")).join(y, ["verb", "size"]).select("verb", "front", "back").unionByName(
-        x.filter(~has_slot("front")).join(y.filter(has_slot("back")), ["verb", "size"]).select("verb", "front", "back")
-    )
+    slots = _by_masks(a, b)
     pairs = exact.select("verb", "front", "back")
     for more in (below, above, slots):
         pairs = pairs.unionByName(more.select("verb", "front", "back"))
@@ -107,48 +107,97 @@ def resolve_calls(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     return linked.select("src", "dst", "match_quality", routes.confidence(F.col("match_quality")).alias("confidence"))
 
 
-def build_graph(chunks: DataFrame) -> Graph:
-    """All nodes and edges of the chunks; dependency edges as repeated builds converge to them.
+class Graph:
+    """Nodes by label and edges by type; nodes have an ``id``, edges ``src`` and ``dst``.
 
-    The facts of the chunks and the tables are materialised, as queries join them many times.
+    Tables are materialised once, when they are first asked for, as queries join them many
+    times; what a query does not ask for is not built.
     """
-    rows = materialized(usable_chunks(chunks).select(
-        F.col("id").alias("pos"), "repo", "path", "language", "framework_type", "text", "classes",
-        _with_verb(F.col("api_routes")).alias("routes"),
-        F.array_union(_with_verb(F.col("http_calls")), extract.http_calls(F.col("text"), F.col("language"))).alias("calls"),
-        F.array_union("dependencies", extract.dependencies(F.col("text"), F.col("language"))).alias("deps"),
-    ))
-    repos = rows.select(F.col("repo").alias("id")).distinct()
-    # the first chunk of each (repo, path) writes the file, the last such write stays
-    firsts = rows.groupBy("repo", "path").agg(F.min("pos").alias("pos"), F.min_by(F.struct("language", "framework_type"), "pos").alias("v"))
-    files = last_by(firsts.select("path", "pos", F.col("v.language").alias("language"), F.col("v.framework_type").alias("framework_type")), ["path"], ["language", "framework_type"]).withColumnRenamed("path", "id")
-    belongs_to = rows.select(F.col("path").alias("src"), F.col("repo").alias("dst")).distinct()
-
-    of_class = rows.select("pos", "repo", "path", "language", F.substring("text", 1, extract.SNIPPET).alias("text"), F.explode("classes").alias("name"))
-    kinds = of_class.withColumns({"id": class_id(F.col("repo"), F.col("path"), F.col("name")), "kind": extract.class_kind(F.col("text"), F.col("name"), F.col("language"))})
-    classes = last_by(kinds, ["id", "name", "repo", "path"], ["kind"])
-    defined_in = classes.select(F.col("id").alias("src"), F.col("path").alias("dst"))
-
-    routed = rows.select("pos", "repo", "path", handler_name(F.col("classes")).alias("handler"), F.explode("routes").alias("r")).select(
-        "pos", "repo", _verb(F.col("r")).alias("method"), _path(F.col("r")).alias("route"), F.when(F.col("handler").isNotNull(), class_id(F.col("repo"), F.col("path"), F.col("handler"))).alias("handler")
-    )
-    routed = routed.withColumn("id", F.concat_ws("::", "method", "route"))
-    endpoints = last_by(routed, ["id", "method", "route"], ["repo"]).withColumnRenamed("route", "path").withColumn("normalized_path", routes.normalized(F.col("path")))
-    handles = routed.filter("handler is not null").select(F.col("handler").alias("src"), F.col("id").alias("dst")).distinct()
 
-    called = rows.select("repo", "path", F.get("classes", F.lit(0)).alias("caller"), F.explode("calls").alias("c")).select(
-        "repo", _verb(F.col("c")).alias("method"), _path(F.col("c")).alias("route"), F.when(F.col("caller").isNotNull(), class_id(F.col("repo"), F.col("path"), F.col("caller"))).alias("caller")
-    )
-    called = called.withColumn("id", F.concat_ws("::", F.lit("call"), "repo", "method", "route"))
-    http_calls = called.select("id", "method", F.col("route").alias("path"), routes.normalized(F.col("route")).alias("normalized_path"), "repo").distinct()
-    makes = called.filter("caller is not null").select(F.col("caller").alias("src"), F.col("id").alias("dst")).distinct()
-
-    # each class of a chunk depends on each dependency of the chunk that is a class of the repository
-    wanted = rows.select("repo", "path", "classes", F.explode("deps").alias("dep")).select("repo", "dep", F.explode(F.transform("classes", lambda c: class_id(F.col("repo"), F.col("path"), c))).alias("src"))
-    known = classes.select("repo", F.col("name").alias("dep"), F.col("id").alias("dst"))
-    depends_on = wanted.distinct().join(known, ["repo", "dep"]).select("src", "dst").distinct()
-    tables = [materialized(t) for t in (repos, files, classes, endpoints, http_calls, belongs_to, defined_in, handles, depends_on, makes)]
-    return Graph(*tables, materialized(resolve_calls(tables[4], tables[3])))
+    def __init__(self, chunks: DataFrame):
+        self._chunks = chunks
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return materialized(usable_chunks(self._chunks).select(
+            F.col("id").alias("pos"), "repo", "path", "language", "framework_type", F.substring("text", 1, extract.SNIPPET).alias("text"), "classes",
+            _with_verb(F.col("api_routes")).alias("routes"),
+            F.array_union(_with_verb(F.col("http_calls")), extract.http_calls(F.col("text"), F.col("language"))).alias("calls"),
+            F.array_union("dependencies", extract.dependencies(F.col("text"), F.col("language"))).alias("deps"),
+        ))
+
+    @cached_property
+    def repos(self) -> DataFrame:
+        return materialized(self._rows.select(F.col("repo").alias("id")).distinct())
+
+    @cached_property
+    def files(self) -> DataFrame:
+        # the first chunk of each (repo, path) writes the file, the last such write stays
+        firsts = self._rows.groupBy("repo", "path").agg(F.min("pos").alias("pos"), F.min_by(F.struct("language", "framework_type"), "pos").alias("v"))
+        named = firsts.select("path", "pos", F.col("v.language").alias("language"), F.col("v.framework_type").alias("framework_type"))
+        return materialized(last_by(named, ["path"], ["language", "framework_type"]).withColumnRenamed("path", "id"))
+
+    @cached_property
+    def belongs_to(self) -> DataFrame:
+        return materialized(self._rows.select(F.col("path").alias("src"), F.col("repo").alias("dst")).distinct())
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        of_class = self._rows.select("pos", "repo", "path", "language", "text", F.explode("classes").alias("name"))
+        kinds = of_class.withColumns({"id": class_id(F.col("repo"), F.col("path"), F.col("name")), "kind": extract.class_kind(F.col("text"), F.col("name"), F.col("language"))})
+        return materialized(last_by(kinds, ["id", "name", "repo", "path"], ["kind"]))
+
+    @property
+    def defined_in(self) -> DataFrame:
+        return self.classes.select(F.col("id").alias("src"), F.col("path").alias("dst"))
+
+    @property
+    def _routed(self) -> DataFrame:
+        routed = self._rows.select("pos", "repo", "path", handler_name(F.col("classes")).alias("handler"), F.explode("routes").alias("r")).select(
+            "pos", "repo", _verb(F.col("r")).alias("method"), _path(F.col("r")).alias("route"), F.when(F.col("handler").isNotNull(), class_id(F.col("repo"), F.col("path"), F.col("handler"))).alias("handler")
+        )
+        return routed.withColumn("id", F.concat_ws("::", "method", "route"))
+
+    @cached_property
+    def endpoints(self) -> DataFrame:
+        return materialized(
+            last_by(self._routed, ["id", "method", "route"], ["repo"]).withColumnRenamed("route", "path").withColumn("normalized_path", routes.normalized(F.col("path")))
+        )
+
+    @cached_property
+    def handles(self) -> DataFrame:
+        return materialized(self._routed.filter("handler is not null").select(F.col("handler").alias("src"), F.col("id").alias("dst")).distinct())
+
+    @property
+    def _called(self) -> DataFrame:
+        called = self._rows.select("repo", "path", F.get("classes", F.lit(0)).alias("caller"), F.explode("calls").alias("c")).select(
+            "repo", _verb(F.col("c")).alias("method"), _path(F.col("c")).alias("route"), F.when(F.col("caller").isNotNull(), class_id(F.col("repo"), F.col("path"), F.col("caller"))).alias("caller")
+        )
+        return called.withColumn("id", F.concat_ws("::", F.lit("call"), "repo", "method", "route"))
+
+    @cached_property
+    def http_calls(self) -> DataFrame:
+        return materialized(self._called.select("id", "method", F.col("route").alias("path"), routes.normalized(F.col("route")).alias("normalized_path"), "repo").distinct())
+
+    @cached_property
+    def makes(self) -> DataFrame:
+        return materialized(self._called.filter("caller is not null").select(F.col("caller").alias("src"), F.col("id").alias("dst")).distinct())
+
+    @cached_property
+    def depends_on(self) -> DataFrame:
+        # each class of a chunk depends on each dependency of the chunk that is a class of the repository
+        wanted = self._rows.select("repo", "path", "classes", F.explode("deps").alias("dep")).select("repo", "dep", F.explode(F.transform("classes", lambda c: class_id(F.col("repo"), F.col("path"), c))).alias("src"))
+        known = self.classes.select("repo", F.col("name").alias("dep"), F.col("id").alias("dst"))
+        return materialized(wanted.distinct().join(known, ["repo", "dep"]).select("src", "dst").distinct())
+
+    @cached_property
+    def resolves_to(self) -> DataFrame:
+        return materialized(resolve_calls(self.http_calls, self.endpoints))
+
+
+def build_graph(chunks: DataFrame) -> Graph:
+    """All nodes and edges of the chunks; dependency edges as repeated builds converge to them."""
+    return Graph(chunks)
 
 
 def live_stats(graph: Graph) -> DataFrame:

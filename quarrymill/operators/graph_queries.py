@@ -15,7 +15,7 @@ def bounded_paths(starts: DataFrame, edges: DataFrame, hops: int = MOST_HOPS) ->
     """All paths (start, node, nodes, hops) of 0 to ``hops`` edges from the ``id``s of ``starts``.
 
     A path may meet a node again but uses no edge twice.  One join for each hop, all on the
-    edge's source; the edges are not collected.
+    edge's source, and each level is materialised, so no hop is computed again for the next.
     """
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next"))
     level = starts.select(
@@ -24,7 +24,7 @@ def bounded_paths(starts: DataFrame, edges: DataFrame, hops: int = MOST_HOPS) ->
     out = level.withColumn("hops", F.lit(0))
     for k in range(1, hops + 1):
         edge = F.struct(F.col("node").cast("string").alias("src"), F.col("_next").cast("string").alias("dst"))
-        level = (
+        level = materialized(
             level.join(step, "node")
             .filter(~F.array_contains("used", edge))
             .select("start", F.col("_next").alias("node"), F.array_append("nodes", F.col("_next")).alias("nodes"), F.array_append("used", edge).alias("used"))

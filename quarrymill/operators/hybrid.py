@@ -109,3 +109,14 @@ def reranked(merged: DataFrame, chunks: DataFrame, query: str, limit: int, key:
     top = scored.orderBy(F.desc("rerank_score"), "merge_rank").limit(limit)
     origin = F.concat(F.coalesce("repo", F.lit("")), F.lit(":"), "path", F.lit("#"), F.coalesce("section", F.lit("")))
     return top.withColumns({"confidence": confidence_band(F.col("normalized_score")), "origin": origin})
+
+
+def summary_of(found: DataFrame, chars: int, symbols: int) -> DataFrame:
+    """One row about the best results of a repository: texts of the first five, files, modules and frameworks."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("rerank_score")).alias("s"), "merge_rank", F.substring("text", 1, chars).alias("text"))))
+    return found.agg(
+        F.array_join(F.transform(F.slice(rows, 1, 5), lambda r: r["text"]), "\n\n").alias("architecture_overview"),
+        F.array_sort(F.collect_set("path")).alias("important_files"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("symbols")))), 1, symbols).alias("major_modules"),
+        F.array_sort(F.collect_set("framework_type")).alias("frameworks"),
+    )

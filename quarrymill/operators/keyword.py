@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,28 +25,65 @@ class KeywordIndex:
     idf: DataFrame
     totals: DataFrame
 
+    @classmethod
+    def of(cls, postings: DataFrame, lengths: DataFrame) -> KeywordIndex:
+        """The statistics of given postings; texts are not read again."""
+        totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        return cls(postings, lengths, _idf(postings.groupBy("term").agg(F.count("*").alias("n")), totals), totals)
 
-def build_index(docs: DataFrame, key: str = "id", text: str = "text") -> KeywordIndex:
-    """Postings by one aggregation on (id, term); statistics aggregate the postings.
+    def without(self, ids: DataFrame) -> KeywordIndex:
+        """Less the documents whose ``id`` is given."""
+        gone = ids.select("id").distinct()
+        return KeywordIndex.of(self.postings.join(gone, "id", "left_anti"), self.lengths.join(gone, "id", "left_anti"))
+
+    def with_documents(self, docs: DataFrame, key: str = "id", text: str = "text") -> KeywordIndex:
+        """With documents added; those whose id is there already are replaced."""
+        rest, new = self.without(docs.select(F.col(key).alias("id"))), build_index(docs, key, text)
+        return KeywordIndex.of(rest.postings.unionByName(new.postings), rest.lengths.unionByName(new.lengths))
+
+    def kept(self, keep: Callable[[DataFrame], DataFrame]) -> KeywordIndex:
+        """The same with every table put through ``keep``, which writes it once."""
+        return KeywordIndex(*(keep(t) for t in (self.postings, self.lengths, self.idf, self.totals)))
+
+
+def _idf(n: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, n, idf) of terms and the documents that have them.
 
     The mean idf takes negative values in; negative ones are then replaced by a share of it.
     """
+    raw = n.crossJoin(F.broadcast(totals.select("n_docs"))).withColumn("raw", F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "n", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+
+
+def build_index(docs: DataFrame, key: str = "id", text: str = "text") -> KeywordIndex:
+    """Postings by one aggregation on (id, term); statistics aggregate the postings."""
     tokenised = docs.select(F.col(key).alias("id"), terms(F.coalesce(text, F.lit(""))).alias("terms"))
     lengths = tokenised.select("id", F.size("terms").alias("dl"))
     postings = tokenised.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return KeywordIndex.of(postings, lengths)
+
+
+def query_index(docs: DataFrame, query: str, key: str = "id", text: str = "text") -> KeywordIndex:
+    """The index that one query needs, made without a shuffle by document.
+
+    Postings are those of the query's terms, counted inside each row; document frequencies are
+    one aggregation by term over the distinct terms of each row.
+    """
+    asked = sorted(set(re.findall(TERM, query.lower())))
+    tokenised = docs.select(F.col(key).alias("id"), terms(F.coalesce(text, F.lit(""))).alias("terms"))
+    lengths = tokenised.select("id", F.size("terms").alias("dl"))
+    counts = F.transform(
+        F.array(*[F.lit(t) for t in asked]).cast("array<string>"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).cast("long").alias("tf"))
+    )
+    postings = tokenised.select("id", F.explode(F.filter(counts, lambda c: c["tf"] > 0)).alias("c")).select("id", "c.term", "c.tf")
+    n = tokenised.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    n = postings.groupBy("term").agg(F.count("*").alias("n"))
-    raw = n.crossJoin(F.broadcast(totals.select("n_docs"))).withColumn("raw", F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "n", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return KeywordIndex(postings, lengths, idf, totals)
+    return KeywordIndex(postings, lengths, _idf(n, totals), totals)
 
 
 def query_terms(spark, query: str) -> DataFrame:
     """The query's terms with their number of occurrences; its size is the query's."""
-    import re
-    from collections import Counter
-
     found = Counter(re.findall(TERM, query.lower()))
     return spark.createDataFrame(sorted(found.items()), "term string, times long")
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.functions.text import columns
+
 #: Fixed value: decorator attributes that declare a route.
 ROUTE_VERBS = frozenset(("get", "post", "put", "delete", "patch"))
 
@@ -81,11 +84,11 @@ def parsed_python(files: DataFrame) -> DataFrame:
     return files.withColumn("py", F.pandas_udf(run, FIELDS)("text"))
 
 
-def python_sections(parsed: DataFrame) -> DataFrame:
+def python_sections(parsed: DataFrame, key: str | Sequence[str] = "path") -> DataFrame:
     """One row for each class, method and function, with its lines; methods also lie in their class."""
-    rows = parsed.filter("py.parsed").select("path", "text", F.posexplode("py.sections").alias("section_idx", "s"))
+    rows = parsed.filter("py.parsed").select(*columns(key), "text", F.posexplode("py.sections").alias("section_idx", "s"))
     lines = F.slice(F.split("text", "\n"), F.col("s.line_start"), F.col("s.line_end") - F.col("s.line_start") + 1)
     return rows.select(
-        "path", F.lit("python").alias("language"), "section_idx", F.col("s.title").alias("title"), F.lit(2).alias("level"), F.col("s.kind").alias("kind"),
+        *columns(key), F.lit("python").alias("language"), "section_idx", F.col("s.title").alias("title"), F.lit(2).alias("level"), F.col("s.kind").alias("kind"),
         F.array_join(lines, "\n").alias("content"), F.array("s.title").alias("hierarchy"), F.col("s.line_start").alias("line_start"), F.col("s.line_end").alias("line_end"),
     )

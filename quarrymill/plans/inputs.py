@@ -43,21 +43,27 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chunk for each Java file, with its file-level facts."""
-    parsed = code.parsed_sources(sources(spark, sf_dir).filter("repo <> 'web'"))
-    key = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
+    """One chunk for each source file, with its file-level facts."""
+    parsed = code.parsed_sources(sources(spark, sf_dir))
+    key = F.concat(F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.col("language"))
     return parsed.select(key.alias("id"), "repo", "path", "language", "framework_type", "text", "classes", "api_routes", "http_calls", "dependencies")
 
 
 #: The same classes and edges in DuckDB, from the table's keys alone.
 GRAPH_SQL = """
-k AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN 'beta' ELSE 'alpha' END AS repo FROM part),
-c AS (SELECT k, repo, 'src/C' || k || '.java' AS path, 'C' || k || CASE k % 3 WHEN 0 THEN 'Controller' WHEN 1 THEN 'Service' ELSE 'Repository' END AS name,
-             CASE k % 3 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' ELSE 'repository' END AS kind FROM k),
+k AS (SELECT p_partkey AS k, p_size AS s, CASE WHEN p_partkey % 10 = 0 THEN 'beta' ELSE 'alpha' END AS repo FROM part),
+c AS (SELECT k, s, repo, 'src/C' || k || '.java' AS path, 'C' || k || CASE k % 3 WHEN 0 THEN 'Controller' WHEN 1 THEN 'Service' ELSE 'Repository' END AS name,
+             CASE k % 3 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' ELSE 'repository' END AS kind FROM k
+      UNION ALL SELECT k, s, 'web', 'web/v' || k || '.ts', 'V' || k || 'Component', 'component' FROM k),
 cls AS (SELECT *, repo || '::' || path || '::' || name AS id FROM c),
-dep AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM cls a JOIN cls b ON a.repo = b.repo AND b.k % 3 <> 0 AND (b.k = a.k // 2 OR b.k = a.k // 3)),
-ends AS (SELECT 'GET::/api/p' || k || '/items' AS id, '/api/p' || k || '/items' AS path, repo, id AS handler, name, k FROM cls WHERE k % 3 = 0),
-calls AS (SELECT id AS caller_id, name AS caller, repo, path AS file, k // 2 AS target FROM cls WHERE k % 3 = 0)
+java AS (SELECT * FROM cls WHERE repo <> 'web'),
+dep AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM java a JOIN java b ON a.repo = b.repo AND b.k % 3 <> 0 AND (b.k = a.k // 2 OR b.k = a.k // 3)),
+ends AS (SELECT 'GET' AS method, 'GET::/api/p' || k || '/items' AS id, '/api/p' || k || '/items' AS path, repo, id AS handler, name, k FROM java WHERE k % 3 = 0
+         UNION ALL SELECT 'POST', 'POST::/v' || k, '/v' || k, repo, id, name, NULL FROM cls WHERE repo = 'web'),
+calls AS (SELECT id AS caller_id, name AS caller, repo, path AS file, k // 2 AS target FROM java WHERE k % 3 = 0
+          UNION ALL SELECT id, name, repo, path, k FROM cls WHERE repo = 'web'),
+made AS (SELECT caller_id, target, 'call::' || repo || '::GET::/api/p' || target || '/items' || x AS call FROM calls, (SELECT unnest(['', '?x=1']) AS x) WHERE repo <> 'web' OR x = ''
+         UNION ALL SELECT id, NULL, 'call::web::POST::/api/b' || s FROM cls WHERE repo = 'web')
 """
 
 #: Fixed inputs of search queries.

@@ -94,7 +94,7 @@ ranked AS (SELECT d.doc_id, d.lang, d.source, coalesce(s, 0) AS score FROM docum
 
 def _keyword(spark, sf_dir, limit, where=None) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return keyword.keyword_search(keyword.build_index(docs, "doc_id"), docs, KEYWORDS, limit, "doc_id", where=where)
+    return keyword.keyword_search(keyword.query_index(docs, KEYWORDS, "doc_id"), docs, KEYWORDS, limit, "doc_id", where=where)
 
 
 @register(f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score FROM ranked ORDER BY score DESC, doc_id LIMIT 10")
@@ -315,17 +315,20 @@ def chunk_table(spark, sf_dir):
 
 
 @register(
-    rf"""WITH c AS (SELECT doc_id, pos, 'd' || doc_id || ':' || pos AS id FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents))
-    SELECT doc_id, pos::INT AS pos, lag(id) OVER (PARTITION BY doc_id ORDER BY pos) AS prev_id, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS next_id FROM c"""
+    rf"""WITH c AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos, sha256(text) AS digest FROM documents),
+    t AS (SELECT *, {_STRIP_SQL.format('line')} AS b FROM c),
+    h AS (SELECT *, sha1(unhex('{text.URL_NAMESPACE}') || encode(path || ':' || digest || ':None:0:' || substr(b, 1, 128))) AS h FROM t),
+    i AS (SELECT *, {_UUID_SQL.format(h='h')} AS id FROM h)
+    SELECT path, pos::INT AS section_idx, id, lag(id) OVER w AS prev_chunk_id, lead(id) OVER w AS next_chunk_id, greatest(1, len(regexp_extract_all(b, '{_TOKEN_SQL}')))::INT AS token_count,
+           'config' AS chunk_type FROM i WINDOW w AS (PARTITION BY path ORDER BY pos)"""
 )
 def chunk_links(spark, sf_dir):
-    """Previous and next ids in document order, by the window that links chunks."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    named = rows.withColumn("id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(":"), F.col("pos").cast("string")))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    return named.select("doc_id", "pos", F.lag("id").over(order).alias("prev_id"), F.lead("id").over(order).alias("next_id"))
+    """Chunks of every line as a section of its own: ids, tokens, types and links in document order."""
+    docs = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    lines = docs.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("source_hash"), F.posexplode(F.split("text", "\n")).alias("section_idx", "content"))
+    sections = lines.withColumns({"language": F.lit("markdown"), "title": none, "kind": F.lit("config"), "hierarchy": F.array().cast("array<string>")})
+    return chunking.chunks(sections, chunking.ChunkSizes(1, 1000000, 1)).select("path", "section_idx", "id", "prev_chunk_id", "next_chunk_id", "token_count", "chunk_type")
 
 
 @register(
@@ -353,15 +356,13 @@ def _deps_sql(order: str) -> str:
       CASE WHEN p_partkey % 3 = 0 THEN 'GET /api/p' || (p_partkey // 2) || '/items?x=1' ELSE '' END AS http_calls,
       array_to_string(list_sort(list_distinct({_deps_sql('')})), '|') AS dependencies FROM part
     UNION ALL SELECT p_partkey, 'typescript', 'angular', 'V' || p_partkey || 'Component', 'POST /v' || p_partkey, 'GET /api/p' || p_partkey || '/items|POST /api/b' || p_size,
-      'Kafka' || p_size || 'Client' FROM part"""
+      'C' || p_partkey || 'Service' FROM part"""
 )
 def source_facts(spark, sf_dir):
-    """Facts of the ingest flavour; a script constructor's one lazy match takes the first name that fits."""
+    """Facts of the ingest flavour; of a script constructor the first injected class is taken."""
     parsed = code.parsed_sources(sources(spark, sf_dir))
-    first = F.when(F.col("language") == "typescript", F.transform("dependencies", lambda d: F.regexp_extract(d, r"(Kafka\d+Client|C\d+Service)$", 1))).otherwise(F.col("dependencies"))
-    lists = {"classes": F.col("classes"), "api_routes": F.col("api_routes"), "http_calls": F.col("http_calls")}
-    own = F.when(F.col("language") == "typescript", F.concat(F.lit("Kafka"), F.regexp_extract("text", r"Kafka(\d+)Client", 1), F.lit("Client"))).otherwise(joined(first))
-    return parsed.select("p_partkey", "language", F.col("framework_type").alias("framework"), *[joined(c).alias(n) for n, c in lists.items()], own.alias("dependencies"))
+    lists = [joined(F.col(c)).alias(c) for c in ("classes", "api_routes", "http_calls", "dependencies")]
+    return parsed.select("p_partkey", "language", F.col("framework_type").alias("framework"), *lists)
 
 
 @register(
@@ -406,8 +407,8 @@ def graph_classes(spark, sf_dir):
     UNION ALL SELECT 'HANDLES', handler, id FROM ends
     UNION ALL SELECT 'DEFINED_IN', id, path FROM cls
     UNION ALL SELECT 'BELONGS_TO', path, repo FROM cls
-    UNION ALL SELECT 'MAKES', caller_id, 'call::' || repo || '::GET::/api/p' || target || '/items' || x FROM calls, (SELECT unnest(['', '?x=1']) AS x)
-    UNION ALL SELECT DISTINCT 'RESOLVES_TO', 'call::' || c.repo || '::GET::/api/p' || target || '/items' || x, e.id FROM calls c JOIN ends e ON e.k = c.target, (SELECT unnest(['', '?x=1']) AS x)"""
+    UNION ALL SELECT 'MAKES', caller_id, call FROM made
+    UNION ALL SELECT DISTINCT 'RESOLVES_TO', call, e.id FROM made m JOIN ends e ON e.k = m.target"""
 )
 def graph_edges(spark, sf_dir):
     g = _graph(spark, sf_dir)
@@ -421,14 +422,14 @@ def graph_edges(spark, sf_dir):
 
 @register(
     f"""WITH {GRAPH_SQL} SELECT 'repos' AS label, count(DISTINCT repo) AS n FROM cls UNION ALL SELECT 'files', count(*) FROM cls UNION ALL SELECT 'classes', count(*) FROM cls
-    UNION ALL SELECT 'endpoints', count(*) FROM ends UNION ALL SELECT 'http_calls', 2 * count(DISTINCT repo || target) FROM calls
-    UNION ALL SELECT 'resolved_calls', 2 * count(DISTINCT c.repo || '/' || target) FROM calls c JOIN ends e ON e.k = c.target"""
+    UNION ALL SELECT 'endpoints', count(*) FROM ends UNION ALL SELECT 'http_calls', count(DISTINCT call) FROM made
+    UNION ALL SELECT 'resolved_calls', count(DISTINCT call) FROM made m JOIN ends e ON e.k = m.target"""
 )
 def graph_stats(spark, sf_dir):
     return graph.live_stats(_graph(spark, sf_dir))
 
 
-@register(f"WITH {GRAPH_SQL} SELECT count(DISTINCT repo) AS repos, count(*) AS files, count(*) AS classes, count(*) FILTER (WHERE k % 3 = 0) AS endpoints, 2 * count(*) FILTER (WHERE k % 3 = 0) AS http_calls FROM cls")
+@register(f"WITH {GRAPH_SQL} SELECT count(DISTINCT repo) AS repos, count(*) AS files, count(*) AS classes, (SELECT count(*) FROM ends) AS endpoints, (SELECT count(*) FROM made) AS http_calls FROM cls")
 def graph_build_stats(spark, sf_dir):
     return graph.build_stats(code_chunks(spark, sf_dir))
 
@@ -457,7 +458,7 @@ def dependencies_of(spark, sf_dir):
 
 
 @register(
-    f"""WITH {GRAPH_SQL} SELECT 'GET' AS method, e.path, e.repo AS endpoint_repo, e.name AS handlers, coalesce(array_to_string(list_sort(list(DISTINCT c.caller)), '|'), '') AS callers
+    f"""WITH {GRAPH_SQL} SELECT e.method, e.path, e.repo AS endpoint_repo, e.name AS handlers, coalesce(array_to_string(list_sort(list(DISTINCT c.caller)), '|'), '') AS callers
     FROM ends e LEFT JOIN calls c ON c.target = e.k GROUP BY ALL"""
 )
 def endpoint_catalog(spark, sf_dir):
@@ -466,7 +467,7 @@ def endpoint_catalog(spark, sf_dir):
 
 
 @register(
-    f"""WITH {GRAPH_SQL} SELECT 'GET' AS method, e.path, e.repo AS endpoint_repo, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN e.repo = 'beta' THEN c.file END)), '|'), '') AS caller_files
+    f"""WITH {GRAPH_SQL} SELECT e.method, e.path, e.repo AS endpoint_repo, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN e.repo = 'beta' THEN c.file END)), '|'), '') AS caller_files
     FROM ends e LEFT JOIN calls c ON c.target = e.k GROUP BY ALL"""
 )
 def endpoint_catalog_scoped(spark, sf_dir):
@@ -492,7 +493,9 @@ def trace(spark, sf_dir):
 @register(
     f"""WITH RECURSIVE {_PATHS}, t AS (SELECT e.path, e.k, unnest(p.names) AS n FROM ends e JOIN paths p ON p.start = e.handler WHERE contains(e.path, '{FEATURE}'))
     SELECT (SELECT count(DISTINCT path) FROM t) AS backend_endpoints, (SELECT count(DISTINCT c.caller_id || t.path) FROM t JOIN calls c ON c.target = t.k) AS frontend_components,
-      (SELECT count(DISTINCT path) FROM t)::INT AS chain_length, 0::BIGINT AS unresolved_hops, 1.0::DOUBLE AS confidence"""
+      (SELECT count(DISTINCT path) FROM t)::INT AS chain_length,
+      (SELECT count(DISTINCT n) FROM t WHERE n NOT IN (SELECT name FROM cls)) AS unresolved_hops,
+      (SELECT CASE WHEN count(*) = 0 THEN 0 ELSE round(coalesce(avg(CASE WHEN c.target = t.k THEN 1.0 END), 0.75), 2) END FROM t LEFT JOIN calls c ON c.target = t.k)::DOUBLE AS confidence"""
 )
 def evidence_summary(spark, sf_dir):
     """Every name of a chain is in the graph when all rows count; callers always match themselves."""

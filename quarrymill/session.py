@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,13 @@ def session(app: str = "quarrymill", **conf: str) -> SparkSession:
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder: a short plan for what is joined many times.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as on one
-    machine, a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``.  Only where none is set and Spark runs
+    in one process is a temporary one made; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrymill-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrymill-"))
     return df.checkpoint()

@@ -48,6 +48,10 @@ class ChunkStore:
     def _write(self, name: str, rows: DataFrame) -> None:
         rows.write.parquet(f"{self.root}/{name}/v{max(self._versions(name), default=0) + 1}")
 
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """``rows``, which may derive from the present version, as the next version."""
+        self._write(name, rows)
+
     def upsert(self, name: str, rows: DataFrame, key: str = "id") -> None:
         self._write(name, upserted(self.scan(name), rows, key))
 

@@ -65,10 +65,33 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def quoted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking over conversations whose turns quote the two turns before them, at two levels."""
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+
+    def before(n: int) -> DataFrame:
+        marks = ">" * n + " "
+        lines = F.concat(F.lit(marks), F.replace("said", F.lit("\n"), F.lit(f"\n{marks}")), F.lit("\n"))
+        return said.select("conv_id", (F.col("turn") + n).alias("turn"), lines.alias(f"before{n}"))
+
+    joined = messages.join(before(2), ["conv_id", "turn"], "left").join(before(1), ["conv_id", "turn"], "left")
+    text = F.concat(F.coalesce("before2", F.lit("")), F.coalesce("before1", F.lit("")), F.coalesce("text", F.lit("")))
+    return quotes.reply_ordered(joined.select("conv_id", "turn", "role", text.alias("text")))
+
+
+#: The same derivation in DuckDB, before the SQL of quotation linking.
+_QUOTED = """WITH RECURSIVE said AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY 1, 2),
+quoted AS (
+  SELECT c.conv_id, c.turn, role, coalesce('>> ' || replace(b.said, chr(10), chr(10) || '>> ') || chr(10), '') || coalesce('> ' || replace(a.said, chr(10), chr(10) || '> ') || chr(10), '') || coalesce(text, '') AS text
+  FROM conversations c LEFT JOIN said a ON a.conv_id = c.conv_id AND a.turn + 1 = c.turn LEFT JOIN said b ON b.conv_id = c.conv_id AND b.turn + 2 = c.turn
+), m AS"""
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_inner_product_search, op2_license_scan, op3_vector_range_join, op4_source_mixing, op5_line_dedup,
-        op6_quotation_linking, op7_toxic_passages, op8_hilbert_sharding, op9_bpe_round_trip, op10_shingle_join,
+        op6_quotation_linking, op7_toxic_passages, op8_hilbert_sharding, op9_bpe_round_trip, op10_shingle_join, quoted_turns,
     )
     return {f.__name__: f for f in own}
 
@@ -80,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": lines.ORACLE,
         "op6_quotation_linking": quotes.ORACLE,
         "op10_shingle_join": chosen_path.ORACLE,
+        "quoted_turns": quotes.ORACLE.replace("FROM conversations),", "FROM quoted),").replace("WITH RECURSIVE m AS", _QUOTED),
     }

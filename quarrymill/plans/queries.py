@@ -253,18 +253,18 @@ def route_link(spark, sf_dir):
 def _markdown(spark, sf_dir) -> DataFrame:
     """Each document under two headings, as a Markdown file."""
     docs = table(spark, sf_dir, "documents")
-    body = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n\n## "), "lang", F.lit(" settings\n"), F.substring("text", 1, 100), F.lit("\n"))
+    body = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n\n## "), "lang", F.lit(" settings\n"), "text", F.lit("\n"))
     return docs.select(F.col("doc_id").alias("path"), body.alias("text"))
 
 
-_STRIPPED_TEXT, _STRIPPED_HEAD = _STRIP_SQL.format("text"), _STRIP_SQL.format("substr(text, 1, 100)")
+_STRIPPED_TEXT, _STRIPPED_HEAD = _STRIP_SQL.format("text"), _STRIP_SQL.format("text")
 _ARCH = "(lower(substr({b}, 1, 200)) LIKE '%architecture%' OR lower(substr({b}, 1, 200)) LIKE '%design%' OR lower(substr({b}, 1, 200)) LIKE '%component%' OR lower(substr({b}, 1, 200)) LIKE '%module%')"
 _CONF = "(lower(substr({b}, 1, 200)) LIKE '%config%' OR lower(substr({b}, 1, 200)) LIKE '%settings%' OR lower(substr({b}, 1, 200)) LIKE '%.env%')"
 
 
 @register(
     rf"""WITH b AS (SELECT doc_id, source, lang, {_STRIPPED_TEXT} AS b1, {_STRIPPED_HEAD} AS b2, len(text) - len(replace(text, chr(10), '')) AS nl,
-      len(substr(text, 1, 100)) - len(replace(substr(text, 1, 100), chr(10), '')) AS nl2 FROM documents)
+      len(text) - len(replace(text, chr(10), '')) AS nl2 FROM documents)
     SELECT doc_id AS path, 0 AS section_idx, source AS title, 1 AS level, sha256({_STRIP_SQL.format("'# ' || source || chr(10) || b1")}) AS content_hash,
       CASE WHEN {_ARCH.format(b='b1')} THEN 'architecture' WHEN {_CONF.format(b='b1')} THEN 'config' WHEN contains(b1, '```') THEN 'code' ELSE 'section' END AS kind,
       1 AS line_start, (nl + 4)::INT AS line_end, source AS hierarchy FROM b
@@ -298,9 +298,33 @@ def block_split(spark, sf_dir):
 SMALL_CHUNKS = chunking.ChunkSizes(60, 150, 25)
 
 
-@register()
+#: The fold over blocks as recursion: ``c`` holds running token counts, ``fold`` the runs of blocks so far.
+_PACKED = rf"""
+b AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP_SQL.format('x')}), lambda x: x <> '') AS l FROM documents),
+n AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [replace(text, chr(10), chr(10) || chr(10))] END AS bl FROM b),
+t AS (SELECT doc_id, bl, list_transform(bl, lambda x: len(regexp_extract_all(x, '{_TOKEN_SQL}'))) AS cnt FROM n),
+c AS (SELECT doc_id, bl, len(bl) AS m, list_transform(range(len(bl) + 1), lambda i: coalesce(list_sum(cnt[1:i]), 0)) AS cum FROM t),
+fold(doc_id, k, start, done) AS (
+  SELECT doc_id, 0::BIGINT, 0::BIGINT, []::STRUCT(a BIGINT, z BIGINT)[] FROM c
+  UNION ALL SELECT f.doc_id, k + 1,
+    CASE WHEN k > start AND cum[k + 2] - cum[start + 1] > 150 THEN greatest(start, len(list_filter(cum[1:k], lambda x: x <= cum[k + 1] - 25)) - 1) ELSE start END,
+    CASE WHEN k > start AND cum[k + 2] - cum[start + 1] > 150 THEN list_append(done, {{'a': start, 'z': k}}) ELSE done END
+  FROM fold f JOIN c USING (doc_id) WHERE k < m
+),
+runs AS (SELECT f.doc_id, list_append(done, {{'a': start, 'z': m}}) AS r, bl, cum FROM fold f JOIN c ON c.doc_id = f.doc_id AND f.k = c.m),
+one AS (SELECT doc_id, bl, cum, unnest(r) AS r, unnest(range(len(r))) AS j FROM runs),
+piece AS (SELECT doc_id, j, {_STRIP_SQL.format("array_to_string(bl[r.a + 1:r.z], chr(10) || chr(10))")} AS body, greatest(1, cum[r.z + 1] - cum[r.a + 1]) AS tokens FROM one),
+kept AS (SELECT *, (tokens >= 60 OR j = 0)::INT AS keep FROM piece),
+placed AS (SELECT *, least(sum(keep) OVER (PARTITION BY doc_id ORDER BY j) + 1 - keep, sum(keep) OVER (PARTITION BY doc_id)) AS g FROM kept)
+"""
+
+
+@register(
+    f"""WITH RECURSIVE {_PACKED}
+    SELECT doc_id, (g - 1)::INT AS chunk_idx, sum(tokens)::INT AS tokens, sha256({_STRIP_SQL.format("string_agg(body, chr(10) || chr(10) ORDER BY j)")}) AS text_hash FROM placed GROUP BY doc_id, g"""
+)
 def chunk_pack(spark, sf_dir):
-    """Packed, overlapped and rebalanced chunks of every document; tested against a plain fold."""
+    """Packed, overlapped and rebalanced chunks of every document."""
     spaced = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     texts = chunking.rebalanced(chunking.packed(chunking.blocks(spaced), SMALL_CHUNKS), SMALL_CHUNKS)
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(texts).alias("chunk_idx", "c"))

@@ -145,3 +145,82 @@ def test_two_repositories_may_share_a_path_and_an_endpoint(spark):
     assert g.files.count() == 1 and g.belongs_to.count() == 2
     assert [(r["id"], r["repo"]) for r in g.endpoints.collect()] == [("GET::/x", "r2")] and g.handles.count() == 2
     assert graph_queries.endpoint_catalog(g).first()["frontend_callers"][0]["caller"] is None
+
+
+def write(root, files):
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+
+
+def test_same_relative_path_in_two_repositories(spark):
+    """Each text stays under its own repository, and links stay in the file."""
+    sizes = ChunkSizes(1, 3, 1)
+    rows = [("a", "README.md", "# One\nx y z\n\nu v w"), ("b", "README.md", "# Two\nq"), ("a", "m.py", "def f():\n    return 1\n"), ("b", "m.py", "def g(x):\n    return x\n"), ("a", "p.html", "<h1>H</h1><p>a</p>"), ("b", "p.html", "<h1>K</h1><p>b</p>")]
+    found = repository_chunks(spark.createDataFrame(rows, "repo string, path string, text string"), sizes).collect()
+    texts = {(r["repo"], r["path"]): set() for r in found}
+    for r in found:
+        texts[r["repo"], r["path"]].add(r["text"])
+        if r["next_chunk_id"]:
+            assert [(n["repo"], n["path"]) for n in found if n["id"] == r["next_chunk_id"]] == [(r["repo"], r["path"])]
+    assert texts["b", "README.md"] == {"# Two\nq"} and "# Two\nq" not in texts["a", "README.md"]
+    assert texts["a", "m.py"] == {"def f():\n    return 1"} and texts["b", "m.py"] == {"def g(x):\n    return x"}
+    assert texts["a", "p.html"] == {"H\na"} and texts["b", "p.html"] == {"K\nb"}
+
+
+def test_second_ingest_parses_only_what_changed(spark, tmp_path):
+    from quarrymill.sources.ingest import Ingestion
+
+    root, store = tmp_path / "repo", str(tmp_path / "store")
+    write(root, {"a.md": "# A\nalpha words", "b.md": "# B\nbeta words", "c.py": "def c():\n    return 3\n"})
+    jobs = lambda: Ingestion(spark, store).table("jobs").orderBy("started").collect()
+    first = Engine.ingest(spark, {"r": str(root)}, store=store)
+    assert first.chunks.count() == 3 and [(j["status"], j["parsed"], j["skipped"]) for j in jobs()] == [("completed", 3, 0)]
+    write(root, {"a.md": "# A\ngamma words now"})
+    (root / "b.md").unlink()
+    second = Engine.ingest(spark, {"r": str(root)}, store=store)
+    assert tuple(jobs()[-1])[1:7] == ("completed", 1, 1, 1, 2, 1)
+    assert {r["text"] for r in second.chunks.collect()} == {"# A\ngamma words now", "def c():\n    return 3"}
+    assert {r["term"] for r in second.index.idf.collect()} == {"a", "gamma", "words", "now", "def", "c", "return", "3"}
+    assert {r["id"] for r in second.vectors.collect()} == {r["id"] for r in second.chunks.collect()}
+    assert second.search("gamma words", limit=1).first()["path"].endswith("a.md")
+    with pytest.raises(RuntimeError):
+        Ingestion(spark, store).run(read_repository(spark, str(root), "r"), lambda files: (_ for _ in ()).throw(RuntimeError("no parser")), force=True, job_id="bad")
+    assert Ingestion(spark, store).job("bad").first()["status"] == "failed" and Ingestion(spark, store).job("none").count() == 0
+    assert Engine.ingest(spark, {"r": str(root)}, store=store).chunks.count() == 2 and jobs()[-1]["skipped"] == 2
+
+
+def test_pdf_files_need_a_reader(spark, tmp_path):
+    write(tmp_path, {"a.pdf": b"%PDF-1.4 \xff", "b.md": "x"})
+    assert [r["path"][-4:] for r in read_repository(spark, str(tmp_path)).collect()] == ["b.md"]
+    files = read_repository(spark, str(tmp_path), "r", pdf_text=lambda raw: f"# Page\n{len(raw)} bytes")
+    found = {r["path"][-5:]: r for r in repository_chunks(files).collect()}
+    assert (found["a.pdf"]["text"], found["a.pdf"]["language"], found["a.pdf"]["chunk_type"]) == ("# Page\n10 bytes", "pdf", "pdf") and len(found) == 2
+
+
+def test_report_is_the_evidence_as_text(engine):
+    text = engine.report("users")
+    assert text == engine.report("users")
+    assert "GET /api/users/{id}: UserController (controller) in back" in text and "takes UserResponse, gives UserRequest" in text
+    assert "UserComponent" in text and "## Chain\nUserController\n" in text and "## Provenance\n1. " in text
+    assert "- none found" in engine.report("nothing")
+
+
+def test_keyword_index_takes_and_loses_documents(spark):
+    docs = spark.createDataFrame(list(enumerate(["a b a", "b c", "b d e", "", "b"])), "id long, text string")
+    whole = keyword.build_index(docs)
+    plain = lambda index: [sorted(map(tuple, t.collect())) for t in (index.postings, index.lengths, index.idf, index.totals)]
+    assert plain(keyword.build_index(docs.filter("id < 2")).with_documents(docs.filter("id >= 1"))) == plain(whole)
+    assert plain(whole.without(docs.filter("id = 2").select("id"))) == plain(keyword.build_index(docs.filter("id <> 2")))
+    asked = keyword.query_index(docs, "b a zz")
+    assert plain(asked)[1:] == plain(whole)[1:] and sorted(map(tuple, asked.postings.collect())) == [(0, "a", 2), (0, "b", 1), (1, "b", 1), (2, "b", 1), (4, "b", 1)]
+
+
+def test_routes_join_on_literal_segments(spark):
+    from quarrymill.functions import routes
+
+    names = ["/a/{param}", "/a/b", "/{param}/b", "/a/{param}/c", "/a/b/c", "/{param}/{param}", "/x/y", "", "/a"]
+    rows = spark.createDataFrame([(v, n) for v in ("GET", "PUT") for n in names], "verb string, front string")
+    got = {tuple(r) for r in graph.resolve_routes(rows, rows.withColumnRenamed("front", "back")).collect()}
+    every = rows.join(rows.withColumnRenamed("front", "back"), "verb").withColumn("q", routes.match_quality(F.col("front"), F.col("back"))).filter("q <> 'none'")
+    assert got == {tuple(r) for r in every.select("verb", "front", "back", "q").collect()}

@@ -49,7 +49,7 @@ def mapped(df: DataFrame, made: Callable[[pd.DataFrame], pd.DataFrame], schema:
     def run(batches):
         for batch in slices(batches, size):
             part = batch.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
-            yield pa.RecordBatch.from_pandas(made(part), arrow, preserve_index=False)
+            yield from pa.Table.from_pandas(made(part), arrow, preserve_index=False).combine_chunks().to_batches()
 
     return df.mapInArrow(run, schema)
 

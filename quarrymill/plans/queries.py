@@ -298,10 +298,9 @@ def block_split(spark, sf_dir):
 SMALL_CHUNKS = chunking.ChunkSizes(60, 150, 25)
 
 
-#: The fold over blocks as recursion: ``c`` holds running token counts, ``fold`` the runs of blocks so far.
+#: The fold over blocks as recursion, from ``b`` (doc_id, text, blocks l): ``c`` holds running token counts, ``fold`` the runs of blocks so far.
 _PACKED = rf"""
-b AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP_SQL.format('x')}), lambda x: x <> '') AS l FROM documents),
-n AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [replace(text, chr(10), chr(10) || chr(10))] END AS bl FROM b),
+n AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [text] END AS bl FROM b),
 t AS (SELECT doc_id, bl, list_transform(bl, lambda x: len(regexp_extract_all(x, '{_TOKEN_SQL}'))) AS cnt FROM n),
 c AS (SELECT doc_id, bl, len(bl) AS m, list_transform(range(len(bl) + 1), lambda i: coalesce(list_sum(cnt[1:i]), 0)) AS cum FROM t),
 fold(doc_id, k, start, done) AS (
@@ -315,14 +314,14 @@ runs AS (SELECT f.doc_id, list_append(done, {{'a': start, 'z': m}}) AS r, bl, cu
 one AS (SELECT doc_id, bl, cum, unnest(r) AS r, unnest(range(len(r))) AS j FROM runs),
 piece AS (SELECT doc_id, j, {_STRIP_SQL.format("array_to_string(bl[r.a + 1:r.z], chr(10) || chr(10))")} AS body, greatest(1, cum[r.z + 1] - cum[r.a + 1]) AS tokens FROM one),
 kept AS (SELECT *, (tokens >= 60 OR j = 0)::INT AS keep FROM piece),
-placed AS (SELECT *, least(sum(keep) OVER (PARTITION BY doc_id ORDER BY j) + 1 - keep, sum(keep) OVER (PARTITION BY doc_id)) AS g FROM kept)
+placed AS (SELECT *, least(sum(keep) OVER (PARTITION BY doc_id ORDER BY j) + 1 - keep, sum(keep) OVER (PARTITION BY doc_id)) AS g FROM kept),
+packed AS (SELECT doc_id, (g - 1)::INT AS chunk_idx, CASE WHEN count(*) = 1 THEN min(j) ELSE g - 1 END AS idx, sum(tokens)::INT AS tokens,
+           {_STRIP_SQL.format("string_agg(body, chr(10) || chr(10) ORDER BY j)")} AS body FROM placed GROUP BY doc_id, g)
 """
+_LINES = rf"""b AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP_SQL.format('x')}), lambda x: x <> '') AS l FROM documents)"""
 
 
-@register(
-    f"""WITH RECURSIVE {_PACKED}
-    SELECT doc_id, (g - 1)::INT AS chunk_idx, sum(tokens)::INT AS tokens, sha256({_STRIP_SQL.format("string_agg(body, chr(10) || chr(10) ORDER BY j)")}) AS text_hash FROM placed GROUP BY doc_id, g"""
-)
+@register(f"WITH RECURSIVE {_LINES}, {_PACKED} SELECT doc_id, chunk_idx, tokens, sha256(body) AS text_hash FROM packed")
 def chunk_pack(spark, sf_dir):
     """Packed, overlapped and rebalanced chunks of every document."""
     spaced = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
@@ -331,7 +330,18 @@ def chunk_pack(spark, sf_dir):
     return rows.select("doc_id", "chunk_idx", text.token_count(F.col("c.text")).alias("tokens"), F.sha2("c.text", 256).alias("text_hash"))
 
 
-@register()
+@register(
+    rf"""WITH RECURSIVE md AS (SELECT doc_id, source, lang, text, {_STRIPPED_TEXT} AS own, '# ' || source || chr(10) || text || chr(10) || chr(10) || '## ' || lang || ' settings' || chr(10) || text || chr(10) AS whole FROM documents),
+    s AS (SELECT doc_id::VARCHAR || ':0' AS doc_id, doc_id::VARCHAR AS path, 0 AS section_idx, source AS title, sha256(whole) AS digest, {_STRIP_SQL.format("'# ' || source || chr(10) || own")} AS text,
+            CASE WHEN {_ARCH.format(b='own')} THEN 'architecture' WHEN {_CONF.format(b='own')} THEN 'config' ELSE 'markdown' END AS chunk_type FROM md
+          UNION ALL SELECT doc_id::VARCHAR || ':1', doc_id::VARCHAR, 1, lang || ' settings', sha256(whole), {_STRIP_SQL.format("'## ' || lang || ' settings' || chr(10) || own")},
+            CASE WHEN {_ARCH.format(b='own')} THEN 'architecture' ELSE 'config' END FROM md),
+    b AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: {_STRIP_SQL.format('x')}), lambda x: x <> '') AS l FROM s), {_PACKED},
+    h AS (SELECT s.path, s.section_idx, chunk_idx, s.chunk_type, tokens AS token_count, s.title AS section,
+            sha1(unhex('{text.URL_NAMESPACE}') || encode(path || ':' || digest || ':' || title || ':' || idx || ':' || substr(body, 1, 128))) AS h FROM packed p JOIN s USING (doc_id)),
+    i AS (SELECT *, {_UUID_SQL.format(h='h')} AS id FROM h)
+    SELECT path, section_idx, chunk_idx, id, chunk_type, token_count, section, lag(id) OVER w AS prev_chunk_id, lead(id) OVER w AS next_chunk_id FROM i WINDOW w AS (PARTITION BY path ORDER BY section_idx, chunk_idx)"""
+)
 def chunk_table(spark, sf_dir):
     """The chunks that ingest makes of documents as Markdown, with ids, types and links."""
     docs = _markdown(spark, sf_dir).withColumn("path", F.col("path").cast("string"))
@@ -536,7 +546,11 @@ def unresolved_hops(spark, sf_dir):
     return evidence.unresolved_hops(graph_queries.trace(_graph(spark, sf_dir), FEATURE), "first_row")
 
 
-@register()
+@register(
+    f"""WITH {GRAPH_SQL}, e AS (SELECT * FROM ends WHERE contains(path, '{FEATURE}')), nm AS (SELECT DISTINCT name FROM e ORDER BY name LIMIT 20),
+    ch AS (SELECT name FROM java WHERE name IN (SELECT name FROM nm) ORDER BY lpad(k::VARCHAR, 12, '0') LIMIT 30)
+    SELECT method, path, name AS handler_class, CASE WHEN name IN (SELECT name FROM ch) THEN 'P' || k || 'Response' END AS request_dto, CASE WHEN name IN (SELECT name FROM ch) THEN 'P' || k || 'Request' END AS response_dto FROM e"""
+)
 def supporting_chunks(spark, sf_dir):
     ends = evidence.backend_endpoints(graph_queries.trace(_graph(spark, sf_dir), FEATURE))
     found = evidence.supporting_chunks(code_chunks(spark, sf_dir), evidence.class_names(ends))

@@ -42,8 +42,6 @@ BEGINNINGS = (2, 3, 4, 5, 6, 8)
 PRIOR, LEAST_DOCS, DRIFT = 10.0, 5, 1.0
 #: Karlin-Altschul constant K: chances for a segment to start, for each word.
 START_RATE = 0.1
-#: Word scores remembered by a task at a time.
-MEMO = 200_000
 
 WORD = re.compile(r"\w+")
 
@@ -57,6 +55,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def log_odds(share: float, root: float) -> float:
+    """Log-odds ratio of a share of toxic documents to that of all, less the drift."""
+    return math.log(share / (1 - share)) - math.log(root / (1 - root)) - DRIFT
+
+
 @dataclass
 class Lexicon:
     """Documents of each kind that have a feature (bounded by the sample), and of all."""
@@ -65,39 +68,49 @@ class Lexicon:
     other: int = 0
     toxic: int = 0
 
+    @property
+    def root(self) -> float:
+        return self.toxic / (self.toxic + self.other)
+
     def ratio(self, word: str, own: int | None = None, prior: float = PRIOR) -> float:
-        """A word's log-odds ratio less the drift; ``own`` is the kind of a document whose counts are left out."""
-        share = root = self.toxic / (self.toxic + self.other)
+        """A word's log-odds ratio; ``own`` is the kind of a document whose counts are left out."""
+        share = self.root
         for f in features(word):
             known = self.counts.get(f)
             if known:
                 b, a = known[0] - (own == 0), known[1] - (own == 1)
                 share = (a + prior * share) / (a + b + prior)
-        return math.log(share / (1 - share)) - math.log(root / (1 - root)) - DRIFT
+        return log_odds(share, self.root)
+
+    def values(self, prior: float = PRIOR) -> dict[str, float]:
+        """The log-odds ratio of every feature, each below its longest known beginning."""
+        shares = {"": self.root}
+        for f in sorted(self.counts, key=lambda f: (not f.endswith("*"), len(f))):
+            length = len(f) - f.endswith("*")
+            parent = next((g for n in reversed(BEGINNINGS) if n < length and (g := f"{f[:n]}*") in shares), "")
+            other, toxic = self.counts[f]
+            shares[f] = (toxic + prior * shares[parent]) / (toxic + other + prior)
+        return {f: log_odds(share, self.root) for f, share in shares.items()}
 
 
 @dataclass
 class Model:
-    """What scoring needs: the lexicon, the decay rate of segment sums, and the logistic curve."""
+    """What scoring needs: ratios by feature, the decay rate of segment sums, and the logistic curve."""
 
-    lexicon: Lexicon = field(default_factory=Lexicon)
+    values: dict[str, float] = field(default_factory=dict)
     rate: float = 1.0
     curve: tuple[float, ...] = ()
-    memo: dict[tuple[str, int | None], float] = field(default_factory=dict, repr=False)
-
-    def scores(self, words: list[str], own: int | None = None) -> list[float]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, out = self.memo, []
-        for w in words:
-            s = memo.get((w, own))
-            if s is None:
-                s = memo[w, own] = self.lexicon.ratio(w, own)
-            out.append(s)
-        return out
-
-    def segments(self, words: list[str], own: int | None = None) -> list[tuple[int, int, float]]:
-        return maximal_segments(self.scores(words, own))
+
+    def score(self, word: str) -> float:
+        """A word's ratio, or that of its longest known beginning."""
+        s = self.values.get(word)
+        if s is None:
+            s = next((self.values[f] for n in reversed(BEGINNINGS) if len(word) > n and (f := f"{word[:n]}*") in self.values), None)
+        return self.values[""] if s is None else s
+
+    def scores(self, words: list[str]) -> list[float]:
+        known, score = self.values.get, self.score
+        return [s if (s := known(w)) is not None else score(w) for w in words]
 
     def floor(self, n: int) -> float:
         """The sum, times the rate, that the best segment of ``n`` words without toxicity has by chance."""
@@ -117,7 +130,7 @@ class Model:
     def judged(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Score of a text and its significant passages as (start word, end word, excess)."""
         words = words_of(text)
-        found, floor = self.segments(words) if self.curve else [], self.floor(len(words))
+        found, floor = maximal_segments(self.scores(words)) if self.curve else [], self.floor(len(words))
         return self.probability(self.evidence(found, len(words))), [(a, b, self.rate * s - floor) for a, b, s in found if self.rate * s > floor]
 
 
@@ -204,12 +217,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not kinds.get(0) or not kinds.get(1):
         return Model()
     counts = _counted(chosen).filter(F.col("other") + F.col("toxic") >= LEAST_DOCS).collect()
-    model = Model(Lexicon({r["feature"]: (r["other"], r["toxic"]) for r in counts}, kinds[0], kinds[1]))
+    lexicon = Lexicon({r["feature"]: (r["other"], r["toxic"]) for r in counts}, kinds[0], kinds[1])
+    model = Model()
+
+    def without_own(words: list[str], own: int) -> list[float]:
+        made = {w: lexicon.ratio(w, own) for w in set(words)}
+        return [made[w] for w in words]
 
     def tallied(part: pd.DataFrame) -> pd.DataFrame:
         found = Counter()
         for text in part.text:
-            found.update(round(s, 1) for s in model.scores(words_of(text), 0))
+            found.update(round(s, 1) for s in without_own(words_of(text), 0))
         return pd.DataFrame({"score": list(found), "n": list(found.values())})
 
     tally = mapped(chosen.filter("toxic = 0"), tallied, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
@@ -219,14 +237,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         rows = []
         for text, toxic in zip(part.text, part.toxic, strict=True):
             words = words_of(text)
-            rows.append((toxic, *model.evidence(model.segments(words, toxic), len(words))))
+            rows.append((toxic, *model.evidence(maximal_segments(without_own(words, toxic)), len(words))))
         return pd.DataFrame(rows, columns=["toxic", "best", "total", "length"])
 
     rows = mapped(chosen, weighed, "toxic int, best double, total double, length double").toPandas()
     rows = rows.sort_values(list(rows.columns))  # the order of tasks decides nothing
-    model.curve = logistic(rows[["best", "total", "length"]].to_numpy(float), rows.toxic.to_numpy(float))
-    model.memo = {}
-    return model
+    curve = logistic(rows[["best", "total", "length"]].to_numpy(float), rows.toxic.to_numpy(float))
+    return Model(lexicon.values(), model.rate, curve)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -67,14 +67,18 @@ def hilbert_index(coordinates: Column, dims: int, bits: int) -> Column:
 
 
 def quantised(value: Column, cuts: list) -> Column:
-    """Number of cut points at or below the value: its coordinate (0 for null)."""
+    """Number of cut points at or below the value: its coordinate (0 for null).
+
+    A value that many rows have is a cut several times, so a few frequent values still spread
+    over the whole range, and the first steps of the curve tell them apart.
+    """
     if not cuts:
         return F.lit(0)
     return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)), F.lit(0))
 
 
 def _string_cuts(rows: DataFrame, name: str, bits: int) -> list[str]:
-    """Strings that begin each of 2**bits equal shares of the rows, whole values compared.
+    """The strings at which each of 2**bits equal shares of the rows ends but the last, whole values compared.
 
     Distinct values are range-sorted with their counts; the driver sees one sum for each
     partition and at most 2**bits - 1 values.
@@ -87,18 +91,19 @@ def _string_cuts(rows: DataFrame, name: str, bits: int) -> list[str]:
         total += sums.get(k, 0)
     start = F.get(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.col("part"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    share = F.floor((start + inside) * (1 << bits) / F.lit(max(total, 1))).cast("int")
-    found = ranked.select("value", share.alias("share")).filter("share > 0").groupBy("share").agg(F.min("value").alias("value")).collect()
-    return sorted((r["value"] for r in found), key=lambda v: v.encode())
+    below = start + inside
+    shares = lambda upto: F.least(F.lit((1 << bits) - 1), F.floor(upto * (1 << bits) / F.lit(max(total, 1)))).cast("int")
+    found = ranked.select("value", (shares(below + F.col("n")) - shares(below)).alias("times")).filter("times > 0").collect()
+    return sorted((r["value"] for r in found for _ in range(r["times"])), key=lambda v: v.encode())
 
 
 def cut_points(rows: DataFrame, dims: list[str], bits: int) -> list[list]:
-    """For each dimension at most 2**bits - 1 distinct quantiles: approximate ones of numbers, exact ones of strings."""
+    """For each dimension 2**bits - 1 quantiles, repeats among them: approximate ones of numbers, exact ones of strings."""
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
     text = [d for d in dims if rows.schema[d].dataType.simpleString() == "string"]
     numbers = [d for d in dims if d not in text]
     found = rows.agg(*[F.percentile_approx(F.col(d).cast("double"), shares, 10_000).alias(d) for d in numbers]).first() if numbers else {}
-    return [_string_cuts(rows, d, bits) if d in text else sorted(set(found[d] or [])) for d in dims]
+    return [_string_cuts(rows, d, bits) if d in text else sorted(found[d] or []) for d in dims]
 
 
 def in_runs(rank: Column, total: int, shards: int) -> tuple[Column, Column]:

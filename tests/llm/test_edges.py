@@ -197,13 +197,12 @@ def test_sharding_query_as_brute_force(spark, tmp_path):
 
     def numeric(values):
         known = sorted(v for v in values if v is not None)
-        cuts = sorted({known[math.ceil(k / 32 * len(known)) - 1] for k in range(1, 32)})
+        cuts = [known[math.ceil(k / 32 * len(known)) - 1] for k in range(1, 32)]
         return lambda v: 0 if v is None else sum(c <= v for c in cuts)
 
     def textual(values):
         known = sorted(v for v in values if v is not None)
-        share = {v: known.index(v) * 32 // len(known) for v in set(known)}
-        cuts = [min(v for v in share if share[v] == s) for s in sorted(set(share.values())) if s > 0]
+        cuts = [known[math.ceil(k / 32 * len(known)) - 1] for k in range(1, 32)]
         return lambda v: 0 if v is None else sum(c <= v for c in cuts)
 
     dims = [textual([r[3] for r in data]), textual([r[2] for r in data]), numeric([sizes(r[1]) for r in data]), numeric([r[0] for r in data])]
@@ -217,6 +216,7 @@ def test_sharding_query_as_brute_force(spark, tmp_path):
             at += 1
     assert got == want
     assert len({dims[0](r[3]) for r in data}) == 8  # values that begin alike stay apart
+    assert max(dims[1](r[2]) for r in data) == 31  # few values spread over the range
 
 
 def test_toxicity_query_as_brute_force(spark, tmp_path):

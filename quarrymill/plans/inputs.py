@@ -25,6 +25,12 @@ TYPESCRIPT = """concat('@NgModule({{}})\\nexport class V', p_partkey, 'Component
   '\\'); }}\\n}}\\nrouter.post("/v', p_partkey, '");\\n// size ', p_size, '\\n')"""
 
 
+PYTHON = """concat('\"\"\"Module ', p_partkey, '.\"\"\"\\nimport os\\nfrom pkg', p_partkey, ' import name\\n@app.get("/py', p_partkey, '/items")\\nasync def read_', p_partkey, '(q: int, r: P', p_partkey,
+  ') -> str:\\n    \"\"\"Reads ', p_partkey, '.\"\"\"\\n    return Depends(svc', p_size, ')\\nclass M', p_partkey, 'Protocol:\\n    \"\"\"Class ', p_partkey,
+  '.\"\"\"\\n    @cached\\n    def run(self, x: float):\\n        return x\\n')"""
+GO = """concat('package main\\nimport "net/http"\\nfunc main() {\\n  http.HandleFunc("/go', p_partkey, '", h)\\n  http.HandleFunc("/all/', p_size, '", h)\\n}\\n// serves ', p_partkey, '\\n')"""
+
+
 def java_text() -> str:
     return JAVA.format(own=SUFFIX.format(k="p_partkey"), half=SUFFIX.format(k="(p_partkey div 2)"), third=SUFFIX.format(k="(p_partkey div 3)"))
 
@@ -42,6 +48,13 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return java.unionByName(script)
 
 
+def other_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, repo, path, text) of a Python and a Go file for each part."""
+    parts = table(spark, sf_dir, "part")
+    python = parts.selectExpr("p_partkey", "'tools' AS repo", "concat('tools/m', p_partkey, '.py') AS path", f"{PYTHON} AS text")
+    return python.unionByName(parts.selectExpr("p_partkey", "'tools' AS repo", "concat('tools/g', p_partkey, '.go') AS path", f"{GO} AS text"))
+
+
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk for each source file, with its file-level facts."""
     parsed = code.parsed_sources(sources(spark, sf_dir))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import routes, text
 from quarrymill.operators import chunking, code, dense, documents, enrich, evidence, extract, graph, graph_queries, hybrid, keyword, standards, tickets
-from quarrymill.plans.inputs import FEATURE, GRAPH_SQL, KEYWORDS, code_chunks, documents_as_chunks, sources, table
+from quarrymill.operators.python_source import parsed_python, python_sections
+from quarrymill.plans.inputs import FEATURE, GRAPH_SQL, KEYWORDS, code_chunks, documents_as_chunks, other_sources, sources, table
 from quarrymill.sources import incremental, store
 from quarrymill.streaming.ingest import chunk_documents
 
@@ -424,6 +425,41 @@ def external_markers(spark, sf_dir):
     return named.withColumn("external", extract.is_external(F.col("name")))
 
 
+@register(
+    """SELECT p_partkey, 'import os|from pkg' || p_partkey || ' import name' AS imports, 'M' || p_partkey || 'Protocol' AS classes, 'read_' || p_partkey || '|M' || p_partkey || 'Protocol.run' AS functions,
+      'M' || p_partkey || 'Protocol' AS interfaces, 'app.get(''/py' || p_partkey || '/items'')|cached' AS decorators, 'int|P' || p_partkey || '|str|float' AS annotations,
+      'Module ' || p_partkey || '.|Reads ' || p_partkey || '.|Class ' || p_partkey || '.' AS docstrings, 'GET /py' || p_partkey || '/items' AS routes FROM part"""
+)
+def python_outline(spark, sf_dir):
+    """What the syntax trees of Python files hold."""
+    parsed = parsed_python(other_sources(spark, sf_dir).filter("path like '%.py'"))
+    return parsed.select("p_partkey", *[joined(F.col(f"py.{n}")).alias(n) for n in ("imports", "classes", "functions", "interfaces", "decorators", "annotations", "docstrings", "routes")])
+
+
+@register(
+    """WITH s AS (SELECT p_partkey AS k, p_size AS z, chr(10) AS n FROM part), b AS (
+      SELECT *, 'async def read_' || k || '(q: int, r: P' || k || ') -> str:' || n || '    \"\"\"Reads ' || k || '.\"\"\"' || n || '    return Depends(svc' || z || ')' AS f,
+        '    def run(self, x: float):' || n || '        return x' AS m FROM s)
+    SELECT 'tools/m' || k || '.py' AS path, 0 AS section_idx, 'read_' || k AS title, 'function' AS kind, 5 AS line_start, 7 AS line_end, sha256(f) AS content_hash FROM b
+    UNION ALL SELECT 'tools/m' || k || '.py', 1, 'M' || k || 'Protocol', 'class', 8, 12, sha256('class M' || k || 'Protocol:' || n || '    \"\"\"Class ' || k || '.\"\"\"' || n || '    @cached' || n || m) FROM b
+    UNION ALL SELECT 'tools/m' || k || '.py', 2, 'M' || k || 'Protocol.run', 'method', 11, 12, sha256(m) FROM b"""
+)
+def python_tree_sections(spark, sf_dir):
+    rows = python_sections(parsed_python(other_sources(spark, sf_dir).filter("path like '%.py'")))
+    return rows.select("path", "section_idx", "title", "kind", "line_start", "line_end", F.sha2("content", 256).alias("content_hash"))
+
+
+@register(
+    """SELECT p_partkey, 'go' AS language, 'import "net/http"|package main' AS imports, 'main' AS functions, array_to_string(list_sort(['/go' || p_partkey, '/all/' || p_size]), '|') AS api_routes,
+      '// serves ' || p_partkey AS comments, '' AS dependencies FROM part
+    UNION ALL SELECT p_partkey, 'python', 'from pkg' || p_partkey || ' import name|import os', 'run', 'GET /py' || p_partkey || '/items', '', 'svc' || p_size FROM part"""
+)
+def other_source_facts(spark, sf_dir):
+    """Facts of Go and Python files by patterns."""
+    parsed = code.parsed_sources(other_sources(spark, sf_dir))
+    return parsed.select("p_partkey", "language", *[joined(F.col(c)).alias(c) for c in ("imports", "functions", "api_routes", "comments", "dependencies")])
+
+
 # --- graph --------------------------------------------------------------------------------------
 
 

@@ -30,7 +30,7 @@ from quarrymill.llm.vectors import dimension, hashed_sample, stacked, takes_part
 #: Neighbours, vectors the quantiser is fitted on at most, rows in a block of vectors and of
 #: queries about, cosine of the scores that matter (sets the weight of parallel error), and
 #: standard errors of the estimated score within which a candidate is scored exactly.
-TOP, SAMPLE, VECTOR_BLOCK, QUERY_BLOCK, THRESHOLD, ERRORS = 20, 8192, 8192, 16384, 0.2, 4.0
+TOP, SAMPLE, VECTOR_BLOCK, QUERY_BLOCK, THRESHOLD, ERRORS = 20, 8192, 8192, 16384, 0.2, 3.0
 #: Centres of a subspace (four bits), its dimensions, rounds of fitting, and rows encoded at once.
 CENTRES, WIDTH, PASSES, ROWS = 16, 1, 8, 1024
 

@@ -180,12 +180,12 @@ class LineIndex:
         return known.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
-def _kept(text: pd.Series, drop: pd.Series) -> pd.Series:
-    out = []
-    for t, places in zip(text, drop, strict=True):
-        gone = set(places)
-        out.append("\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone))
-    return pd.Series(out)
+def _kept(text: Column, drop: Column) -> Column:
+    """A text less the lines at the places ``drop``; the lines are split once and picked by place."""
+    lines = F.split(text, "\n", -1)
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    picked = F.transform(F.array(lines), lambda x: F.array_join(F.transform(places, lambda k: F.get(x, k)), "\n"))
+    return F.when(drop.isNull(), text).otherwise(F.get(picked, F.lit(0)))
 
 
 def without_shared(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
@@ -196,10 +196,10 @@ def without_shared(docs: DataFrame, index: LineIndex | None = None) -> DataFrame
     keyed = packed(docs, id=F.col("doc_id"), text_row=F.xxhash64(text))
     text = F.coalesce("row.text", F.lit(""))
     joined = keyed.join(drops, (F.col("id") == F.col("drop_id")) & (F.col("text_row") == F.col("drop_row")), "left")
-    some = joined.filter("drop is not null").withColumn("kept", F.pandas_udf(_kept, "string")("row.text", "drop"))
-    none = joined.filter("drop is null").withColumn("kept", text)
-    counts = (F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
-    return some.select("row", "kept", *counts).union(none.select("row", "kept", *counts))
+    return joined.select(
+        "row", _kept(text, F.col("drop")).alias("kept"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

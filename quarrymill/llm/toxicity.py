@@ -19,6 +19,8 @@ read.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -163,9 +165,9 @@ def _counted(sample: DataFrame) -> DataFrame:
     """For each feature the number of toxic and other documents that have it."""
 
     def made(part: pd.DataFrame) -> pd.DataFrame:
-        found = (Counter(), Counter())
+        found, forms = (Counter(), Counter()), functools.cache(features)
         for text, toxic in zip(part.text, part.toxic, strict=True):
-            found[toxic].update({f for w in set(words_of(text)) for f in features(w)})
+            found[toxic].update(set(itertools.chain.from_iterable(map(forms, set(words_of(text))))))
         names = list(found[0] | found[1])
         return pd.DataFrame({"feature": names, "other": [found[0][f] for f in names], "toxic": [found[1][f] for f in names]})
 
@@ -220,24 +222,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lexicon = Lexicon({r["feature"]: (r["other"], r["toxic"]) for r in counts}, kinds[0], kinds[1])
     model = Model()
 
-    def without_own(words: list[str], own: int) -> list[float]:
-        made = {w: lexicon.ratio(w, own) for w in set(words)}
-        return [made[w] for w in words]
-
     def tallied(part: pd.DataFrame) -> pd.DataFrame:
+        words = Counter(itertools.chain.from_iterable(map(words_of, part.text)))
         found = Counter()
-        for text in part.text:
-            found.update(round(s, 1) for s in without_own(words_of(text), 0))
+        for w, n in words.items():
+            found[round(lexicon.ratio(w, 0), 1)] += n
         return pd.DataFrame({"score": list(found), "n": list(found.values())})
 
     tally = mapped(chosen.filter("toxic = 0"), tallied, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
     model.rate = decay_rate(Counter({r["score"]: r["n"] for r in tally}))
 
     def weighed(part: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        rows, ratio = [], functools.cache(lexicon.ratio)
         for text, toxic in zip(part.text, part.toxic, strict=True):
             words = words_of(text)
-            rows.append((toxic, *model.evidence(maximal_segments(without_own(words, toxic)), len(words))))
+            rows.append((toxic, *model.evidence(maximal_segments([ratio(w, toxic) for w in words]), len(words))))
         return pd.DataFrame(rows, columns=["toxic", "best", "total", "length"])
 
     rows = mapped(chosen, weighed, "toxic int, best double, total double, length double").toPandas()

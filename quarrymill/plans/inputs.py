@@ -84,11 +84,11 @@ KEYWORDS = "released under the mit license version"
 FEATURE = "/p12"
 
 
-def documents_as_chunks(docs: DataFrame) -> DataFrame:
-    """Documents with the columns that retrieval looks at."""
+def documents_as_chunks(docs: DataFrame, *more: str) -> DataFrame:
+    """Documents with the columns that retrieval looks at, and those named."""
     return docs.select(
         F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"), F.col("source").alias("repo"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string")).alias("path"),
         F.col("source").alias("section"), F.array("source").alias("heading_hierarchy"), F.array("source", "lang").alias("section_hierarchy"), F.array("lang").alias("symbols"),
         F.when(F.col("n_chars") % 2 == 0, "express").alias("framework_type"),
-        F.when(F.col("lang") == "en", "architecture").otherwise("markdown").alias("chunk_type"),
+        F.when(F.col("lang") == "en", "architecture").otherwise("markdown").alias("chunk_type"), *more,
     )

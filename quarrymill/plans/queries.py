@@ -664,6 +664,7 @@ def feature_keywords(spark, sf_dir):
     SELECT array_to_string(list_sort(list(DISTINCT 'docs/' || doc_id)), '|') AS important_files, array_to_string(list_sort(list(DISTINCT lang)), '|') AS major_modules FROM top"""
 )
 def repo_summary(spark, sf_dir):
-    found = _keyword(spark, sf_dir, 10)
-    files = F.array_sort(F.collect_set(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))))
-    return found.agg(joined(files).alias("important_files"), joined(F.slice(F.array_sort(F.collect_set("lang")), 1, 50)).alias("major_modules"))
+    """What a repository's summary says of the ten best documents."""
+    found = documents_as_chunks(_keyword(spark, sf_dir, 10), "score").withColumns({"rerank_score": F.col("score"), "merge_rank": F.col("id")})
+    made = hybrid.summary_of(found, 900, 50)
+    return made.select(joined(F.col("important_files")).alias("important_files"), joined(F.col("major_modules")).alias("major_modules"))

@@ -167,8 +167,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", leaf: int = LEAF_CHAR
     return near.unionByName(long.select("row", "key").join(whole, "key").select("row", "ids"))
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """The other columns of ``encoded`` as the struct ``row``, and the text ``decoded`` from its column ``ids``.
+def decode(encoded: DataFrame, path: str, ids: str = "ids", keep_ids: bool = False) -> DataFrame:
+    """The other columns of ``encoded`` as the struct ``row``, and the text ``decoded`` from its column ``ids`` (and ``ids`` too if asked for).
 
     Bytes that are not UTF-8 become replacement characters; null ids give an empty text.
     """
@@ -179,22 +179,21 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             column = batch.column("ids")
             values, ends = column.values.to_numpy(), column.offsets.to_numpy()
             made = [enc.decode_bytes(values[a:b].tolist()).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.string())], names=["row", "decoded"])
+            columns = {"row": batch.column("row"), "decoded": pa.array(made, pa.string())} | ({"ids": column} if keep_ids else {})
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     others = [F.col(f"`{c}`") for c in encoded.columns if c != ids]
     whole = encoded.select(F.struct(*others or [F.lit(None).cast("string").alias("none")]).alias("row"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
-    return whole.mapInArrow(run, whole.select("row", F.lit("").alias("decoded")).schema)
+    return whole.mapInArrow(run, whole.select("row", F.lit("").alias("decoded"), *(["ids"] if keep_ids else [])).schema)
 
 
 def digested(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """For each document: number of tokens, SHA-256 of its ids and of its decoded text, and the ids if asked for."""
-    kept = ["doc_id", "n_tokens", "ids_sha256", *(["token_ids"] if keep_ids else [])]
     encoded = encode(docs.select("doc_id", "text"), path).select(
-        F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.col("ids").alias("token_ids"), "ids",
-    )
-    out = decode(encoded.select(*kept, "ids"), path).select(*[f"row.{c}" for c in kept], F.sha2("decoded", 256).alias("decoded_sha256"))
-    return out.withColumnRenamed("token_ids", "ids")
+        F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids"
+    )
+    out = decode(encoded, path, keep_ids=keep_ids)
+    return out.select("row.*", F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

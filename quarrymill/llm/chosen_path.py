@@ -295,13 +295,14 @@ def _pairs(sets: list[np.ndarray], wanted: np.ndarray, threshold: float) -> tupl
             part[row[a:b], element[a:b] - lo] = 1
             common += part[some] @ part.T
         both = size[live][some][:, None] + size[live][None, :]
-        i, j = np.nonzero(wanted[some] & ((1 + threshold) * common >= threshold * both - 1e-6))
-        out.append((live[some[i]], live[j]))
+        close = wanted[some] & ((1 + threshold) * common >= threshold * both - 1e-6)
+        close[:, some] = np.triu(close[:, some], 1)  # of two rows done now, each pair once
+        i, j = np.nonzero(close)
+        out.append((np.minimum(live[some[i]], live[j]), np.maximum(live[some[i]], live[j])))
         wanted[some] = False
         wanted[:, some] = False
     a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pairs[0], pairs[1]
+    return a, b
 
 
 def _compared(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -309,6 +310,8 @@ def _compared(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     rows = rows.drop_duplicates(["leaf", "low", "high", "part", "node"])
     leaf, low, high, block, chunk, label = (rows[c].to_numpy(np.int64) for c in ("leaf", "low", "high", "block", "chunk", "label"))
     leaves, across, texts = rows.leaves.to_numpy(), rows.across.to_numpy(bool), rows.text.to_numpy()
+    ids, place = np.unique(rows.node.to_numpy(np.int64), return_inverse=True)
+    counts, weight = np.zeros(len(ids), np.int64), rows.weight.to_numpy(np.int64)
     first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in _groups(rows, ["leaf", "low", "high", "part"]):
         sets, one = shingle_sets(texts[at].tolist()), at[0]
@@ -318,14 +321,13 @@ def _compared(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
             if across[one]:
                 wanted &= chunk[own][:, None] != chunk[own][None, :]
             a, b = _pairs([sets[k] for k in of], wanted, threshold)
-            first.append(own[a])
-            second.append(own[b])
-    a, b = np.concatenate(first), np.concatenate(second)
-    ids, place = np.unique(rows.node.to_numpy(np.int64), return_inverse=True)
-    counts, weight = np.zeros(len(ids), np.int64), rows.weight.to_numpy(np.int64)
-    np.add.at(counts, place[a], weight[b])
-    np.add.at(counts, place[b], weight[a])
-    return reported(ids, counts, place[a], place[b])
+            links = np.bincount(a, weight[own[b]], len(own)) + np.bincount(b, weight[own[a]], len(own))
+            np.add.at(counts, place[own], links.astype(np.int64))
+            root = forest(a, b, len(own))  # the group's pairs are let go; its forest stays
+            joined = np.flatnonzero(root != np.arange(len(own)))
+            first.append(place[own[joined]])
+            second.append(place[own[root[joined]]])
+    return reported(ids, counts, np.concatenate(first), np.concatenate(second))
 
 
 def _bundled(df: DataFrame, keys: list[str], bundles: int) -> GroupedData:

@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm import bpe, chosen_path, lines, mixing, toxicity
 from quarrymill.llm.common import checkpointed, table
-from quarrymill.llm.queries import vocabulary
+from quarrymill.llm.queries import small_batches, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model rejects; it is fitted on labelled ones."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared lines stay in the first document that holds them; every document stays."""
+    small_batches(spark)
     row = F.col("row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
@@ -34,16 +36,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    small_batches(spark)
     return chosen_path.near_unique(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with tempered shares of sources, languages and topics."""
+    small_batches(spark)
     return mixing.sampled(docs, table(spark, sf_dir, "embeddings"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them."""
+    small_batches(spark)
     return bpe.digested(docs, vocabulary(), keep_ids=True)
 
 

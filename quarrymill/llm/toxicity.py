@@ -137,23 +137,32 @@ class Model:
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments as (start, end, sum), by the linear scan of Ruzzo and Tompa."""
-    total, stack = 0.0, []  # of (start, end, total before, total after)
+    """All maximal scoring segments as (start, end, sum), by the linear scan of Ruzzo and Tompa.
+
+    Every candidate names the last one before it that begins at a lower total, so a search hops
+    over those in between; where there is none, all candidates so far are final.
+    """
+    total, final, stack = 0.0, [], []  # candidates: (start, end, total before, total after, place of the last that begins lower)
     for k, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        one = (k, k + 1, before, total)
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= one[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= one[3]:
+        start = k
+        j = len(stack) - 1
+        while True:
+            while j >= 0 and stack[j][2] >= before:
+                j = stack[j][4]
+            if j < 0:
+                final += stack
+                stack = [(start, k + 1, before, total, -1)]
+                break
+            if stack[j][3] >= total:
+                stack.append((start, k + 1, before, total, j))
                 break
-            one = (stack[j][0], one[1], stack[j][2], one[3])
+            start, _, before, _, lower = stack[j]
             del stack[j:]
-        stack.append(one)
-    return [(a, b, after - before) for a, b, before, after in stack]
+            j = lower
+    return [(a, b, after - before) for a, b, before, after, _ in final + stack]
 
 
 def held_out(doc_id: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import ann, bpe, chosen_path, hilbert, licenses, lines, mixing, ownership, quotes, range_join, toxicity
+from quarrymill.llm import ann, bpe, chosen_path, collocations, hilbert, licenses, lines, mixing, ownership, quotes, range_join, toxicity
 from quarrymill.llm.common import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -106,7 +110,7 @@ quoted AS (
 def queries() -> dict[str, Query]:
     own = (
         op1_inner_product_search, op2_license_scan, op3_vector_range_join, op4_source_mixing, op5_line_dedup,
-        op6_quotation_linking, op7_toxic_passages, op8_hilbert_sharding, op9_bpe_round_trip, op10_shingle_join, op13_secret_ownership, quoted_turns,
+        op6_quotation_linking, op7_toxic_passages, op8_hilbert_sharding, op9_bpe_round_trip, op10_shingle_join, op11_phrase_collocations, op13_secret_ownership, quoted_turns,
     )
     return {f.__name__: _batched(f) for f in own}
 
@@ -127,6 +131,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": lines.ORACLE,
         "op6_quotation_linking": quotes.ORACLE,
         "op10_shingle_join": chosen_path.ORACLE,
+        "op11_phrase_collocations": collocations.ORACLE,
         "op13_secret_ownership": ownership.ORACLE,
         "quoted_turns": quotes.ORACLE.replace("FROM conversations),", "FROM quoted),").replace("WITH RECURSIVE m AS", _QUOTED),
     }

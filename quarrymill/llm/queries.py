@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import ann, bpe, chosen_path, collocations, hilbert, licenses, lines, mixing, ownership, quotes, range_join, toxicity
+from quarrymill.llm import ann, bpe, chosen_path, collocations, hilbert, licenses, lines, mixing, ownership, quotes, range_join, toxicity, trie
 from quarrymill.llm.common import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -110,7 +114,7 @@ quoted AS (
 def queries() -> dict[str, Query]:
     own = (
         op1_inner_product_search, op2_license_scan, op3_vector_range_join, op4_source_mixing, op5_line_dedup,
-        op6_quotation_linking, op7_toxic_passages, op8_hilbert_sharding, op9_bpe_round_trip, op10_shingle_join, op11_phrase_collocations, op13_secret_ownership, quoted_turns,
+        op6_quotation_linking, op7_toxic_passages, op8_hilbert_sharding, op9_bpe_round_trip, op10_shingle_join, op11_phrase_collocations, op12_prefix_trie, op13_secret_ownership, quoted_turns,
     )
     return {f.__name__: _batched(f) for f in own}
 
@@ -132,6 +136,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_quotation_linking": quotes.ORACLE,
         "op10_shingle_join": chosen_path.ORACLE,
         "op11_phrase_collocations": collocations.ORACLE,
+        "op12_prefix_trie": trie.ORACLE,
         "op13_secret_ownership": ownership.ORACLE,
         "quoted_turns": quotes.ORACLE.replace("FROM conversations),", "FROM quoted),").replace("WITH RECURSIVE m AS", _QUOTED),
     }

@@ -26,6 +26,8 @@ def repository_chunks(files: DataFrame, sizes: chunking.ChunkSizes | None = None
     """Chunks of files (repo, path, text) with file-level facts on each chunk; one row for each id.
 
     A file is known by repository and path.  PDF files count as documents whose text is given.
+    Where files have a ``root``, a chunk's path is the one below it, and ``origin_path`` the whole
+    one; ids are named by the whole one.
     """
     is_doc = suffix(F.col("path")).isin(*DOCUMENT_SUFFIXES)
     docs, sources = files.filter(is_doc), files.filter(~is_doc)
@@ -42,11 +44,14 @@ def repository_chunks(files: DataFrame, sizes: chunking.ChunkSizes | None = None
     facts = parsed.select(*KEY, *FACTS).unionByName(
         docs.select(*KEY, F.lit(None).cast("string").alias("framework_type"), *[none.alias(c) for c in FACTS[1:]])
     )
-    hashed = files.select(*KEY, enrich.source_hash(F.col("text")).alias("source_hash"))
-    made = chunking.chunks(sections.join(hashed, list(KEY)), sizes, KEY).join(facts, list(KEY))
+    shown = enrich.relative_path(F.col("path"), F.col("root")) if "root" in files.columns else F.col("path")
+    hashed = files.select(*KEY, enrich.source_hash(F.col("text")).alias("source_hash"), shown.alias("file_path"), *[v.alias(k) for k, v in enrich.path_flags(F.col("path")).items()])
+    flags = ("is_readme", "is_architecture_doc", "is_config_doc")
+    made = chunking.chunks(sections.join(hashed, list(KEY)), sizes, KEY).join(facts, list(KEY)).join(enrich.document_facts(sections), list(KEY))
+    made = made.withColumnsRenamed({"path": "origin_path"}).withColumnsRenamed({"file_path": "path"})
     made = made.withColumn("heading_hierarchy", F.col("section_hierarchy")).select(
         "id", "repo", "path", "language", "section", "heading_hierarchy", "section_hierarchy", "chunk_type", "text", "token_count", *FACTS,
-        "prev_chunk_id", "next_chunk_id", "source_hash", "section_idx", "chunk_idx",
+        "prev_chunk_id", "next_chunk_id", "source_hash", "section_idx", "chunk_idx", "related_sections", *flags, "origin_path",
     )
     return chunking.last_wins(made, "id", ["section_idx", "chunk_idx"])
 
@@ -81,9 +86,10 @@ class Engine:
         if store is None:
             return cls(spark, materialized(repository_chunks(files)), **options)
         kept = Ingestion(spark, store, dim=options.get("dim", dense.DIM))
-        kept.run(files, repository_chunks, force)
-        index = keyword.KeywordIndex.of(kept.table("postings"), kept.table("lengths")).kept(materialized)
-        return cls(spark, kept.table("chunks"), index=index, vectors=kept.table("vectors"), **options)
+        kept.run(files, repository_chunks, force, repos=roots)
+        now = kept.store.snapshot()
+        index = keyword.KeywordIndex.of(kept.table("postings", now), kept.table("lengths", now)).kept(materialized)
+        return cls(spark, kept.table("chunks", now), index=index, vectors=kept.table("vectors", now), **options)
 
     def _dense(self, request: QueryRequest) -> DataFrame:
         kept = F.lit(True)

@@ -11,10 +11,11 @@ CONFIG_PATHS = ("config", "settings", "env", "deployment")
 RELATED, COMMENTS, DOCSTRINGS = 25, 50, 25
 
 
-def relative_path(path: Column, root: str) -> Column:
+def relative_path(path: Column, root: str | Column) -> Column:
     """The path below ``root``, or the path itself where it is not below."""
-    base = root.rstrip("/") + "/"
-    return F.when(F.startswith(path, F.lit(base)), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)
+    base = F.lit(root.rstrip("/") + "/") if isinstance(root, str) else F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    below = F.startswith(path, base) & (base != "/")
+    return F.when(below, F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path)
 
 
 def _has_any(path: Column, names: tuple[str, ...]) -> Column:
@@ -39,6 +40,13 @@ def related_sections(titles: Column) -> Column:
     return F.slice(F.filter(titles, lambda t: t.isNotNull() & (t != "")), 1, RELATED)
 
 
+def document_facts(sections: DataFrame, key: tuple[str, ...] = ("repo", "path")) -> DataFrame:
+    """Keys, ``related_sections`` (the first titles) of each document, in the order of its sections."""
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "title"))), lambda s: s["title"])
+    found = sections.groupBy(*key).agg(titles.alias("_titles"))
+    return found.select(*key, related_sections(F.col("_titles")).alias("related_sections"))
+
+
 def enriched(docs: DataFrame, root: str = "") -> DataFrame:
     """``docs`` (path, text, and lists where parsed) with file_path, source_hash, flags and caps."""
     out = docs.withColumns(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,7 +29,7 @@ def decoded(content: pd.Series) -> pd.Series:
 
 
 def read_repository(spark: SparkSession, root: str, repo: str | None = None, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
-    """(repo, path, signature, text) of the supported files below ``root``; ValueError if absent.
+    """(repo, path, root, signature, text) of the supported files below ``root``; ValueError if absent.
 
     PDF files are read with ``pdf_text``, which gives the text of one file's bytes; without it
     they are left out, as their bytes are no text.
@@ -49,4 +50,6 @@ def read_repository(spark: SparkSession, root: str, repo: str | None = None, pdf
         text = F.when(is_pdf, F.pandas_udf(extracted, "string")(F.when(is_pdf, F.col("content")))).otherwise(text)
     signature = F.concat_ws(":", F.unix_micros("modificationTime").cast("string"), F.col("length").cast("string"))
     name = repo or root.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git")
-    return kept.select(F.lit(name).alias("repo"), F.regexp_replace("path", "^file:/*", "/").alias("path"), signature.alias("signature"), text.alias("text"))
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    base = re.sub("^file:/*", "/", root).rstrip("/")
+    return kept.select(F.lit(name).alias("repo"), plain.alias("path"), F.lit(base).alias("root"), signature.alias("signature"), text.alias("text"))

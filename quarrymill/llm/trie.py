@@ -8,8 +8,10 @@ binary search walks a conversation down in logarithmically many joins on handles
 first digest of the child gives its exit node, and the comparison with that edge its exit depth.
 
 Conversations are inserted in batches.  In each batch all pending conversations are located, edges
-are split at all exit depths, and one conversation drawn at random becomes the new leaf of each
-open branch; the others wait for the next batch, of which there are about logarithmically many.
+are split at all exit depths, and the conversations that leave by the same turn are a branch.  A
+branch of few is inserted whole by one task, by the same search over the nodes that it has made; of
+a branch of many, one drawn at random becomes the new leaf, and the others wait for the next batch,
+of which there are about logarithmically many.
 Equal sequences are one from the start.  Sequences of more than ``BLOCK`` turns are cut into blocks
 that are located each for itself below the digest of what precedes them, so one conversation may
 hold any share of all turns.  Sums over subtrees come from doubling steps up the compacted tree.
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ from quarrymill.llm.common import checkpointed, globally_ranked
 BLOCK = 256
 #: Most turns that are borrowed from another conversation, less one.
 HEADS = 6
+#: Most pending sequences of a branch that one task inserts one by one.
+MOST_LOCAL = 512
 #: Conversation ids of a piece of a node's list.
 _PIECE = 1024
 
@@ -93,7 +98,7 @@ def sequences(turns: DataFrame) -> DataFrame:
 
 # --- the trie -----------------------------------------------------------------------------------
 
-_PENDING = ["id", "start", "root", "path", "chars"]
+_PENDING = ["id", "start", "root", "path", "chars", "depth"]
 
 
 def _node(start: Column, low: Column, high: Column, root: Column, path: Column, chars: Column) -> Column:
@@ -106,50 +111,105 @@ def _node(start: Column, low: Column, high: Column, root: Column, path: Column,
     )
 
 
-def _located(pending: DataFrame, nodes: DataFrame | None, longest: int) -> DataFrame:
-    """Pending sequences with their exit node ``at`` (null: none goes on) and exit ``depth``."""
-    none = F.lit(None).cast("struct<x:bigint,y:bigint>")
-    if nodes is None:
-        return pending.select(*_PENDING, none.alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("high"))
+def _located(pending: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """Pending sequences with their exit node ``at`` (null: none goes on) and exit ``depth``.
+
+    The search begins at the depth where the last one ended, which is a node by now; ``bits`` is
+    the most steps that any of them needs.
+    """
+    rest_of = [c for c in _PENDING if c != "depth"]
     handles = nodes.select(F.col("handle").alias("probe"), F.col("id").alias("extent"), F.col("low").alias("node_low"), F.col("high").alias("node_high"))
-    state = pending.select(*_PENDING, F.lit(0).alias("a"), F.size("path").alias("b"))
-    for _ in range(longest.bit_length() + 1):
-        at = F.get("path", two_fattest(F.col("a"), F.col("b")) - 1)
-        over = F.struct(F.xxhash64("id.x").alias("x"), F.xxhash64("id.y").alias("y"))  # no handle, and spread evenly
-        probed = state.withColumn("probe", F.when(F.col("a") < F.col("b"), at).otherwise(over))
-        found = probed.join(handles, "probe", "left")
-        whole = F.get("path", F.col("node_high") - 1) == F.col("extent")
-        hit = F.col("extent").isNotNull()
-        low = F.when(hit & F.coalesce(whole, F.lit(False)), F.col("node_high")).when(hit, F.col("node_low")).otherwise(F.col("a"))
+    over = F.struct(F.xxhash64("id.x").alias("x"), F.xxhash64("id.y").alias("y"))  # no digest of a node, and spread evenly
+    state = pending.select(*rest_of, F.col("depth").alias("a"), F.size("path").alias("b"))
+    for _ in range(bits):
+        fat = two_fattest(F.col("a"), F.col("b"))
+        found = state.withColumn("fat", fat).withColumn("probe", F.when(F.col("a") < F.col("b"), F.get("path", F.col("fat") - 1)).otherwise(over)).join(handles, "probe", "left")
+        hit, whole = F.col("extent").isNotNull(), F.coalesce(F.get("path", F.col("node_high") - 1) == F.col("extent"), F.lit(False))
+        low = F.when(hit & whole, F.col("node_high")).when(hit, F.col("node_low")).otherwise(F.col("a"))
         # a handle that was met on an edge that goes elsewhere: its parent is the last whole node
-        high = F.when(hit & ~F.coalesce(whole, F.lit(False)), F.col("node_low")).when(hit | (F.col("a") >= F.col("b")), F.col("b"))
-        high = high.otherwise(two_fattest(F.col("a"), F.col("b")) - 1)
-        state = found.select(*_PENDING, low.alias("a"), high.alias("b"))
+        high = F.when(hit & ~whole, F.col("node_low")).when(hit | (F.col("a") >= F.col("b")), F.col("b")).otherwise(F.col("fat") - 1)
+        state = found.select(*rest_of, low.alias("a"), high.alias("b"))
     children = nodes.select(F.col("name").alias("next"), F.col("id").alias("at"), "edge", F.col("high").alias("node_high"))
-    over = F.struct(F.xxhash64("id.x").alias("x"), F.xxhash64("id.y").alias("y"))
     going = state.withColumn("next", F.coalesce(F.get("path", F.col("a")), over)).join(children, "next", "left")
     rest = F.slice("path", F.col("a") + 1, F.least(F.size("path"), F.coalesce("node_high", F.lit(0))) - F.col("a"))
     alike = F.size(F.filter(F.zip_with(rest, F.slice("edge", F.lit(1), F.size(rest)), lambda p, q: p == q), lambda same: same))
     deep = F.col("a") + F.when(F.col("at").isNotNull(), alike).otherwise(0)
-    return going.select(*_PENDING, "at", deep.alias("depth"), F.coalesce("node_high", F.lit(0)).alias("high"))
-
-
-def z_fast_trie(blocks: DataFrame) -> DataFrame:
+    return going.select(*rest_of, deep.alias("depth"), "at", F.coalesce("node_high", F.lit(0)).alias("high"))
+
+
+def inserted(paths: list[list[str]], low: int) -> list[tuple[int, int, int]]:
+    """Nodes (a sequence that passes through, low, high) of sequences that are alike up to ``low`` and one turn on."""
+    nodes, handles, names = [], {}, {}
+
+    def fattest(a: int, b: int) -> int:
+        k = (a ^ b).bit_length() - 1
+        return b >> k << k
+
+    def put(k: int, path: list[str], a: int, b: int) -> None:
+        nodes[k : k + 1] = [(path, a, b)]
+        handles[path[fattest(a, b) - 1]] = names[path[a]] = k
+
+    for path in paths:
+        a, b = low, len(path)
+        while a < b:
+            f = fattest(a, b)
+            k = handles.get(path[f - 1])
+            if k is None:
+                b = f - 1
+                continue
+            other, start, end = nodes[k]
+            if end <= len(path) and path[end - 1] == other[end - 1]:
+                a = end
+            else:
+                a = b = start
+        if a == len(path):
+            continue
+        k, deep = names.get(path[a]), a
+        if k is not None:
+            other, start, end = nodes[k]
+            while deep < min(len(path), end) and path[deep] == other[deep]:
+                deep += 1
+            if deep < end:  # the edge is split where the sequence ends or leaves
+                del handles[other[fattest(start, end) - 1]]
+                put(k, other, start, deep)
+                put(len(nodes), other, deep, end)
+        if deep < len(path):
+            put(len(nodes), path, deep, len(path))
+    at = {id(path): k for k, path in enumerate(paths)}
+    return [(at[id(path)], a, b) for path, a, b in nodes]
+
+
+def _edges(paths: pd.Series, low: pd.Series) -> pd.Series:
+    made = [inserted([list(p) for p in group], int(a)) for group, a in zip(paths, low, strict=True)]
+    return pd.Series([[{"k": k, "low": a, "high": b} for k, a, b in edges] for edges in made])
+
+
+def _leaf(low: Column, high: Column) -> Column:
+    """The node of a sequence's depths in (low, high]."""
+    parent = F.when(low > 0, F.get("path", low - 1)).otherwise(F.col("root"))
+    return _node(F.col("start"), low, high, parent, F.slice("path", low + 1, high - low), F.slice("chars", low + 1, high - low))
+
+
+def z_fast_trie(blocks: DataFrame) -> DataFrame | None:
     """Compacted nodes of the trie of distinct sequences; each end of a sequence is the end of a node's edge."""
     last = F.element_at("path", -1)
-    pending = blocks.groupBy(last.alias("id")).agg(F.first(F.struct("start", "root", "path", "chars")).alias("s")).select("id", "s.*")
-    pending, nodes = checkpointed(pending), None
-    longest = pending.agg(F.max(F.size("path"))).first()[0]
-    while longest:
-        located = checkpointed(_located(pending, nodes, longest))
-        here = F.col("depth")
-        parent = F.when(here > 0, F.get("path", here - 1)).otherwise(F.col("root"))
-        rest = F.size("path") - here
-        leaf = _node(F.col("start"), here, F.size("path"), parent, F.slice("path", here + 1, rest), F.slice("chars", here + 1, rest))
-        open_ = located.filter(here < F.size("path"))
+    alike = blocks.groupBy(last.alias("id")).agg(F.first(F.struct("start", "root", "path", "chars")).alias("s"))
+    pending, nodes, here = checkpointed(alike.select("id", "s.*", F.lit(0).alias("depth"))), None, F.col("depth")
+    need = F.max(F.length(F.bin(here.bitwiseXOR(F.size("path")))))
+    bits = pending.agg(need).first()[0]
+    edges_of = F.pandas_udf(_edges, "array<struct<k:int,low:int,high:int>>")
+    while bits:
+        none = F.lit(None).cast("struct<x:bigint,y:bigint>")
+        located = pending.select(*_PENDING, none.alias("at"), F.lit(0).alias("high")) if nodes is None else checkpointed(_located(pending, nodes, bits))
+        open_ = located.filter(here < F.size("path")).withColumn("branch", F.get("path", here))
         # drawn by a hash: whole rows stay where they are until one of each branch is known
-        drawn = open_.groupBy(F.get("path", here).alias("branch")).agg(F.min(F.struct(F.xxhash64("id.x", "id.y").alias("lot"), "id")).alias("first")).select("first.id")
-        grown = open_.join(drawn, "id").select(leaf.alias("n")).select("n.*")
+        branches = open_.groupBy("branch").agg(F.min(F.struct(F.xxhash64("id.x", "id.y").alias("lot"), "id")).alias("first"), F.count("*").alias("n"))
+        marked = checkpointed(open_.join(branches.select("branch", F.col("first.id").alias("drawn"), "n"), "branch"))
+        few, drawn = F.col("n") <= MOST_LOCAL, F.col("drawn") == F.col("id")
+        members = marked.filter(few).groupBy("branch", "depth").agg(F.collect_list(F.struct("start", "root", "path", "chars")).alias("members"))
+        named = F.transform("members", lambda m: F.transform(m["path"], lambda p: F.concat_ws(":", p["x"], p["y"])))
+        edges = members.select("members", F.explode(edges_of(named, "depth")).alias("e")).select(F.get("members", F.col("e.k")).alias("m"), "e.low", "e.high").select("m.*", "low", "high")
+        grown = edges.select(_leaf(F.col("low"), F.col("high")).alias("n")).unionByName(marked.filter(~few & drawn).select(_leaf(here, F.size("path")).alias("n"))).select("n.*")
         if nodes is not None:
             cuts = located.filter((here > 0) & (here < F.col("high"))).groupBy(F.col("at").alias("id")).agg(F.collect_set("depth").alias("cuts"))
             bounds = F.array_sort(F.concat(F.array("low"), F.coalesce("cuts", F.array().cast("array<int>")), F.array("high")))
@@ -160,8 +220,8 @@ def z_fast_trie(blocks: DataFrame) -> DataFrame:
             part = [F.slice(c, low - F.col("low") + 1, high - low) for c in ("edge", "chars")]
             grown = grown.unionByName(cut.select(_node(F.col("start"), low, high, above, *part).alias("n")).select("n.*"))
         nodes = checkpointed(grown)
-        pending = checkpointed(open_.join(drawn, "id", "left_anti").select(*_PENDING))
-        longest = pending.agg(F.max(F.size("path"))).first()[0]
+        pending = marked.filter(~few & ~drawn).select(*_PENDING)
+        bits = pending.agg(need).first()[0]
     return nodes
 
 
@@ -169,14 +229,17 @@ def z_fast_trie(blocks: DataFrame) -> DataFrame:
 
 
 def subtree_sums(nodes: DataFrame) -> DataFrame:
-    """For nodes (id, up, chars, ends, least, leaf), ``up`` null at the root: sums over all that hang below, themselves included.
+    """For nodes (id, up, chars, ends, least, n_children), ``up`` null at the root: sums over all that hang below, themselves included.
 
     ``convs``, ``least`` and ``leaves`` add up ends, least ids and leaves; ``length`` the chars of
     nodes; ``held`` the chars on the way from the node to each end.  Step k adds what lies 2^k nodes below.
     """
     state = checkpointed(
-        nodes.select("id", "up", "chars", F.col("ends").alias("convs"), "least", F.col("leaf").alias("leaves"), F.col("chars").alias("length"), (F.col("chars") * F.col("ends")).alias("held"), F.col("chars").alias("way"))
-    )
+        nodes.select(
+            "id", "up", "chars", "n_children", F.col("ends").alias("convs"), "least", (F.col("n_children") == 0).cast("long").alias("leaves"), F.col("chars").alias("length"),
+            (F.col("chars") * F.col("ends")).alias("held"), F.col("chars").alias("way"),
+        )
+    )
     while not state.filter("up IS NOT NULL").isEmpty():
         sent = state.filter("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(
             F.sum("convs").alias("d_convs"), F.min("least").alias("d_least"), F.sum("leaves").alias("d_leaves"), F.sum("length").alias("d_length"),
@@ -184,7 +247,7 @@ def subtree_sums(nodes: DataFrame) -> DataFrame:
         )
         zero = F.lit(0).cast("long")
         grown = state.join(sent, "id", "left").select(
-            "id", "up", "chars", "way",
+            "id", "up", "chars", "way", "n_children",
             *[(F.col(c) + F.coalesce(f"d_{c}", zero)).alias(c) for c in ("convs", "leaves", "length")],
             F.least("least", "d_least").alias("least"),
             (F.col("held") + F.coalesce("d_held", zero) + F.col("chars") * F.coalesce("d_convs", zero)).alias("held"),
@@ -193,7 +256,7 @@ def subtree_sums(nodes: DataFrame) -> DataFrame:
         rises = F.col("up").isNotNull()
         risen = grown.filter(rises).join(above, "up", "left").withColumn("up", F.col("further")).withColumn("way", F.col("way") + F.coalesce("more", zero)).drop("further", "more")
         state = checkpointed(risen.unionByName(grown.filter(~rises)))
-    return state.select("id", "convs", "least", "leaves", "length", "held")
+    return state.select("id", "convs", "least", "leaves", "n_children", "length", "held")
 
 
 def _ends_digests(ends: DataFrame) -> DataFrame:
@@ -238,15 +301,18 @@ def prefix_nodes(messages: DataFrame) -> DataFrame:
     final = blocks.select("c", F.call_function("div", F.col("start"), F.lit(BLOCK).cast("long")).alias("block"), F.element_at("path", -1).alias("id"))
     ended = lengths.filter("length > 0").join(final, ["c", "block"]).select("c", "id").unionByName(lengths.filter("length = 0").select("c", zero.alias("id")))
     ends = checkpointed(ended)
-    nodes = z_fast_trie(blocks)
+    nodes, nothing = z_fast_trie(blocks), F.lit(None)
     size = F.aggregate("chars", F.lit(0).cast("long"), lambda a, b: a + b)
-    root = ends.select(zero.alias("id")).limit(1).select("id", F.lit(None).cast("struct<x:bigint,y:bigint>").alias("up"), F.lit(0).cast("long").alias("chars"))
-    plain = root if nodes is None else root.unionByName(nodes.select("id", F.col("root").alias("up"), size.alias("chars")))
-    counted = ends.groupBy("id").agg(F.count("*").alias("ends"), F.min("c").alias("least"))
-    below = plain.filter("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("n_children"))
-    known = checkpointed(plain.join(counted, "id", "left").join(below, "id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("ends", "n_children")}))
-    sums = subtree_sums(known.withColumn("leaf", (F.col("n_children") == 0).cast("long")))
-    sums = sums.join(known.select("id", "n_children"), "id").join(_ends_digests(ends), "id", "left").withColumn("sha", F.coalesce("sha", F.lit(EMPTY_SHA256)))
+    facts = ["id", nothing.cast("struct<x:bigint,y:bigint>").alias("up"), F.lit(0).cast("long").alias("chars")]
+    known = ends.select(*facts, F.lit(1).alias("ends"), F.col("c").alias("least"), F.lit(0).alias("child"))
+    known = known.unionByName(ends.limit(1).select(zero.alias("id"), *facts[1:], F.lit(0).alias("ends"), nothing.cast("long").alias("least"), F.lit(0).alias("child")))
+    if nodes is not None:
+        known = known.unionByName(nodes.select("id", F.col("root").alias("up"), size.alias("chars"), F.lit(0).alias("ends"), nothing.cast("long").alias("least"), F.lit(0).alias("child")))
+        known = known.unionByName(nodes.select(F.col("root").alias("id"), *facts[1:], F.lit(0).alias("ends"), nothing.cast("long").alias("least"), F.lit(1).alias("child")))
+    known = known.groupBy("id").agg(
+        F.max("up").alias("up"), F.max("chars").alias("chars"), F.sum("ends").alias("ends"), F.min("least").alias("least"), F.sum("child").alias("n_children")
+    )
+    sums = subtree_sums(known).join(_ends_digests(ends), "id", "left").withColumn("sha", F.coalesce("sha", F.lit(EMPTY_SHA256)))
     sums = checkpointed(sums)
     value = ["convs", "least", "leaves", "n_children", "sha", (F.col("held") - F.col("length")).alias("saved")]
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]

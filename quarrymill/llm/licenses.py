@@ -5,12 +5,14 @@ of their places is kept, and the gaps between kept anchors are aligned the same
 is the share of a template's words aligned.  An alignment must lie within twice the template's
 length of text, so each text is searched in windows of three template lengths, a template
 length apart, which hold every such stretch.  A window whose words could not reach the least
-coverage, counted with repeats, is passed over: that bound is exact and loses nothing.
+coverage, counted with repeats, is passed over: that bound is exact.  Words around a license can
+repeat its anchors, so a window is aligned whole and again between the starts and ends that runs
+of words shared with the template suggest, and each time within what was aligned, until it stands still.
 
 Templates are whole texts (also those in ``license_texts``), headers and short notices.  A notice
 is found only where all its words stand together, since one word (a version, NC) makes another
-license of it.  The license with most words found comes first; another license found in the same
-place (BSD-2-Clause in a BSD-3-Clause text) is not reported.
+license of it.  The license with most words found comes first; another one most of whose aligned words
+stand in its place (BSD-2-Clause in a BSD-3-Clause text) is not reported, unless it stands elsewhere too.
 
 Edge cases: null and empty texts match nothing; ties go to the higher coverage, then to the
 first window; repeated rows are scanned alike; texts of any length are scanned whole; extra
@@ -169,15 +171,15 @@ def patience_alignment(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def densest(pairs: list[tuple[int, int]], reach: int) -> tuple[int, int, int]:
-    """Most aligned pairs whose first members lie within ``reach``: (count, first, last)."""
-    best, low = (0, 0, 0), 0
+def densest(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """Most aligned pairs whose first members lie within ``reach``, the first such run."""
+    best, low = (0, 0), 0
     for high, (x, _) in enumerate(pairs):
         while x - pairs[low][0] >= reach:
             low += 1
-        if high - low + 1 > best[0]:
-            best = (high - low + 1, pairs[low][0], x)
-    return best
+        if high + 1 - low > best[1] - best[0]:
+            best = (low, high + 1)
+    return pairs[slice(*best)]
 
 
 def phrase_at(words: list[str], phrase: list[str]) -> int:
@@ -192,6 +194,18 @@ def phrase_at(words: list[str], phrase: list[str]) -> int:
         return -1
 
 
+def _seed_size(n: int) -> int:
+    return 3 if n >= 24 else 1
+
+
+def _seeds(words: list[str], size: int) -> dict[tuple[str, ...], list[int]]:
+    """Places of the runs of ``size`` words."""
+    out = {}
+    for k in range(len(words) - size + 1):
+        out.setdefault(tuple(words[k : k + size]), []).append(k)
+    return out
+
+
 class Scanner:
     """Templates as word lists, with the counts that bound their coverage, and notices."""
 
@@ -201,6 +215,7 @@ class Scanner:
         self.counts = {k: Counter(v) for k, v in self.templates.items()}
         self.vocabulary = frozenset(w for v in self.templates.values() for w in v)
         self.coverage = coverage
+        self.seeds = {k: _seeds(v, _seed_size(len(v))) for k, v in self.templates.items()}
 
     def _bound(self, name: str, found: Counter) -> float:
         return sum(min(n, found[w]) for w, n in self.counts[name].items() if w in found) / len(self.templates[name])
@@ -214,29 +229,66 @@ class Scanner:
                     break
         return out
 
+    def _bounds(self, name: str, window: list[str]) -> list[tuple[int, int]]:
+        """Stretches between likely starts and ends: where runs near an end of the template say that it is, and where most runs do."""
+        n, size = len(self.templates[name]), _seed_size(len(self.templates[name]))
+        votes, most = {"start": Counter(), "end": Counter(), "all": Counter()}, max(6, 400 // n)
+        for k in range(len(window) - size + 1):
+            for j in self.seeds[name].get(tuple(window[k : k + size]), ()):
+                for part, near in (("start", 4 * j <= n), ("end", 4 * (j + size) >= 3 * n), ("all", True)):
+                    if near:
+                        votes[part][k - j] += 1
+        often = [d for d, _ in votes["all"].most_common(3)]
+        starts, ends = (dict.fromkeys([d for d, _ in votes[part].most_common(most)] + often) for part in ("start", "end"))
+        found = {(max(0, a), min(len(window), b + n)) for a in starts for b in ends}
+        return sorted((a, b) for a, b in found if self.coverage * n <= b - a <= 2 * n)
+
+    def _best(self, name: str, window: list[str]) -> list[tuple[int, int]]:
+        """The best alignment found in a window, of equal ones that over fewest words."""
+        template = self.templates[name]
+        n = len(template)
+
+        def better(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> list[tuple[int, int]]:
+            rank = lambda p: (len(p), p[0][0] - p[-1][0] if p else 0)
+            return y if rank(y) > rank(x) else x
+
+        def aligned(a: int, b: int) -> list[tuple[int, int]]:
+            best = []
+            while a < b:
+                pairs = densest([(x + a, y) for x, y in patience_alignment(window[a:b], template)], 2 * n)
+                if better(best, pairs) is best:
+                    break
+                best, a, b = pairs, pairs[0][0], pairs[-1][0] + 1
+            return best
+
+        best = aligned(0, len(window))
+        if len(best) == n == best[-1][0] - best[0][0] + 1:
+            return best
+        for a, b in self._bounds(name, window):
+            best = better(best, aligned(a, b))
+        return best
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first word, last word) of the templates found, most words first."""
         words = words_of(text)
         known = Counter(filter(self.vocabulary.__contains__, words))
-        some, out = known.total(), self._noticed(words)
+        some, out = known.total(), [(n, name, share, range(first, last + 1)) for n, name, share, first, last in self._noticed(words)]
         for name, template in self.templates.items():
             if some < self.coverage * len(template) or self._bound(name, known) < self.coverage:
                 continue
-            n, best = len(template), (0, 0, 0)
+            n = len(template)
             for start in range(0, max(1, len(words) - n), n):
                 window = words[start : start + 3 * n]
-                if self._bound(name, Counter(filter(self.vocabulary.__contains__, window))) < self.coverage:
-                    continue
-                count, first, last = densest(patience_alignment(window, template), 2 * n)
-                if count > best[0]:
-                    best = (count, start + first, start + last)
-            if best[0] >= self.coverage * n:
-                out.append((best[0], name, best[0] / n, best[1], best[2]))
+                if self._bound(name, Counter(filter(self.vocabulary.__contains__, window))) >= self.coverage:
+                    pairs = self._best(name, window)
+                    if len(pairs) >= self.coverage * n:
+                        out.append((len(pairs), name, len(pairs) / n, [start + x for x, _ in pairs]))
         kept = []
-        for _, name, share, first, last in sorted(out, key=lambda x: (-x[0], -x[2], x[3])):
+        for _, name, share, at in sorted(out, key=lambda x: (-x[0], -x[2], x[3][0])):
             license = FORM.sub("", name)
-            if all(FORM.sub("", other) == license or last < start or first > end for other, _, start, end in kept):
-                kept.append((name, share, first, last))
+            inside = lambda first, last: 2 * (bisect.bisect_right(at, last) - bisect.bisect_left(at, first)) > len(at)  # noqa: B023, E731
+            if all(other != name and (FORM.sub("", other) == license or not inside(first, last)) for other, _, first, last in kept):
+                kept.append((name, share, at[0], at[-1]))
         return kept
 
 

@@ -1,8 +1,9 @@
 """Phrase collocations from count streams in prefix and suffix order.
 
-Words and phrases of up to three words are counted order by order: a task counts a block of words
-in memory and sorted counts are summed by Spark; an order counts only what both of its parts of one
-word less make possible.  The counts that stay are one stream.  In prefix order an n-gram follows
+Words and phrases of up to three words are counted: a task counts a block of words in memory and
+Spark sums the blocks' counts.  Pairs of frequent words, and triples of frequent pairs, are counted by
+a key of 64 bits first, so that only phrases that can be frequent are counted by their words.  The
+counts that stay are one stream.  In prefix order an n-gram follows
 the shorter ones that begin it, in suffix order those that end it, so one pass over each order
 merges the counts in lockstep: left and right parts of every cut, and the greatest count of the
 longer phrases that go on with it.  No count is looked up in a table.
@@ -17,11 +18,13 @@ an empty table gives no rows; other columns are not read.  Equal scores are orde
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import checkpointed
-from quarrymill.llm.streams import block_counts, frequent_bits, in_order, lockstep
+from quarrymill.llm.streams import frequent_bits, in_order, key_counts, lockstep, phrase_counts, word_counts, word_key
 
 #: Least count of a phrase.
 LEAST = 10
@@ -31,26 +34,27 @@ SHARE = 50
 TOP = 2000
 #: Score of a phrase whose parts always stand together.
 SCALE = 1_000_000
-#: Candidates that one task ranks before the ranks of a language meet.
-_RANKED = 200_000
 
 
 def count_stream(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """n-grams of one to three words with at least ``least`` occurrences (lang, w1, w2, w3, order, n), and all words of each language (lang, total)."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    stream, totals, bits = None, None, None
-    for order in (1, 2, 3):
-        words = [f"w{k + 1}" for k in range(order)]
-        counts = block_counts(texts, order, bits).groupBy("lang", *words).agg(F.sum("n").alias("n"))
-        kept = checkpointed(counts.filter((F.col("n") >= least) | F.col("w1").isNull()))
-        if order == 1:
-            totals, kept = kept.filter("w1 IS NULL").select("lang", F.col("n").alias("total")), kept.filter("w1 IS NOT NULL")
-        blank = F.lit(None).cast("string")
-        wide = kept.select("lang", *words, *[blank.alias(f"w{k + 1}") for k in range(order, 3)], F.lit(order).alias("order"), "n")
-        stream = wide if stream is None else stream.unionByName(wide)
-        if order < 3:
-            bits = docs.sparkSession.sparkContext.broadcast(frequent_bits(kept, words, kept.count()))
-    return stream, totals
+    spread = docs.sparkSession.sparkContext.broadcast
+
+    def summed(counts: DataFrame, *keys: str) -> DataFrame:
+        enough = F.col("n") >= least
+        return checkpointed(counts.groupBy(*keys).agg(F.sum("n").alias("n")).filter(enough | F.col("w1").isNull() if "w1" in keys else enough))
+
+    words = summed(word_counts(texts), "lang", "w1")
+    totals, words = words.filter("w1 IS NULL").select("lang", F.col("n").alias("total")), words.filter("w1 IS NOT NULL")
+    tables = [spread(frequent_bits(words, word_key("lang", "w1"), words.count()))]
+    for order in (2, 3):
+        keys = summed(key_counts(texts, tables[-1], order), "key")
+        tables.append(spread(frequent_bits(keys, F.col("key"), keys.count())))
+    phrases = summed(phrase_counts(texts, *tables[1:]), "lang", "w1", "w2", "w3")
+    stream = phrases.unionByName(words, allowMissingColumns=True)
+    order = F.when(F.col("w2").isNull(), 1).when(F.col("w3").isNull(), 2).otherwise(3)
+    return stream.withColumn("order", order), totals
 
 
 def scored(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, int]:
@@ -83,12 +87,12 @@ def scored(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, i
 def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP) -> DataFrame:
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
-    A language's candidates are ranked in shares of bounded size first.
+    A language's candidates are ranked in shares first; what the shares keep is as much as a share.
     """
     found, totals, rows = scored(docs, least)
     kept = found.filter(F.lit(100) * F.col("longer") < F.lit(share) * F.col("a"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(1 + rows // _RANKED))
+    part = F.pmod(F.xxhash64("phrase"), F.lit(1 + math.isqrt(rows // top)))
     first = kept.withColumn("_part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("rank") <= top)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")

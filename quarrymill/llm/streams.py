@@ -1,12 +1,14 @@
-"""Count streams of n-grams: block-combined counting, and lockstep merging of sorted orders."""
+"""Count streams of n-grams: block-combined counting, and lockstep merging of sorted orders.
+
+Tables of bits only spare work: a key that is set without need costs a count that is thrown away.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,21 +33,20 @@ _END = b"\xff"
 # --- frequent n-grams as bits -------------------------------------------------------------------
 
 
-def _turned(x: Column, k: int) -> Column:
-    return F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, 64 - k))
+def word_key(lang: str, word: str) -> Column:
+    """The key of a language's word in tables of bits; workers compute the same."""
+    x = F.xxhash64(lang)
+    return F.shiftleft(x, 13).bitwiseOR(F.shiftrightunsigned(x, 51)).bitwiseXOR(F.xxhash64(word))
 
 
-def frequent_bits(frequent: DataFrame, words: list[str], rows: int) -> np.ndarray:
-    """A table of bits, two for each n-gram of ``frequent``; at most ``MOST_BITS`` of them.
+def frequent_bits(frequent: DataFrame, key: Column, rows: int) -> np.ndarray:
+    """A table of bits, two for each key of ``frequent``; at most ``MOST_BITS`` of them.
 
     Bits are set and joined by Spark; the driver gets words of 64 bits.
     """
     bits = 2**16
     while bits < min(16 * rows, MOST_BITS):
         bits *= 2
-    key = _turned(F.xxhash64("lang"), 13)
-    for k, word in enumerate(words):
-        key = key.bitwiseXOR(_turned(F.xxhash64(word), 29 * k) if k else F.xxhash64(word))
     at = F.explode(F.array(key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1))))
     cells = frequent.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
@@ -95,36 +96,55 @@ class _Block:
     def rest(self) -> _Block:
         """A new block that begins with the last two words, whose n-grams are still open."""
         out = _Block()
-        for k in np.concatenate(self.parts)[-2:]:
+        for k in np.concatenate(self.parts)[-2:].tolist():
             out.add(self.langs[k], [self.words[k] or _END])
         return out
 
-    def grams(self, order: int, table: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
-        """Numbers of the words of each distinct n-gram, and counts; with a table only if its own parts are frequent."""
+    def _keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the hashes of itself and of its language."""
         import xxhash
 
-        x = np.concatenate(self.parts)
-        spans = [x[k : len(x) - 2 + k] for k in range(order)]
-        if order == 1:
-            distinct, counts = np.unique(spans[0][spans[0] > 0], return_counts=True)
-            return [distinct], counts
         hashed = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.words), np.uint64, len(self.words))
-        langs = {lang: xxhash.xxh64_intdigest(lang.encode(), 42) for lang in self.ids}
-        of_lang = _rotated(np.fromiter((langs.get(v, 0) for v in self.langs), np.uint64, len(self.langs)), 13)
-        if order == 2:
-            known = _is_set(table, of_lang ^ hashed)
-            known[0] = False
-            starts = np.flatnonzero(known[spans[0]] & known[spans[1]])
-        else:
-            first, second = spans[0], spans[1]
-            pairs = _is_set(table, of_lang[first] ^ hashed[first] ^ _rotated(hashed[second], 29)) & (first > 0) & (second > 0)
-            starts = np.flatnonzero(pairs[:-1] & pairs[1:]) if pairs.size else np.zeros(0, np.int64)
-        packed, counts = np.unique((spans[0][starts] << 32) | spans[1][starts], return_counts=order == 2, return_inverse=order == 3)
-        if order == 2:
-            return [packed >> 32, packed & 0xFFFFFFFF], counts
-        triples, inner = np.unique((counts << 32) | spans[2][starts], return_counts=True)
-        pair = packed[triples >> 32] if packed.size else packed
-        return [pair >> 32, pair & 0xFFFFFFFF, triples & 0xFFFFFFFF], inner
+        langs = {lang: xxhash.xxh64_intdigest(lang.encode(), 42) for lang in {"", *self.ids}}
+        return hashed, _rotated(np.fromiter(map(langs.__getitem__, self.langs), np.uint64, len(self.langs)), 13)
+
+    def single(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the distinct words, and their counts."""
+        x = np.concatenate(self.parts)[:-2]
+        return np.unique(x[x > 0], return_counts=True)
+
+    def _known(self, x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all neighbours, whether each is set in a table of pairs, and keys of all runs of three."""
+        hashed, langs = self._keys()
+        pair = langs[x[:-1]] ^ hashed[x[:-1]] ^ _rotated(hashed[x[1:]], 29)
+        return pair, _is_set(table, pair) & (x[:-1] > 0) & (x[1:] > 0), pair[:-1] ^ _rotated(hashed[x[2:]], 47)
+
+    def pairs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of distinct neighbours that are both set in a table of words."""
+        x, (hashed, langs) = np.concatenate(self.parts), self._keys()
+        known = _is_set(table, langs ^ hashed)
+        known[0] = False
+        first, second = x[:-2], x[1:-1]
+        starts = np.flatnonzero(known[first] & known[second])
+        first, second = first[starts], second[starts]
+        return np.unique(langs[first] ^ hashed[first] ^ _rotated(hashed[second], 29), return_counts=True)
+
+    def triples(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of distinct runs of three words whose pairs are both set in a table of pairs."""
+        _, known, triple = self._known(np.concatenate(self.parts), table)
+        return np.unique(triple[known[:-1] & known[1:]], return_counts=True)
+
+    def phrases(self, pairs: np.ndarray, triples: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Numbers of the words, 0 for none, and counts of distinct phrases of 2 and 3 words that are set in the tables."""
+        x = np.concatenate(self.parts)
+        _, known, triple = self._known(x, pairs)
+        starts = np.flatnonzero(known[:-1])
+        packed, pair, counts = np.unique((x[starts] << 32) | x[starts + 1], return_inverse=True, return_counts=True)
+        more = known[starts + 1] & _is_set(triples, triple[starts])
+        longer, inner = np.unique((pair[more] << 32) | x[starts[more] + 2], return_counts=True)
+        packed = np.concatenate([packed, packed[longer >> 32]])
+        third = np.concatenate([np.zeros(len(counts), np.int64), longer & 0xFFFFFFFF])
+        return [packed >> 32, packed & 0xFFFFFFFF, third], np.concatenate([counts, inner])
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -146,23 +166,8 @@ def _words(text: bytes) -> Iterator[list[bytes]]:
     yield [_END, _END]
 
 
-def block_counts(texts: DataFrame, order: int, table=None) -> DataFrame:
-    """Counts of n-grams in blocks of ``texts`` (lang, text): lang, w1 .. w<order>, n, not yet summed.
-
-    Order 1 also gives each language's words in all, as the count of a null word.  Longer ones are
-    counted where their parts of one word less are set in the broadcast ``table``.
-    """
-    names = [f"w{k + 1}" for k in range(order)]
-
-    def batches(block: _Block) -> Iterator[pa.RecordBatch]:
-        grams, counts = block.grams(order, table.value if table is not None else None)
-        words, langs = pa.array(block.words, pa.binary()).cast(pa.string(), safe=False), pa.array(block.langs)
-        columns = [pc.take(langs, pa.array(grams[0])), *[pc.take(words, pa.array(g)) for g in grams]]
-        out = pa.Table.from_arrays([*columns, pa.array(counts, pa.int64())], names=["lang", *names, "n"])
-        yield from out.to_batches(_ROWS)
-        if order == 1 and len(counts):
-            sums = out.group_by("lang").aggregate([("n", "sum")])
-            yield from pa.Table.from_arrays([sums["lang"], pa.nulls(len(sums), pa.string()), sums["n_sum"]], names=["lang", "w1", "n"]).to_batches()
+def _blocks(made: Callable[[_Block], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``made`` of all blocks of the texts (lang, text) of a partition."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block()
@@ -170,13 +175,53 @@ def block_counts(texts: DataFrame, order: int, table=None) -> DataFrame:
             for lang, text in zip(part["lang"].to_pylist(), part["text"].cast(pa.binary()), strict=True):
                 for words in _words(text.as_py()):
                     if block.size >= BLOCK_TOKENS:
-                        yield from batches(block)
+                        yield from made(block)
                         block = block.rest()
                     block.add(lang, words)
         if block.size:
-            yield from batches(block)
+            yield from made(block)
+
+    return run
+
+
+def _named(block: _Block, grams: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of n-grams by their words, null for number 0."""
+    words = pa.array([None, *block.words[1:]], pa.binary()).cast(pa.string(), safe=False)
+    langs, names = pa.array(block.langs), ["lang", *[f"w{k + 1}" for k in range(len(grams))], "n"]
+    for at in range(0, len(counts), _ROWS):
+        part = slice(at, at + _ROWS)
+        taken = [langs.take(pa.array(grams[0][part])), *[words.take(pa.array(g[part])) for g in grams]]
+        yield pa.RecordBatch.from_arrays([*taken, pa.array(counts[part], pa.int64())], names=names)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """Words of ``texts`` (lang, text) with their counts in blocks: lang, w1, n; a null word counts all of a language."""
+
+    def made(block: _Block) -> Iterator[pa.RecordBatch]:
+        distinct, counts = block.single()
+        yield from _named(block, [distinct], counts)
+        of, sums = np.array([block.langs[k] for k in distinct], object), {}
+        for lang, n in zip(of, counts.tolist(), strict=True):
+            sums[lang] = sums.get(lang, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.nulls(len(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["lang", "w1", "n"])
+
+    return texts.mapInArrow(_blocks(made), "lang string, w1 string, n long")
+
+
+def key_counts(texts: DataFrame, table, order: int) -> DataFrame:
+    """Keys of runs of ``order`` words (2 or 3) whose parts are in the broadcast ``table``, with their counts in blocks: key, n."""
+
+    def made(block: _Block) -> Iterator[pa.RecordBatch]:
+        keys, counts = (block.pairs if order == 2 else block.triples)(table.value)
+        for at in range(0, len(counts), _ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + _ROWS].view(np.int64)), pa.array(counts[at : at + _ROWS], pa.int64())], names=["key", "n"])
+
+    return texts.mapInArrow(_blocks(made), "key long, n long")
+
 
-    return texts.mapInArrow(run, ", ".join(["lang string", *[f"{w} string" for w in names], "n long"]))
+def phrase_counts(texts: DataFrame, pairs, triples) -> DataFrame:
+    """Phrases of 2 and 3 words that are in the broadcast tables, with their counts in blocks: lang, w1, w2, w3, n."""
+    return texts.mapInArrow(_blocks(lambda block: _named(block, *block.phrases(pairs.value, triples.value))), "lang string, w1 string, w2 string, w3 string, n long")
 
 
 # --- sorted streams -----------------------------------------------------------------------------

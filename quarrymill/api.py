@@ -61,21 +61,23 @@ class Engine:
 
     def __init__(
         self, spark: SparkSession, chunks: DataFrame, ticket_table: DataFrame | None = None, dim: int = dense.DIM,
-        index: keyword.KeywordIndex | None = None, vectors: DataFrame | None = None,
+        index: keyword.KeywordIndex | None = None, vectors: DataFrame | None = None, kept_graph=None,
     ):
         self.spark, self.chunks, self.ticket_table, self.dim = spark, chunks, ticket_table, dim
         self.index = index or keyword.build_index(chunks).kept(materialized)
         self.vectors = materialized(dense.hash_embedding(chunks, dim=dim)) if vectors is None else vectors
-        self.graph = graph.build_graph(chunks)
+        self.graph = kept_graph or graph.build_graph(chunks)
 
     @classmethod
     def ingest(
-        cls, spark: SparkSession, roots: dict[str, str], store: str | None = None, force: bool = False, pdf_text: Callable[[bytes], str] | None = None, **options
-    ) -> Engine:
+        cls, spark: SparkSession, roots: dict[str, str], store: str | None = None, force: bool = False, pdf_text: Callable[[bytes], str] | None = None,
+        keep_graph: bool = False, **options,
+    ) -> Engine:
         """An engine over the files below each root, by repository name.
 
         With a ``store`` folder only new and changed files are parsed; chunks, index tables, the
-        manifest and a record of the job are kept there (see ``sources.ingest``).
+        manifest and a record of the job are kept there (see ``sources.ingest``), and with
+        ``keep_graph`` the tables of the graph too.
         """
         if not roots:
             raise ValueError("no source given")
@@ -85,11 +87,11 @@ class Engine:
             files = one if files is None else files.unionByName(one)
         if store is None:
             return cls(spark, materialized(repository_chunks(files)), **options)
-        kept = Ingestion(spark, store, dim=options.get("dim", dense.DIM))
+        kept = Ingestion(spark, store, dim=options.get("dim", dense.DIM), keep_graph=keep_graph)
         kept.run(files, repository_chunks, force, repos=roots)
         now = kept.store.snapshot()
         index = keyword.KeywordIndex.of(kept.table("postings", now), kept.table("lengths", now)).kept(materialized)
-        return cls(spark, kept.table("chunks", now), index=index, vectors=kept.table("vectors", now), **options)
+        return cls(spark, kept.table("chunks", now), index=index, vectors=kept.table("vectors", now), kept_graph=kept.graph.graph(now) if keep_graph else None, **options)
 
     def _dense(self, request: QueryRequest) -> DataFrame:
         kept = F.lit(True)

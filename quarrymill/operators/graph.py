@@ -35,6 +35,13 @@ def last_by(rows: DataFrame, keys: list[str], values: list[str], order: str = "p
     return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
+def files_of(rows: DataFrame) -> DataFrame:
+    """File nodes of chunks (pos, repo, path, language, framework_type): the first of each (repo, path) writes, the last such write stays."""
+    firsts = rows.groupBy("repo", "path").agg(F.min("pos").alias("pos"), F.min_by(F.struct("language", "framework_type"), "pos").alias("v"))
+    named = firsts.select("path", "pos", F.col("v.language").alias("language"), F.col("v.framework_type").alias("framework_type"))
+    return last_by(named, ["path"], ["language", "framework_type"]).withColumnRenamed("path", "id")
+
+
 def handler_name(classes: Column) -> Column:
     """The first class named like a handler, else the first class, else null."""
     is_handler = lambda c: F.exists(F.array(*[F.lit(h) for h in HANDLER_NAMES]), lambda h: F.contains(F.lower(c), h))
@@ -132,10 +139,7 @@ class Graph:
 
     @cached_property
     def files(self) -> DataFrame:
-        # the first chunk of each (repo, path) writes the file, the last such write stays
-        firsts = self._rows.groupBy("repo", "path").agg(F.min("pos").alias("pos"), F.min_by(F.struct("language", "framework_type"), "pos").alias("v"))
-        named = firsts.select("path", "pos", F.col("v.language").alias("language"), F.col("v.framework_type").alias("framework_type"))
-        return materialized(last_by(named, ["path"], ["language", "framework_type"]).withColumnRenamed("path", "id"))
+        return materialized(files_of(self._rows))
 
     @cached_property
     def belongs_to(self) -> DataFrame:
@@ -143,9 +147,7 @@ class Graph:
 
     @cached_property
     def classes(self) -> DataFrame:
-        of_class = self._rows.select("pos", "repo", "path", "language", "text", F.explode("classes").alias("name"))
-        kinds = of_class.withColumns({"id": class_id(F.col("repo"), F.col("path"), F.col("name")), "kind": extract.class_kind(F.col("text"), F.col("name"), F.col("language"))})
-        return materialized(last_by(kinds, ["id", "name", "repo", "path"], ["kind"]))
+        return materialized(last_by(self._defined, ["id", "name", "repo", "path"], ["kind"]))
 
     @property
     def defined_in(self) -> DataFrame:
@@ -170,8 +172,8 @@ class Graph:
 
     @property
     def _called(self) -> DataFrame:
-        called = self._rows.select("repo", "path", F.get("classes", F.lit(0)).alias("caller"), F.explode("calls").alias("c")).select(
-            "repo", _verb(F.col("c")).alias("method"), _path(F.col("c")).alias("route"), F.when(F.col("caller").isNotNull(), class_id(F.col("repo"), F.col("path"), F.col("caller"))).alias("caller")
+        called = self._rows.select("pos", "repo", "path", F.get("classes", F.lit(0)).alias("caller"), F.explode("calls").alias("c")).select(
+            "pos", "repo", _verb(F.col("c")).alias("method"), _path(F.col("c")).alias("route"), F.when(F.col("caller").isNotNull(), class_id(F.col("repo"), F.col("path"), F.col("caller"))).alias("caller")
         )
         return called.withColumn("id", F.concat_ws("::", F.lit("call"), "repo", "method", "route"))
 
@@ -183,10 +185,21 @@ class Graph:
     def makes(self) -> DataFrame:
         return materialized(self._called.filter("caller is not null").select(F.col("caller").alias("src"), F.col("id").alias("dst")).distinct())
 
+    @property
+    def _wanted(self) -> DataFrame:
+        # each class of a chunk depends on each dependency of the chunk that is a class of the repository
+        return self._rows.select("pos", "repo", "path", "classes", F.explode("deps").alias("dep")).select(
+            "pos", "repo", "dep", F.explode(F.transform("classes", lambda c: class_id(F.col("repo"), F.col("path"), c))).alias("src")
+        )
+
+    @property
+    def _defined(self) -> DataFrame:
+        of_class = self._rows.select("pos", "repo", "path", "language", "text", F.explode("classes").alias("name"))
+        return of_class.withColumns({"id": class_id(F.col("repo"), F.col("path"), F.col("name")), "kind": extract.class_kind(F.col("text"), F.col("name"), F.col("language"))})
+
     @cached_property
     def depends_on(self) -> DataFrame:
-        # each class of a chunk depends on each dependency of the chunk that is a class of the repository
-        wanted = self._rows.select("repo", "path", "classes", F.explode("deps").alias("dep")).select("repo", "dep", F.explode(F.transform("classes", lambda c: class_id(F.col("repo"), F.col("path"), c))).alias("src"))
+        wanted = self._wanted.select("repo", "dep", "src")
         known = self.classes.select("repo", F.col("name").alias("dep"), F.col("id").alias("dst"))
         return materialized(wanted.distinct().join(known, ["repo", "dep"]).select("src", "dst").distinct())
 

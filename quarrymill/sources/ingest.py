@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.operators import dense, keyword
 from quarrymill.session import materialized
+from quarrymill.sources.graph_store import GraphStore
 from quarrymill.sources.incremental import file_changes, ingest_counts
 from quarrymill.sources.store import BUCKETS, ChunkStore, Snapshot
 
@@ -29,11 +30,13 @@ class Ingestion:
     changed, and replaces their rows and those of files that are gone; other repositories stay as
     they are.  The manifest knows each file's chunk ids, so no table is read through.  All tables
     change in one transaction: a run that failed is as if it had not been, and its job says
-    ``failed`` and holds the error.
+    ``failed`` and holds the error.  With ``keep_graph`` the graph tables change with the chunks; it
+    must be given from the first run on.
     """
 
-    def __init__(self, spark: SparkSession, root: str, dim: int = dense.DIM, buckets: int = BUCKETS, batch_files: int = BATCH_FILES):
+    def __init__(self, spark: SparkSession, root: str, dim: int = dense.DIM, buckets: int = BUCKETS, batch_files: int = BATCH_FILES, keep_graph: bool = False):
         self.spark, self.store, self.dim, self.batch_files = spark, ChunkStore(spark, root, buckets), dim, batch_files
+        self.graph = GraphStore(self.store) if keep_graph else None
 
     def table(self, name: str, at: Snapshot | None = None) -> DataFrame | None:
         return self.jobs() if name == "jobs" else self.store.scan(name, at)
@@ -99,7 +102,11 @@ class Ingestion:
             fresh = materialized(files.join(changes.filter("status in ('new', 'changed')").select(*keys), keys, "left_semi"))
             made = self._parsed(fresh, chunked, counts["parsed"], say)
             chunks = made.drop("_repo", "_path")
+            before = change.lookup("chunks", ids) if self.graph else None
+            before = chunks.limit(0) if before is None else materialized(before)
             added = change.merge("chunks", chunks, ids)["added"]
+            if self.graph:
+                self.graph.update(change, before, chunks)
             index = keyword.build_index(chunks)
             change.merge("postings", index.postings, ids, unique=["id", "term"])
             change.merge("lengths", index.lengths, ids)

@@ -201,8 +201,19 @@ class Transaction:
         """The table as the transaction has it so far."""
         return None if name not in self.tables else self.store.read_buckets(name, self.tables[name])
 
-    def merge(self, name: str, new: DataFrame | None, gone: DataFrame | None = None, key: str | Sequence[str] = "id", unique: Sequence[str] | None = None) -> dict[str, int]:
-        """Takes away the rows whose key ``gone`` or ``new`` holds, and adds ``new``.
+    def lookup(self, name: str, asked: DataFrame) -> DataFrame | None:
+        """The rows whose key ``asked`` holds, from the buckets that can hold it."""
+        table = self.tables.get(name)
+        if table is None:
+            return None
+        at = bucket_of(table.keys, table.buckets)
+        buckets = [r[0] for r in asked.select(at.alias("b")).distinct().collect()]  # at most the table's buckets
+        return self.store.read_buckets(name, table, buckets).join(asked.select(*table.keys).distinct(), list(table.keys), "left_semi")
+
+    def merge(
+        self, name: str, new: DataFrame | None, gone: DataFrame | None = None, key: str | Sequence[str] = "id", unique: Sequence[str] | None = None, match: Sequence[str] | None = None
+    ) -> dict[str, int]:
+        """Takes away the rows whose key, or whose ``match`` columns, ``gone`` or ``new`` holds, and adds ``new``.
 
         Only buckets that hold such keys are read and written.  Rows must be unique by ``unique``
         (the key by default); they are counted and checked by metrics of the write itself.
@@ -214,7 +225,8 @@ class Transaction:
         table = table or Table(tuple(keys), new.schema.json(), self.store.buckets)
         if tuple(keys) != table.keys:
             raise ValueError(f"{name} is kept by {', '.join(table.keys)}")
-        leaving = [x.select(*keys) for x in (new, gone) if x is not None]
+        by = list(match or keys)
+        leaving = [x.select(*dict.fromkeys([*keys, *by])) for x in (new, gone) if x is not None]
         leaving = leaving[0] if len(leaving) == 1 else leaving[0].unionByName(leaving[1])
         at = bucket_of(keys, table.buckets)
         touched = sorted(r[0] for r in leaving.select(at.alias("b")).distinct().collect())  # at most the table's buckets
@@ -222,7 +234,7 @@ class Transaction:
             self.tables[name] = table
             return {"added": 0, "rows": 0, "buckets": 0}
         old = self.store.read_buckets(name, table, touched)
-        rows = old.join(leaving.distinct(), keys, "left_anti").withColumn("_added", F.lit(0))
+        rows = old.join(leaving.select(*by).distinct(), by, "left_anti").withColumn("_added", F.lit(0))
         rows = rows if new is None else rows.unionByName(new.withColumn("_added", F.lit(1)), allowMissingColumns=True)
         order = list(unique or keys)
         within = Window.partitionBy(BUCKET).orderBy(*order)

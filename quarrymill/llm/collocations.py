@@ -43,18 +43,17 @@ def count_stream(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFr
 
     def summed(counts: DataFrame, *keys: str) -> DataFrame:
         enough = F.col("n") >= least
-        return checkpointed(counts.groupBy(*keys).agg(F.sum("n").alias("n")).filter(enough | F.col("w1").isNull() if "w1" in keys else enough))
+        return checkpointed(counts.groupBy(*keys).agg(F.sum("n").alias("n")).filter(enough | F.col("gram").isNull() if "gram" in keys else enough))
 
-    words = summed(word_counts(texts), "lang", "w1")
-    totals, words = words.filter("w1 IS NULL").select("lang", F.col("n").alias("total")), words.filter("w1 IS NOT NULL")
-    tables = [spread(frequent_bits(words, word_key("lang", "w1"), words.count()))]
+    words = summed(word_counts(texts), "lang", "gram")
+    totals, words = words.filter("gram IS NULL").select("lang", F.col("n").alias("total")), words.filter("gram IS NOT NULL")
+    tables = [spread(frequent_bits(words, word_key("lang", "gram"), words.count()))]
     for order in (2, 3):
         keys = summed(key_counts(texts, tables[-1], order), "key")
         tables.append(spread(frequent_bits(keys, F.col("key"), keys.count())))
-    phrases = summed(phrase_counts(texts, *tables[1:]), "lang", "w1", "w2", "w3")
-    stream = phrases.unionByName(words, allowMissingColumns=True)
-    order = F.when(F.col("w2").isNull(), 1).when(F.col("w3").isNull(), 2).otherwise(3)
-    return stream.withColumn("order", order), totals
+    phrases = summed(phrase_counts(texts, *tables[1:]), "lang", "gram")
+    stream = words.unionByName(phrases).withColumn("w", F.split("gram", " "))
+    return stream.select("lang", *[F.get("w", F.lit(k)).alias(f"w{k + 1}") for k in range(3)], F.size("w").alias("order"), "n"), totals
 
 
 def scored(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, int]:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ PIECE_BYTES = 1_000_000
 #: Bits of the table that stands for the frequent n-grams of one order; what does not fit well is
 #: counted without need, never lost.
 MOST_BITS = 2**27
+#: Bits of a key of several words, which are shuffled; where two meet, both are counted by their words.
+KEY_BITS = 48
+_KEY = np.uint64(2**KEY_BITS - 1)
+_SECOND = KEY_BITS - MOST_BITS.bit_length() + 1
 #: Rows of an Arrow batch that goes back to Spark.
 _ROWS = 50_000
 #: A-Z in lower case, ends of pieces as one mark, tabs as blanks.
@@ -47,7 +52,7 @@ def frequent_bits(frequent: DataFrame, key: Column, rows: int) -> np.ndarray:
     bits = 2**16
     while bits < min(16 * rows, MOST_BITS):
         bits *= 2
-    at = F.explode(F.array(key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1))))
+    at = F.explode(F.array(key.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, _SECOND).bitwiseAND(F.lit(bits - 1))))
     cells = frequent.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
@@ -56,7 +61,7 @@ def frequent_bits(frequent: DataFrame, key: Column, rows: int) -> np.ndarray:
 
 def _is_set(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     mask, found = np.uint64(table.size * 64 - 1), np.ones(key.size, bool)
-    for at in (key & mask, (key >> np.uint64(32)) & mask):
+    for at in (key & mask, (key >> np.uint64(_SECOND)) & mask):
         found &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return found
 
@@ -117,7 +122,7 @@ class _Block:
         """Keys of all neighbours, whether each is set in a table of pairs, and keys of all runs of three."""
         hashed, langs = self._keys()
         pair = langs[x[:-1]] ^ hashed[x[:-1]] ^ _rotated(hashed[x[1:]], 29)
-        return pair, _is_set(table, pair) & (x[:-1] > 0) & (x[1:] > 0), pair[:-1] ^ _rotated(hashed[x[2:]], 47)
+        return pair, _is_set(table, pair & _KEY) & (x[:-1] > 0) & (x[1:] > 0), (pair[:-1] ^ _rotated(hashed[x[2:]], 47)) & _KEY
 
     def pairs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts of distinct neighbours that are both set in a table of words."""
@@ -127,7 +132,7 @@ class _Block:
         first, second = x[:-2], x[1:-1]
         starts = np.flatnonzero(known[first] & known[second])
         first, second = first[starts], second[starts]
-        return np.unique(langs[first] ^ hashed[first] ^ _rotated(hashed[second], 29), return_counts=True)
+        return np.unique((langs[first] ^ hashed[first] ^ _rotated(hashed[second], 29)) & _KEY, return_counts=True)
 
     def triples(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts of distinct runs of three words whose pairs are both set in a table of pairs."""
@@ -185,17 +190,20 @@ def _blocks(made: Callable[[_Block], Iterator[pa.RecordBatch]]) -> Callable[[Ite
 
 
 def _named(block: _Block, grams: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Batches of n-grams by their words, null for number 0."""
+    """Batches of n-grams (lang, gram, n): their words, none for number 0, with blanks between."""
     words = pa.array([None, *block.words[1:]], pa.binary()).cast(pa.string(), safe=False)
-    langs, names = pa.array(block.langs), ["lang", *[f"w{k + 1}" for k in range(len(grams))], "n"]
+    langs = pa.array(block.langs)
     for at in range(0, len(counts), _ROWS):
-        part = slice(at, at + _ROWS)
-        taken = [langs.take(pa.array(grams[0][part])), *[words.take(pa.array(g[part])) for g in grams]]
-        yield pa.RecordBatch.from_arrays([*taken, pa.array(counts[part], pa.int64())], names=names)
+        taken = [pa.array(g[at : at + _ROWS]) for g in grams]
+        gram = pc.binary_join_element_wise(*[words.take(g) for g in taken], " ", null_handling="skip")
+        yield pa.RecordBatch.from_arrays([langs.take(taken[0]), gram, pa.array(counts[at : at + _ROWS], pa.int64())], names=["lang", "gram", "n"])
+
+
+GRAM = "lang string, gram string, n long"
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """Words of ``texts`` (lang, text) with their counts in blocks: lang, w1, n; a null word counts all of a language."""
+    """Words of ``texts`` (lang, text) with their counts in blocks: lang, gram, n; a null word counts all of a language."""
 
     def made(block: _Block) -> Iterator[pa.RecordBatch]:
         distinct, counts = block.single()
@@ -203,9 +211,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
         of, sums = np.array([block.langs[k] for k in distinct], object), {}
         for lang, n in zip(of, counts.tolist(), strict=True):
             sums[lang] = sums.get(lang, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.nulls(len(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["lang", "w1", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.nulls(len(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    return texts.mapInArrow(_blocks(made), "lang string, w1 string, n long")
+    return texts.mapInArrow(_blocks(made), GRAM)
 
 
 def key_counts(texts: DataFrame, table, order: int) -> DataFrame:
@@ -220,8 +228,8 @@ def key_counts(texts: DataFrame, table, order: int) -> DataFrame:
 
 
 def phrase_counts(texts: DataFrame, pairs, triples) -> DataFrame:
-    """Phrases of 2 and 3 words that are in the broadcast tables, with their counts in blocks: lang, w1, w2, w3, n."""
-    return texts.mapInArrow(_blocks(lambda block: _named(block, *block.phrases(pairs.value, triples.value))), "lang string, w1 string, w2 string, w3 string, n long")
+    """Phrases of 2 and 3 words that are in the broadcast tables, with their counts in blocks: lang, gram, n."""
+    return texts.mapInArrow(_blocks(lambda block: _named(block, *block.phrases(pairs.value, triples.value))), GRAM)
 
 
 # --- sorted streams -----------------------------------------------------------------------------

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions import routes, text
-from quarrymill.operators import chunking, code, dense, documents, enrich, evidence, extract, graph, graph_queries, hybrid, keyword, standards, tickets
+from quarrymill.operators import blockmax, chunking, code, dense, documents, enrich, evidence, extract, graph, graph_queries, hybrid, keyword, standards, tickets
 from quarrymill.operators.python_source import parsed_python, python_sections
 from quarrymill.plans.inputs import FEATURE, GRAPH_SQL, KEYWORDS, code_chunks, documents_as_chunks, other_sources, sources, table
-from quarrymill.sources import incremental, store
+from quarrymill.session import materialized, shared_folder
+from quarrymill.sources import graph_store, incremental, store
 from quarrymill.streaming.ingest import chunk_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +109,24 @@ def keyword_search_filtered(spark, sf_dir):
     return _keyword(spark, sf_dir, 10, F.col("lang") == "de").select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _blocks(spark, sf_dir) -> blockmax.BlockIndex:
+    docs = table(spark, sf_dir, "documents")
+    return blockmax.build_blocks(keyword.build_index(docs, "doc_id").kept(materialized), 64).kept(materialized)
+
+
+@register(f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score FROM ranked ORDER BY score DESC, doc_id LIMIT 10")
+def keyword_search_blocks(spark, sf_dir):
+    """The same ten from a kept index, by the blocks whose bounds reach the tenth score."""
+    found = blockmax.search(_blocks(spark, sf_dir), table(spark, sf_dir, "documents"), KEYWORDS, 10, "doc_id", first=2)
+    return found.rows.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register(f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score FROM ranked WHERE lang = 'de' ORDER BY score DESC, doc_id LIMIT 10")
+def keyword_search_blocks_filtered(spark, sf_dir):
+    found = blockmax.search(_blocks(spark, sf_dir), table(spark, sf_dir, "documents"), KEYWORDS, 10, "doc_id", F.col("lang") == "de", first=2)
+    return found.rows.select("doc_id", F.round("score", 6).alias("score"))
+
+
 def _vector(rows: DataFrame, vec_id: int) -> list[float]:
     return [float(x) for x in rows.filter(F.col("vec_id") == vec_id).first()["embedding"]]
 
@@ -481,7 +500,10 @@ def graph_classes(spark, sf_dir):
     UNION ALL SELECT DISTINCT 'RESOLVES_TO', call, e.id FROM made m JOIN ends e ON e.k = m.target"""
 )
 def graph_edges(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    return edges_of(_graph(spark, sf_dir))
+
+
+def edges_of(g) -> DataFrame:
     kinds = {"DEPENDS_ON": g.depends_on, "HANDLES": g.handles, "DEFINED_IN": g.defined_in, "BELONGS_TO": g.belongs_to, "MAKES": g.makes, "RESOLVES_TO": g.resolves_to}
     out = None
     for name, edges in kinds.items():
@@ -490,6 +512,24 @@ def graph_edges(spark, sf_dir):
     return out
 
 
+EDGES_SQL = ORACLES["graph_edges"]
+
+
+@register(EDGES_SQL)
+def kept_graph_edges(spark, sf_dir):
+    """The same edges from a kept graph: half of the files came first, a third of them as they were before a change, which is then taken back."""
+    now = code_chunks(spark, sf_dir)
+    key = F.crc32("path") % 6
+    early = materialized(now.filter(key < 3).withColumn("dependencies", F.when(key == 0, F.array_append("dependencies", F.lit("C1Service"))).otherwise(F.col("dependencies"))))
+    files = store.ChunkStore(spark, shared_folder(spark, "store"), buckets=4)
+    kept = graph_store.GraphStore(files)
+    with files.transaction() as change:
+        kept.update(change, early.limit(0), early)
+    with files.transaction() as change:
+        kept.update(change, early.filter(key == 0), materialized(now.filter((key == 0) | (key >= 3))))
+    return edges_of(kept.graph())
+
+
 @register(
     f"""WITH {GRAPH_SQL} SELECT 'repos' AS label, count(DISTINCT repo) AS n FROM cls UNION ALL SELECT 'files', count(*) FROM cls UNION ALL SELECT 'classes', count(*) FROM cls
     UNION ALL SELECT 'endpoints', count(*) FROM ends UNION ALL SELECT 'http_calls', count(DISTINCT call) FROM made
@@ -646,6 +686,17 @@ def store_upsert(spark, sf_dir):
     return store.upserted(old.withColumn("version", F.lit("old")), docs.filter("id % 3 = 0").withColumn("version", F.lit("new")))
 
 
+@register(ORACLES["store_upsert"])
+def bucketed_store(spark, sf_dir):
+    """The same through a store of buckets: documents written, a fifth deleted, a third upserted, each in a snapshot of its own."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    kept = store.ChunkStore(spark, shared_folder(spark, "store"), buckets=4)
+    kept.upsert("docs", docs.withColumn("version", F.lit("old")))
+    kept.delete("docs", docs.filter("id % 5 = 4"))
+    kept.upsert("docs", docs.filter("id % 3 = 0").withColumn("version", F.lit("new")))
+    return kept.scan("docs")
+
+
 _STOP = ", ".join(f"'{w}'" for w in tickets.STOP_WORDS)
 
 

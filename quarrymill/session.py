@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +29,20 @@ def materialized(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``.  Only where none is set and Spark runs
     in one process is a temporary one made; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    _shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def _shared(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarrymill-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own below the checkpoint folder, which all machines share."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ from quarrymill.sources.files import DOCUMENT_SUFFIXES, read_repository
 from quarrymill.sources.ingest import Ingestion
 
 KEY = ("repo", "path")
-SECTION = (*KEY, "language", "section_idx", "title", "level", "kind", "content", "hierarchy")
+SECTION = (*KEY, "language", "section_idx", "title", "level", "kind", "content", "hierarchy", "own_related")
 FACTS = ("framework_type", "classes", "symbols", "api_routes", "http_calls", "dependencies")
 SUMMARY_QUERY = "README architecture overview major modules important files configuration setup"
 SUMMARY_CHARS, SECTION_CHARS, MOST_SYMBOLS = 900, 1200, 50
@@ -32,15 +32,15 @@ def repository_chunks(files: DataFrame, sizes: chunking.ChunkSizes | None = None
     is_doc = suffix(F.col("path")).isin(*DOCUMENT_SUFFIXES)
     docs, sources = files.filter(is_doc), files.filter(~is_doc)
     parser = document_parser(F.col("path"))
-    pages = html_sections(docs.filter(parser == "html"), KEY, "text").withColumn("language", F.lit("html")).select(*SECTION)
-    texts = markdown_sections(docs.filter(parser != "html"), KEY).withColumn("language", parser).select(*SECTION)
+    none = F.array().cast("array<string>")
+    pages = html_sections(docs.filter(parser == "html"), KEY, "text").withColumn("language", F.lit("html")).withColumn("own_related", F.col("related_sections")).select(*SECTION)
+    texts = markdown_sections(docs.filter(parser != "html"), KEY).withColumn("language", parser).withColumn("own_related", F.col("related_sections")).select(*SECTION)
     parsed = code.parsed_sources(sources)
     python = parsed_python(parsed.filter("language = 'python'"))
-    trees = python_sections(python, KEY).select(*SECTION)
+    trees = python_sections(python, KEY).withColumn("own_related", none).select(*SECTION)
     has_tree = F.col("py.parsed") & (F.size("py.sections") > 0)
-    patterns = code.source_sections(parsed.filter("language <> 'python'").unionByName(python.filter(~has_tree).drop("py")), KEY).select(*SECTION)
+    patterns = code.source_sections(parsed.filter("language <> 'python'").unionByName(python.filter(~has_tree).drop("py")), KEY).withColumn("own_related", none).select(*SECTION)
     sections = pages.unionByName(texts).unionByName(trees).unionByName(patterns)
-    none = F.array().cast("array<string>")
     facts = parsed.select(*KEY, *FACTS).unionByName(
         docs.select(*KEY, F.lit(None).cast("string").alias("framework_type"), *[none.alias(c) for c in FACTS[1:]])
     )
@@ -48,7 +48,8 @@ def repository_chunks(files: DataFrame, sizes: chunking.ChunkSizes | None = None
     hashed = files.select(*KEY, enrich.source_hash(F.col("text")).alias("source_hash"), shown.alias("file_path"), *[v.alias(k) for k, v in enrich.path_flags(F.col("path")).items()])
     flags = ("is_readme", "is_architecture_doc", "is_config_doc")
     made = chunking.chunks(sections.join(hashed, list(KEY)), sizes, KEY).join(facts, list(KEY)).join(enrich.document_facts(sections), list(KEY))
-    made = made.withColumnsRenamed({"path": "origin_path"}).withColumnsRenamed({"file_path": "path"})
+    related = F.when(F.size("own_related") > 0, F.col("own_related")).otherwise(F.col("related_sections"))
+    made = made.withColumn("related_sections", related).withColumnRenamed("path", "origin_path").withColumnRenamed("file_path", "path")
     made = made.withColumn("heading_hierarchy", F.col("section_hierarchy")).select(
         "id", "repo", "path", "language", "section", "heading_hierarchy", "section_hierarchy", "chunk_type", "text", "token_count", *FACTS,
         "prev_chunk_id", "next_chunk_id", "source_hash", "section_idx", "chunk_idx", "related_sections", *flags, "origin_path",

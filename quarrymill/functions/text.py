@@ -63,22 +63,29 @@ def uuid5(name: Column) -> Column:
     )
 
 
-def hash_bucket(term: Column, dim: int) -> Column:
-    """The term's MD5, as a number, modulo ``dim``: Horner's rule over four 32-bit pieces."""
-    h = F.md5(term)
+def digest_bucket(digest: Column, dim: int) -> Column:
+    """An MD5, as a number, modulo ``dim``: Horner's rule over its 32-bit pieces that matter."""
     out = F.lit(0).cast("long")
-    for k in range(4):
-        piece = F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long")
+    for k in range(3 if (1 << 32) % dim == 0 else 0, 4):
+        piece = F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
         out = F.pmod(out * ((1 << 32) % dim) + piece, F.lit(dim).cast("long"))
     return out.cast("int")
 
 
-def hash_sign(term: Column) -> Column:
-    """1 or -1 by bit 8 of the term's MD5 as a number."""
-    digit = F.conv(F.substring(F.md5(term), 30, 1), 16, 10).cast("int")
+def digest_sign(digest: Column) -> Column:
+    """1 or -1 by bit 8 of an MD5 as a number."""
+    digit = F.conv(F.substring(digest, 30, 1), 16, 10).cast("int")
     return F.when(digit.bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
 
 
+def hash_bucket(term: Column, dim: int) -> Column:
+    return digest_bucket(F.md5(term), dim)
+
+
+def hash_sign(term: Column) -> Column:
+    return digest_sign(F.md5(term))
+
+
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

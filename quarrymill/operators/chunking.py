@@ -107,8 +107,11 @@ def rebalanced(texts: Column, sizes: ChunkSizes) -> Column:
         joined = F.struct(stripped(F.concat(last["text"], F.lit(GLUE), acc["held"])).alias("text"), (F.size(acc["out"]) - 1).alias("index"))
         return F.when(acc["held"] != "", F.array_append(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), joined)).otherwise(acc["out"])
 
-    one = F.transform(texts, lambda t, k: F.struct(t.alias("text"), k.alias("index")))
-    return F.when(F.size(texts) < 2, one).otherwise(F.aggregate(texts, state, add, close))
+    def all_of(found: Column) -> Column:
+        one = F.transform(found, lambda t, k: F.struct(t.alias("text"), k.alias("index")))
+        return F.when(F.size(found) < 2, one).otherwise(F.aggregate(found, state, add, close))
+
+    return bound(texts, all_of)
 
 
 def chunk_type(kind: Column, language: Column, text: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import hash_bucket, hash_sign
+from quarrymill.functions.text import digest_bucket, digest_sign
 
 DIM = 1024
 
@@ -13,14 +13,14 @@ DIM = 1024
 def hash_embedding(docs: DataFrame, key: str = "id", text: str = "text", dim: int = DIM) -> DataFrame:
     """Sparse hash embeddings (id, bucket, value) of unit length.
 
-    Tokens are hashed where they stand and summed by (id, bucket), combined before the shuffle;
-    norms are joined by id.  Documents without tokens have no rows.
+    Tokens are hashed once where they stand and summed by (id, bucket), combined before the shuffle;
+    a norm is a window over the buckets of an id, at most ``dim``.  Documents without tokens have no rows.
     """
     lowered = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Z}]+")
-    tokens = docs.select(F.col(key).alias("id"), F.explode(F.filter(lowered, lambda t: t != "")).alias("token"))
-    summed = tokens.groupBy("id", hash_bucket(F.col("token"), dim).alias("bucket")).agg(F.sum(hash_sign(F.col("token"))).alias("raw"))
-    norms = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return summed.join(norms, "id").select("id", "bucket", (F.col("raw") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("value"))
+    digests = docs.select(F.col(key).alias("id"), F.explode(F.filter(lowered, lambda t: t != "")).alias("token")).select("id", F.md5("token").alias("digest"))
+    summed = digests.groupBy("id", digest_bucket(F.col("digest"), dim).alias("bucket")).agg(F.sum(digest_sign(F.col("digest"))).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
+    return summed.withColumn("norm", norm).select("id", "bucket", (F.col("raw") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("value"))
 
 
 def dense_vectors(sparse: DataFrame, dim: int = DIM) -> DataFrame:

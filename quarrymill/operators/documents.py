@@ -234,14 +234,18 @@ def html_sections(pages: DataFrame, key: str | Sequence[str] = "url", html: str
     return found.unionByName(whole)
 
 
-def document_metadata(sections: DataFrame, key: str = "path") -> DataFrame:
-    """Per document: headings of readme files, titles of architecture and of config sections."""
+def document_metadata(sections: DataFrame, key: str | Sequence[str] = "path") -> DataFrame:
+    """Per document: headings of readme files, titles of architecture and of config sections.
+
+    The last column of ``key`` is the path; with several repositories it comes after theirs.
+    """
+    keys = columns(key)
     titled = lambda kind: non_empty(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("section_idx", "title")))), lambda s: F.coalesce(s["title"], F.lit("")))
     )
     every = F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "title"))), lambda s: s["title"])
-    is_readme = F.startswith(F.lower(F.regexp_extract(F.first(key), r"([^/]*)$", 1)), F.lit("readme"))
-    return sections.groupBy(key).agg(
+    is_readme = F.startswith(F.lower(F.regexp_extract(F.first(keys[-1]), r"([^/]*)$", 1)), F.lit("readme"))
+    return sections.groupBy(*keys).agg(
         F.when(is_readme, F.filter(every, lambda t: t.isNotNull())).otherwise(F.array().cast("array<string>")).alias("readme_structure"),
         titled("architecture").alias("architecture_sections"),
         titled("config").alias("config_sections"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import terms
+from quarrymill.session import materialized
 
 MODES = ("hybrid", "dense", "keyword")
 #: Result limits, candidates for each result, and bounds of the number of candidates.
@@ -50,8 +51,10 @@ def merge(candidates: DataFrame) -> DataFrame:
     """Candidates (id, score, source, seq) of both legs to one row for each id.
 
     Scores are summed, scores scaled by their source's bounds are summed up to 1, sources are
-    joined; ``first_seen`` keeps the order of appearance, dense before keyword.
+    joined; ``first_seen`` keeps the order of appearance, dense before keyword.  The candidates, which
+    are few, are written once, as both their bounds and their scores are read.
     """
+    candidates = materialized(candidates)
     bounds = candidates.groupBy("source").agg(F.min("score").alias("low"), F.max("score").alias("high"))
     scaled = candidates.join(F.broadcast(bounds), "source").withColumn("part", normalized_score(F.col("score"), F.col("low"), F.col("high")))
     appeared = F.when(F.col("source") == "dense", F.col("seq")).otherwise(F.col("seq") + MOST_CANDIDATES)

@@ -193,3 +193,21 @@ def test_chunks_know_their_place_below_the_root(spark, tmp_path):
     assert found[next(k for k in found if k[0] == "env/x.md")]["is_config_doc"]
     assert {r["id"] for r in found.values()} == {r["id"] for r in repository_chunks(files.drop("root")).collect()}
     assert json.dumps(one["heading_hierarchy"]) == '["One"]' and ingest.KEYS == ("repo", "path")
+
+
+def test_files_that_arrive_again_or_go(spark, tmp_path):
+    """A stream of arrivals: new text replaces old chunks, a null text deletes, and a repeated batch changes nothing."""
+    from quarrymill.streaming.ingest import apply_batch, stream_into
+
+    store, schema = ChunkStore(spark, f"{tmp_path}/store", buckets=2), "path string, text string, version long"
+    arrive = lambda *batch: spark.createDataFrame(batch, schema)
+    texts = lambda: sorted((r["path"], r["text"]) for r in store.scan("c").collect())
+    arrive(("a", "# A\none", 1), ("b", "# B\ntwo", 1), ("b", "# B\nolder", 0)).write.parquet(f"{tmp_path}/in", mode="append")
+    stream_into(spark, f"{tmp_path}/in", schema, store, "c", f"{tmp_path}/check").awaitTermination()
+    assert texts() == [("a", "# A\none"), ("b", "# B\ntwo")]
+    again = arrive(("a", "# A\nother", 2), ("b", None, 2), ("z", None, 2))
+    again.write.parquet(f"{tmp_path}/in", mode="append")
+    stream_into(spark, f"{tmp_path}/in", schema, store, "c", f"{tmp_path}/check").awaitTermination()
+    assert texts() == [("a", "# A\nother")] and {r["path"] for r in store.scan("c_files").collect()} == {"a"}
+    apply_batch(store, "c", again)
+    assert texts() == [("a", "# A\nother")]

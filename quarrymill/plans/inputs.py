@@ -31,6 +31,25 @@ PYTHON = """concat('\"\"\"Module ', p_partkey, '.\"\"\"\\nimport os\\nfrom pkg',
 GO = """concat('package main\\nimport "net/http"\\nfunc main() {\\n  http.HandleFunc("/go', p_partkey, '", h)\\n  http.HandleFunc("/all/', p_size, '", h)\\n}\\n// serves ', p_partkey, '\\n')"""
 
 
+#: Nested declarations among strings, comments and literals that look like some; the first line moves with the key.
+NESTED = {
+    "java": """concat(repeat('\\n', cast(pmod(p_partkey, 4) as int)), '// class No {\\npublic class A', p_partkey, ' {\\n  String s = "} class B {";\\n  static class I', p_partkey,
+  ' {\\n    int f', p_size, '(int a) {\\n      if (a > 0) { return 1; }\\n      return a;\\n    }\\n  }\\n  void g() { }\\n}\\n')""",
+    "typescript": """concat(repeat('\\n', cast(pmod(p_partkey, 3) as int)), 'export class V', p_partkey, ' {\\n  t = `{ ${ "}" }`;\\n  load', p_size,
+  '(x) {\\n    const o = { a: 1 };\\n    return o;\\n  }\\n}\\nfunction h', p_partkey, '() { }\\n')""",
+    "go": """concat('package main\\ntype S', p_partkey, ' struct {\\n  a int\\n}\\nfunc (s *S', p_partkey, ') M', p_size, '(x int) interface{} {\\n  return `}`\\n}\\n')""",
+}
+
+
+def nested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, language, text) of a file in each language for each part."""
+    parts, out = table(spark, sf_dir, "part"), None
+    for language, text in NESTED.items():
+        one = parts.selectExpr("p_partkey", f"'{language}' AS language", f"{text} AS text")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def java_text() -> str:
     return JAVA.format(own=SUFFIX.format(k="p_partkey"), half=SUFFIX.format(k="(p_partkey div 2)"), third=SUFFIX.format(k="(p_partkey div 3)"))
 

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions import routes, text
-from quarrymill.operators import blockmax, chunking, code, dense, documents, enrich, evidence, extract, graph, graph_queries, hybrid, keyword, standards, tickets
+from quarrymill.operators import blockmax, brackets, chunking, code, dense, documents, enrich, evidence, extract, graph, graph_queries, hybrid, keyword, standards, tickets
 from quarrymill.operators.python_source import parsed_python, python_sections
-from quarrymill.plans.inputs import FEATURE, GRAPH_SQL, KEYWORDS, code_chunks, documents_as_chunks, other_sources, sources, table
+from quarrymill.plans.inputs import FEATURE, GRAPH_SQL, KEYWORDS, code_chunks, documents_as_chunks, nested_sources, other_sources, sources, table
 from quarrymill.session import materialized, shared_folder
 from quarrymill.sources import graph_store, incremental, store
 from quarrymill.streaming.ingest import chunk_documents
@@ -512,6 +512,21 @@ def edges_of(g) -> DataFrame:
     return out
 
 
+@register(
+    """WITH k AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 4 AS o, p_partkey % 3 AS u FROM part)
+    SELECT k AS p_partkey, l AS language, i::INT AS symbol_idx, kind, name, a::INT AS line_start, b::INT AS line_end, h AS hierarchy FROM (
+      SELECT k, 'java' AS l, unnest([0, 1, 2, 3]) AS i, unnest(['class', 'class', 'function', 'function']) AS kind, unnest(['A' || k, 'I' || k, 'f' || s, 'g']) AS name,
+        unnest([2 + o, 4 + o, 5 + o, 10 + o]) AS a, unnest([11 + o, 9 + o, 8 + o, 10 + o]) AS b, unnest(['A' || k, 'A' || k || '/I' || k, 'A' || k || '/I' || k || '/f' || s, 'A' || k || '/g']) AS h FROM k
+      UNION ALL SELECT k, 'typescript', unnest([0, 1, 2]), unnest(['class', 'function', 'function']), unnest(['V' || k, 'load' || s, 'h' || k]),
+        unnest([1 + u, 3 + u, 8 + u]), unnest([7 + u, 6 + u, 8 + u]), unnest(['V' || k, 'V' || k || '/load' || s, 'h' || k]) FROM k
+      UNION ALL SELECT k, 'go', unnest([0, 1]), unnest(['class', 'function']), unnest(['S' || k, 'M' || s]), unnest([2, 5]), unnest([4, 7]), unnest(['S' || k, 'M' || s]) FROM k)"""
+)
+def code_symbols(spark, sf_dir):
+    """Symbols by brackets, with their lines and what is around them."""
+    found = brackets.symbol_rows(nested_sources(spark, sf_dir), ("p_partkey",))
+    return found.select("p_partkey", "language", "symbol_idx", "kind", "name", "line_start", "line_end", F.array_join("hierarchy", "/").alias("hierarchy"))
+
+
 EDGES_SQL = ORACLES["graph_edges"]
 
 

@@ -16,7 +16,7 @@ Equal sequences are one from the start.  Sequences of more than ``BLOCK`` turns
 that are located each for itself below the digest of what precedes them, so one conversation may
 hold any share of all turns.  Sums over subtrees come from doubling steps up the compacted tree.
 
-Edge cases: rows with a null ``conv_id`` are left out; null turns come first and equal ones are
+Edge cases: rows with a null ``conv_id`` are left out; remainders of negative ids are negative, as in SQL; null turns come first and equal ones are
 ordered by the hash of role and text; null roles and texts are empty; repeated rows are turns of
 their own; a conversation without turns left belongs to the root alone; an empty table has no nodes, not
 even a root; other columns are not read.

@@ -1,6 +1,7 @@
 """Phrase collocations, prefix tries and secret scans against SQL and brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -98,13 +99,13 @@ def test_blocks_leave_no_n_gram_out():
 
 
 def brute_nodes(rows):
-    """The contract read line by line."""
+    """The contract read line by line; a remainder has the sign of its id, as in SQL."""
     talks = defaultdict(list)
     for c, turn, role, text in rows:
         if c is not None:
             talks[c].append(((turn is not None, turn or 0), hashlib.md5(f"{len(role or '')}:{role or ''}{text or ''}".encode()).hexdigest(), role or "", text or ""))
     own = {c: [x[2:] for x in sorted(v)] for c, v in talks.items()}
-    built = {c: own.get(c - c % 100, [])[: zlib.crc32(str(c).encode()) % 6] + own[c][zlib.crc32(str(c).encode()) % 6 :] for c in own}
+    built = {c: own.get(c - int(math.fmod(c, 100)), [])[: zlib.crc32(str(c).encode()) % 6] + own[c][zlib.crc32(str(c).encode()) % 6 :] for c in own}
     members = defaultdict(list)
     for c in sorted(built):
         for d in range(len(built[c]) + 1):

@@ -171,7 +171,7 @@ def patience_alignment(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def densest(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+def densest_run(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
     """Most aligned pairs whose first members lie within ``reach``, the first such run."""
     best, low = (0, 0), 0
     for high, (x, _) in enumerate(pairs):
@@ -182,6 +182,12 @@ def densest(pairs: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
     return pairs[slice(*best)]
 
 
+def densest(pairs: list[tuple[int, int]], reach: int) -> tuple[int, int, int]:
+    """The same run as (count, first, last)."""
+    run = densest_run(pairs, reach)
+    return (len(run), run[0][0], run[-1][0]) if run else (0, 0, 0)
+
+
 def phrase_at(words: list[str], phrase: list[str]) -> int:
     """The first place where the words of ``phrase`` stand together, or -1."""
     at, n = -1, len(phrase)
@@ -255,7 +261,7 @@ class Scanner:
         def aligned(a: int, b: int) -> list[tuple[int, int]]:
             best = []
             while a < b:
-                pairs = densest([(x + a, y) for x, y in patience_alignment(window[a:b], template)], 2 * n)
+                pairs = densest_run([(x + a, y) for x, y in patience_alignment(window[a:b], template)], 2 * n)
                 if better(best, pairs) is best:
                     break
                 best, a, b = pairs, pairs[0][0], pairs[-1][0] + 1

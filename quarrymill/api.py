@@ -167,6 +167,10 @@ class Engine:
     def plan(self, key: str) -> str:
         """The change plan of a ticket as text."""
         one = self.ticket(key)
-        row = one.select("summary", tickets.feature_keywords(F.col("affected_feature"), F.col("summary")).alias("k")).first()
-        ends = evidence.backend_endpoints(self.trace(row["k"][0] if row["k"] else ""))
-        return tickets.render_plan(row["summary"], tickets.plan_items(one, ends, evidence.frontend_components(ends)))
+        named = one.select(tickets.feature_keywords(F.col("affected_feature"), F.col("summary")).alias("k")).first()["k"]
+        feature = named[0] if named else ""
+        return tickets.plan_text(one, self.trace(feature), self.chunks, feature)
+
+    def context(self, feature: str) -> str:
+        """What a narrator of the feature may use, as text."""
+        return evidence.narration_context(self.trace(feature), self.chunks, feature)

@@ -50,7 +50,7 @@ def engine(spark, tmp_path_factory):
 
 def test_ingest_makes_chunks_of_all_supported_files(engine):
     rows = engine.chunks.collect()
-    assert {r["path"].rsplit("/", 1)[1] for r in rows} == {"UserController.java", "UserService.java", "UserRepository.java", "README.md", "user.ts", "a.py"}
+    assert {r["path"].rsplit("/", 1)[-1] for r in rows} == {"UserController.java", "UserService.java", "UserRepository.java", "README.md", "user.ts", "a.py"}
     assert len({r["id"] for r in rows}) == len(rows)
 
 
@@ -224,3 +224,52 @@ def test_routes_join_on_literal_segments(spark):
     got = {tuple(r) for r in graph.resolve_routes(rows, rows.withColumnRenamed("front", "back")).collect()}
     every = rows.join(rows.withColumnRenamed("front", "back"), "verb").withColumn("q", routes.match_quality(F.col("front"), F.col("back"))).filter("q <> 'none'")
     assert got == {tuple(r) for r in every.select("verb", "front", "back", "q").collect()}
+
+
+PLAN = """# T-1: Fix slow users page
+
+- ticket_type: bug
+- status: open
+- priority: high
+- feature: users, confidence 1.00
+
+## Description
+d
+
+## Components
+- GET /api/users/{id} (normally /api/users/{param}) in back: UserController [controller]
+  - parameters: param
+  - request: UserResponse
+  - response: UserRequest
+
+## Chain
+- UserController
+
+## Callers
+- UserComponent in front src/user.ts calls GET /api/users/{id} (exact, 1.00)
+
+## Files
+- [back] src/UserController.java
+
+## Outside boundaries
+- none found
+
+## Checklist
+- [ ] reproduce the defect through a listed endpoint
+- [ ] add a test that fails because of it
+- [ ] mend the handler
+- [ ] run the tests along the chain
+- [ ] extend the integration tests
+
+## Provenance
+1. endpoint GET /api/users/{id} handled by UserController
+2. caller UserComponent of GET /api/users/{id} by exact 1.0
+"""
+
+
+def test_the_whole_plan_and_the_context_of_a_feature(engine):
+    """The text as written out by hand from the four files of the feature."""
+    assert engine.plan("T-1") == PLAN
+    text = engine.context("users")
+    assert text == engine.context("users") and text.startswith("# users\n\nConfidence") and text.count("\n### ") <= 4 and "\n### back src/UserController.java\n" in text
+    assert "- none found" in engine.context("nothing")

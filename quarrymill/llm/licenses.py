@@ -236,8 +236,13 @@ class Scanner:
         return out
 
     def _bounds(self, name: str, window: list[str]) -> list[tuple[int, int]]:
-        """Stretches between likely starts and ends: where runs near an end of the template say that it is, and where most runs do."""
+        """Stretches between likely starts and ends: where runs near an end of the template say that it is, and where most runs do.
+
+        For templates too short for runs of several words these are all stretches.
+        """
         n, size = len(self.templates[name]), _seed_size(len(self.templates[name]))
+        if size == 1:
+            return [(a, b) for a in range(len(window)) for b in range(a + 1, min(len(window), a + 2 * n) + 1) if b - a >= self.coverage * n]
         votes, most = {"start": Counter(), "end": Counter(), "all": Counter()}, max(6, 400 // n)
         for k in range(len(window) - size + 1):
             for j in self.seeds[name].get(tuple(window[k : k + size]), ()):

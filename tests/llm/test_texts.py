@@ -328,9 +328,11 @@ def test_bound_never_passes_over_a_match():
     for _ in range(400):
         text = [random.choice(words) for _ in range(random.randint(0, 30))]
         n = 7
-        best = max((licenses.densest(licenses.patience_alignment(text[k : k + 3 * n], scanner.templates["t"]), 2 * n)[0] for k in range(0, max(1, len(text) - n), n)), default=0)
+        every = [text[a:b] for a in range(len(text)) for b in range(a + 1, min(len(text), a + 2 * n) + 1)]
+        best = max((len(licenses.patience_alignment(x, scanner.templates["t"])) for x in every), default=0)
         found = scanner.scan(" ".join(text))
         assert bool(found) == (best >= 0.8 * n)
+        assert not found or found[0][1] == best / n
 
 
 def test_counts_of_features():

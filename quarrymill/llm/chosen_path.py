@@ -2,12 +2,14 @@
 
 Sets are the five-word shingles of texts, embedded as min-hash sketches.  Each of several runs
 splits the sets recursively: a bucket draws sketch coordinates, 1 / threshold in expectation,
-and deals its members out by their value there.  Buckets that got small, and buckets that hold
-one dense group so that splitting does not help, are compared by brute force, large ones in
-pairs of bounded blocks.  A pair of similarity at least the threshold stays together along an
-expected path or more, so every run finds it with a chance that falls slowly with the number of
-splits.  Every run has coordinates of its own, and there are as many runs as keep the chance to
-miss a pair at the threshold after the deepest split within the target recall.
+and deals its members out by their value there.  Buckets of very many members are split over the
+cluster, a level at a time; a bucket that fits a task is split to the end there, which gives the
+same buckets in one round of jobs.  Buckets that got small, and buckets that hold one dense group
+so that splitting does not help, are compared by brute force, large ones in pairs of bounded
+blocks.  A pair of similarity at least the threshold stays together along an expected path or
+more, so every run finds it with a chance that falls slowly with the number of splits.  Every run
+has coordinates of its own, and there are as many runs as keep the chance to miss a pair at the
+threshold after the deepest split within the target recall.
 
 Buckets are compared in two passes.  The first has sketches only and leaves out pairs that agree
 in fewer coordinates than a pair at the threshold does by five standard errors; the second gets
@@ -27,6 +29,7 @@ rows; extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -43,6 +46,8 @@ from quarrymill.llm.shingles import COORDINATES, mixed, shingle_sets, sketches
 #: split, sets in a block of a larger one about, share of a bucket that stays together in a
 #: dense one, and levels at most (buckets still large then are compared in blocks).
 THRESHOLD, RECALL, SMALL, BLOCK, DENSE, LEVELS = 0.8, 0.999, 128, 512, 0.6, 6
+#: Members of a bucket, at most, that one task splits to the end (each is about 100 bytes there).
+WHOLE = 8192
 #: Standard errors below the expected agreement of a pair at the threshold that a candidate may
 #: lie, coordinates compared at once, bytes of text compared by a task at once about, and rows of
 #: a table that is broadcast.
@@ -131,40 +136,75 @@ def _split(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInPandas(run, "parent long, path long, node long, own binary")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A checkpointed table of paths, to be broadcast if its rows, counted, are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A checkpointed table of paths, to be broadcast if its rows, counted unless given, are few."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def _leaves(rows: pd.DataFrame, small: int, levels: int, threshold: float) -> pd.DataFrame:
+    """What whole buckets (path, level, node, own) end in when split as far as needed: the members (path, node)."""
+    own, at = _matrix(rows.own), np.arange(len(rows))
+    path, level = rows.path.to_numpy(np.int64).view(np.uint64), rows.level.to_numpy(np.int64)
+    paths, members = [path[:0]], [at[:0]]
+    while len(at):
+        _, bucket, n = np.unique(path, return_inverse=True, return_counts=True)
+        row, child = children(path, own[at], threshold)
+        _, first, kid, kids = np.unique(child, return_index=True, return_inverse=True, return_counts=True)
+        most = np.zeros(len(n), np.int64)
+        np.maximum.at(most, bucket[row[first]], kids)
+        dense = (most >= DENSE * n)[bucket]
+        paths.append(path[dense])
+        members.append(at[dense])
+        live = ~dense[row] & (kids[kid] > 1)
+        more = live & (kids[kid] > small) & (level[row] + 1 < levels)
+        paths.append(child[live & ~more])
+        members.append(at[row[live & ~more]])
+        path, level, at = child[more], level[row[more]] + 1, at[row[more]]
+    return pd.DataFrame({"path": np.concatenate(paths).view(np.int64), "node": rows.node.to_numpy(np.int64)[np.concatenate(members)]})
+
+
+def buckets(nodes: DataFrame, runs: int, small: int = SMALL, levels: int = LEVELS, threshold: float = THRESHOLD, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
+    """The members of the buckets to compare (path, n, node), and the buckets (path, n, whether split in a task); of buckets with the same members one."""
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("path").agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "node")).alias("y")
+        )
 
+    def joined(tables: list[DataFrame]) -> DataFrame:
+        return functools.reduce(DataFrame.union, tables)
 
-def buckets(nodes: DataFrame, runs: int, small: int = SMALL, levels: int = LEVELS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The members of the buckets to compare (path, n, node), and the buckets (path, n); of buckets with the same members one."""
     now = _rooted(nodes, runs, threshold)
-    everywhere, done = [], []
+    everywhere, done, fitting, dealt = [], [], [], 0
     for level in range(levels + 1):
-        sizes = checkpointed(
-            now.groupBy("path").agg(
-                F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "node")).alias("y")
-            ).filter("n > 1")
-        )
+        sizes = checkpointed(sized(now).filter("n > 1"))
         everywhere.append(now.select("path", "node"))
-        large = sizes.filter(F.col("n") > small)
-        if level == levels or large.isEmpty():
+        if level == levels:
             done.append(sizes)
             break
+        fits, large = F.col("n").between(small + 1, whole), F.col("n") > max(small, whole)
         done.append(sizes.filter(F.col("n") <= small))
-        split = checkpointed(_split(now.join(_small(large.select("path")), "path"), threshold))
+        found = sizes.agg(F.count_if(fits).alias("fits"), F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("rows"), F.count_if(large).alias("large")).first()
+        if found["fits"]:
+            fitting.append(now.join(_small(sizes.filter(fits).select("path"), found["fits"]), "path").select("path", F.lit(level).alias("level"), "node", "own"))
+            dealt += found["rows"]
+        if not found["large"]:
+            break
+        split = checkpointed(_split(now.join(_small(sizes.filter(large).select("path"), found["large"]), "path"), threshold))
         most = split.groupBy("parent", "path").agg(F.count("*").alias("kept")).groupBy("parent").agg(F.max("kept").alias("kept"))
-        judged = checkpointed(large.join(most.withColumnRenamed("parent", "path"), "path"))
+        judged = checkpointed(sizes.filter(large).join(most.withColumnRenamed("parent", "path"), "path"))
         dense = judged.filter(F.col("kept") >= DENSE * F.col("n"))
         done.append(dense.select(*sizes.columns))
         now = split.join(_small(dense.select(F.col("path").alias("parent"))), "parent", "left_anti").drop("parent")
-    every, members = done[0], everywhere[0]
-    for more in done[1:]:
-        every = every.union(more)
-    for more in everywhere[1:]:
-        members = members.union(more)
-    chosen = checkpointed(every.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n"))
-    return members.join(_small(chosen), "path").select("path", "n", "node"), chosen
+    every, members = joined(done).withColumn("deep", F.lit(False)), joined(everywhere).withColumn("deep", F.lit(False))
+    if fitting:
+        bundles = _bundled(joined(fitting), ["path"], 1 + dealt // BUNDLE_ROWS)
+        deep = checkpointed(bundles.applyInPandas(lambda part: _leaves(part, small, levels, threshold), "path long, node long"))
+        every = every.union(sized(deep).withColumn("deep", F.lit(True)))
+        members = members.union(deep.withColumn("deep", F.lit(True)))
+    # a dense bucket that a task got stands in ``everywhere`` too, under the same path
+    chosen = checkpointed(every.groupBy("n", "x", "y").agg(F.min(F.struct("path", "deep")).alias("least")).select("least.*", "n"))
+    return members.join(_small(chosen), ["path", "deep"]).select("path", "n", "node"), chosen
 
 
 def _groups(part: pd.DataFrame, keys: list[str]):
@@ -339,7 +379,7 @@ def _text() -> Column:
     return F.coalesce("text", F.lit(""))
 
 
-def linked(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, block: int = BLOCK, levels: int = LEVELS, recall: float = RECALL) -> DataFrame:
+def linked(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, block: int = BLOCK, levels: int = LEVELS, recall: float = RECALL, whole: int = WHOLE) -> DataFrame:
     """One row for each distinct text: h1, h2, low (its least id), weight (its rows), n_links,
     component (a number) and component_id (the least id in it)."""
     runs = needed_runs(levels + 1, recall, threshold)
@@ -350,7 +390,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL, bl
     )
     # numbers are given once, in what the checkpoint holds
     nodes = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
-    members, chosen = buckets(nodes.filter("some"), runs, small, levels, threshold)
+    members, chosen = buckets(nodes.filter("some"), runs, small, levels, threshold, whole)
     blocks = 1 + F.floor(F.col("n") / block)
     meetings = chosen.agg(F.coalesce(F.sum(F.col("n") * blocks), F.lit(0))).first()[0]
     leaves = members.groupBy("node").agg(F.collect_list(F.struct("path", "n")).alias("leaves"))

@@ -167,6 +167,32 @@ def test_chosen_paths_lose_no_link(spark, options):
     assert kept == {x[0] for x in got if x[3]}
 
 
+def test_chosen_paths_split_deep_buckets_in_few_rounds(spark, monkeypatch):
+    """A bucket that fits a task is split to its end there: the same buckets, with no round of jobs for each level."""
+    passage = " ".join(f"shared{k}" for k in range(90))
+    texts = [*near_copies(2, 15), *(f"{passage} {t}" for t in near_copies(60, 1, 40)), *(f"{passage} some {t}" for t in near_copies(1, 9, 40))]
+    runs, rounds = chosen_path.needed_runs(5), []
+    sketch, _ = shingles.sketches(texts, runs * shingles.COORDINATES)
+    nodes = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sketch)], "node long, sketch binary")
+    monkeypatch.setattr(chosen_path, "checkpointed", lambda df, f=chosen_path.checkpointed: rounds.append(1) or f(df))
+
+    def split(**options):
+        rounds.clear()
+        members, chosen = chosen_path.buckets(nodes, runs, small=4, levels=4, **options)
+        made, count = defaultdict(list), len(rounds)
+        for r in members.collect():
+            made[r["path"], r["n"]].append(r["node"])
+        assert sorted(made) == sorted((r["path"], r["n"]) for r in chosen.collect())
+        assert all(len(set(x)) == len(x) == n for (_, n), x in made.items())
+        return sorted((path, sorted(x)) for (path, _), x in made.items()), count
+
+    got, count = split()
+    assert max(len(x) for _, x in got) > 4 and count <= 3
+    level_by_level, many = split(whole=0)
+    mixed, _ = split(whole=20)
+    assert got == level_by_level == mixed and many > 6
+
+
 def test_chosen_paths_of_no_rows_and_null_ids(spark):
     assert chosen_path.jaccard_join(empty(spark)).count() == 0 == chosen_path.near_unique(empty(spark)).count()
     rows = spark.createDataFrame([(k, "a b c d e f", 1, "x", "y") for k in (None, 4, 4)] + [(None, "g h i j k l", 1, "x", "y")] * 2, EXTRA)

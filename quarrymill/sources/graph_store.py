@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import routes
 from quarrymill.operators.graph import Graph, files_of, last_by, resolve_calls
-from quarrymill.session import materialized
+from quarrymill.session import large, unsized
 from quarrymill.sources.store import ChunkStore, Snapshot, Transaction
 
 CALL = ["id", "method", "path", "normalized_path", "repo"]
@@ -57,23 +57,23 @@ class GraphStore:
         """Adds to support counts and takes from them; returns the facts that appeared and that went."""
         table, facts = table or f"graph_{name}", plus.columns
         delta = plus.withColumn("d", F.lit(1)).unionByName(minus.withColumn("d", F.lit(-1))).groupBy(*facts).agg(F.sum("d").alias("d")).filter("d <> 0")
-        delta = materialized(delta)
+        delta = large(delta)
         held = change.lookup(table, delta)
         held = _empty(delta.select(*facts, F.lit(0).cast("long").alias("n_support"))) if held is None else held
-        both = materialized(delta.join(held, facts, "left").select(*facts, F.coalesce("n_support", F.lit(0).cast("long")).alias("before"), (F.coalesce("n_support", F.lit(0)) + F.col("d")).alias("n_support")))
+        both = large(delta.join(held, facts, "left").select(*facts, F.coalesce("n_support", F.lit(0).cast("long")).alias("before"), (F.coalesce("n_support", F.lit(0)) + F.col("d")).alias("n_support")))
         change.merge(table, both.filter("n_support > 0").select(*facts, "n_support"), both.select(*facts), key=key, unique=facts, match=facts)
         return both.filter("before = 0 and n_support > 0").select(*facts), both.filter("before > 0 and n_support <= 0").select(*facts)
 
     def _supported(self, change: Transaction, name: str, key: list[str], plus: DataFrame, minus: DataFrame, value) -> tuple[DataFrame, DataFrame]:
         """Replaces the supporting rows of chunks and works out the values of the touched keys; returns nodes that appeared or changed, and old ones."""
         table, support = f"graph_{name}", f"graph_{name}_support"
-        plus, minus = materialized(plus), materialized(minus)
-        touched = materialized(plus.select(*key).unionByName(minus.select(*key)).distinct())
+        plus, minus = large(plus), large(minus)
+        touched = large(plus.select(*key).unionByName(minus.select(*key)).distinct())
         before = change.lookup(table, touched)
         row = [*key, "pos"] + (["repo"] if name == "files" else [])
         change.merge(support, plus, minus, key=key, unique=row, match=row)
-        now = materialized(value(change.lookup(support, touched)))
-        before = _empty(now) if before is None else materialized(before.select(*now.columns))
+        now = large(value(change.lookup(support, touched)))
+        before = _empty(now) if before is None else large(before.select(*now.columns))
         change.merge(table, now, touched, key=key)
         return now.exceptAll(before), before.exceptAll(now)
 
@@ -84,7 +84,7 @@ class GraphStore:
         touched = changed[0].select(*DEPENDENCY)
         for c in changed[1:]:
             touched = touched.unionByName(c.select(*DEPENDENCY))
-        touched = materialized(touched.distinct())
+        touched = large(touched.distinct())
         edges = change.lookup("graph_wanted", touched).join(change.lookup("graph_named", touched), DEPENDENCY).select(*DEPENDENCY, "src", "dst")
         change.merge("graph_depends_on", edges, touched, key=DEPENDENCY, unique=[*DEPENDENCY, "src", "dst"])
 
@@ -98,12 +98,12 @@ class GraphStore:
             lost = held.join(lost, "src", "left_semi").select("src", "dst").unionByName(lost_ends).distinct()
         else:
             lost = lost.withColumn("dst", F.lit(None).cast("string"))
-        change.merge("graph_resolves_to", materialized(links), materialized(lost), key="src", unique=["src", "dst"], match=["src", "dst"])
+        change.merge("graph_resolves_to", large(links), large(lost), key="src", unique=["src", "dst"], match=["src", "dst"])
 
     def graph(self, at: Snapshot | None = None) -> SimpleNamespace:
         """The tables as ``operators.graph.Graph`` has them, for the graph's queries."""
         at = at or self.store.snapshot()
-        table = lambda name, *columns: self.store.scan(f"graph_{name}", at).select(*columns)
+        table = lambda name, *columns: unsized(self.store.scan(f"graph_{name}", at).select(*columns))
         edge = ("src", "dst")
         classes = table("classes", "id", "name", "repo", "path", "kind")
         return SimpleNamespace(

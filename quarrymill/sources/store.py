@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrymill.functions.text import columns
+from quarrymill.session import unsized
 
 #: Partition column of a bucket's folder.
 BUCKET = "keyed_bucket"
@@ -199,7 +200,7 @@ class Transaction:
 
     def scan(self, name: str) -> DataFrame | None:
         """The table as the transaction has it so far."""
-        return None if name not in self.tables else self.store.read_buckets(name, self.tables[name])
+        return None if name not in self.tables else unsized(self.store.read_buckets(name, self.tables[name]))
 
     def lookup(self, name: str, asked: DataFrame) -> DataFrame | None:
         """The rows whose key ``asked`` holds, from the buckets that can hold it."""
@@ -208,7 +209,7 @@ class Transaction:
             return None
         at = bucket_of(table.keys, table.buckets)
         buckets = [r[0] for r in asked.select(at.alias("b")).distinct().collect()]  # at most the table's buckets
-        return self.store.read_buckets(name, table, buckets).join(asked.select(*table.keys).distinct(), list(table.keys), "left_semi")
+        return unsized(self.store.read_buckets(name, table, buckets)).join(asked.select(*table.keys).distinct(), list(table.keys), "left_semi")
 
     def merge(
         self, name: str, new: DataFrame | None, gone: DataFrame | None = None, key: str | Sequence[str] = "id", unique: Sequence[str] | None = None, match: Sequence[str] | None = None

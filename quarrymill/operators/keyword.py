@@ -29,7 +29,7 @@ class KeywordIndex:
     def of(cls, postings: DataFrame, lengths: DataFrame) -> KeywordIndex:
         """The statistics of given postings; texts are not read again."""
         totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-        return cls(postings, lengths, _idf(postings.groupBy("term").agg(F.count("*").alias("n")), totals), totals)
+        return cls(postings, lengths, inverse_frequencies(postings.groupBy("term").agg(F.count("*").alias("n")), totals), totals)
 
     def without(self, ids: DataFrame) -> KeywordIndex:
         """Less the documents whose ``id`` is given."""
@@ -46,7 +46,7 @@ class KeywordIndex:
         return KeywordIndex(*(keep(t) for t in (self.postings, self.lengths, self.idf, self.totals)))
 
 
-def _idf(n: DataFrame, totals: DataFrame) -> DataFrame:
+def inverse_frequencies(n: DataFrame, totals: DataFrame) -> DataFrame:
     """(term, n, idf) of terms and the documents that have them.
 
     The mean idf takes negative values in; negative ones are then replaced by a share of it.
@@ -79,7 +79,7 @@ def query_index(docs: DataFrame, query: str, key: str = "id", text: str = "text"
     postings = tokenised.select("id", F.explode(F.filter(counts, lambda c: c["tf"] > 0)).alias("c")).select("id", "c.term", "c.tf")
     n = tokenised.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return KeywordIndex(postings, lengths, _idf(n, totals), totals)
+    return KeywordIndex(postings, lengths, inverse_frequencies(n, totals), totals)
 
 
 def query_terms(spark, query: str) -> DataFrame:

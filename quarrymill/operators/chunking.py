@@ -36,7 +36,7 @@ def blocks(text: Column) -> Column:
         F.transform(parts, lambda p: F.when(F.startswith(stripped(p), F.lit("```")), F.array(stripped(p))).otherwise(F.transform(F.split(p, r"\n\s*\n"), stripped)))
     )
     kept = F.filter(cut, lambda b: b != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(text))
+    return bound(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(text)))
 
 
 def packed(parts: Column, sizes: ChunkSizes) -> Column:
@@ -92,8 +92,9 @@ def rebalanced(texts: Column, sizes: ChunkSizes) -> Column:
     """
     state = F.struct(F.array().cast("array<struct<text:string,index:int>>").alias("out"), F.lit("").alias("held"), F.lit(0).alias("at"))
 
-    def add(acc: Column, text: Column) -> Column:
-        keep = (token_count(text) >= sizes.least) | (F.size(acc["out"]) == 0)
+    def add(acc: Column, sized: Column) -> Column:
+        text = sized["text"]
+        keep = sized["enough"] | (F.size(acc["out"]) == 0)
         merged = F.when(acc["held"] != "", stripped(F.concat(acc["held"], F.lit(GLUE), text))).otherwise(text)
         index = F.when(acc["held"] != "", F.size(acc["out"])).otherwise(acc["at"])
         return F.struct(
@@ -109,7 +110,8 @@ def rebalanced(texts: Column, sizes: ChunkSizes) -> Column:
 
     def all_of(found: Column) -> Column:
         one = F.transform(found, lambda t, k: F.struct(t.alias("text"), k.alias("index")))
-        return F.when(F.size(found) < 2, one).otherwise(F.aggregate(found, state, add, close))
+        sized = F.transform(found, lambda t: F.struct(t.alias("text"), (token_count(t) >= sizes.least).alias("enough")))
+        return F.when(F.size(found) < 2, one).otherwise(F.aggregate(sized, state, add, close))
 
     return bound(texts, all_of)
 

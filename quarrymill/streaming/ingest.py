@@ -16,7 +16,8 @@ from quarrymill.sources.store import ChunkStore
 
 def chunk_documents(docs: DataFrame, sizes: ChunkSizes | None = None) -> DataFrame:
     """Chunks of documents (path, text): the same plan in batch and in each micro-batch."""
-    sections = markdown_sections(docs).join(docs.select("path", F.sha2("text", 256).alias("source_hash")), "path")
+    hashed = docs.filter("path IS NOT NULL").select("path", F.sha2("text", 256).alias("source_hash"), "text")
+    sections = markdown_sections(hashed, ("path", "source_hash"))
     return chunks(sections.withColumn("language", F.lit("markdown")), sizes)
 
 

@@ -18,6 +18,8 @@ from quarrymill.llm.common import checkpointed
 
 #: Tokens that a task counts in memory at a time.
 BLOCK_TOKENS = 2_000_000
+#: Places of a block that are looked at together, as each costs several words of memory.
+_STEP = 2**17
 #: Bytes of a text that are taken apart at a time.
 PIECE_BYTES = 1_000_000
 #: Bits of the table that stands for the frequent n-grams of one order; what does not fit well is
@@ -95,13 +97,13 @@ class _Block:
 
     def add(self, lang: str, words: list[bytes]) -> None:
         ids = self.ids.get(lang) or self.ids.setdefault(lang, _Ids(self, lang))
-        self.parts.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+        self.parts.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
     def rest(self) -> _Block:
         """A new block that begins with the last two words, whose n-grams are still open."""
         out = _Block()
-        for k in np.concatenate(self.parts)[-2:].tolist():
+        for k in self._whole()[-2:].tolist():
             out.add(self.langs[k], [self.words[k] or _END])
         return out
 
@@ -115,43 +117,78 @@ class _Block:
 
     def single(self) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the distinct words, and their counts."""
-        x = np.concatenate(self.parts)[:-2]
-        return np.unique(x[x > 0], return_counts=True)
+        counts = np.bincount(self._whole()[:-2], minlength=1)
+        counts[0] = 0
+        distinct = np.flatnonzero(counts)
+        return distinct, counts[distinct]
+
+    def _whole(self) -> np.ndarray:
+        """The numbers of all words, kept in one piece from now on."""
+        if len(self.parts) > 1:
+            self.parts = [np.concatenate(self.parts)]
+        return self.parts[0]
+
+    def _places(self, found: Callable[[int, int], np.ndarray], size: int) -> np.ndarray:
+        """The places below ``size`` that ``found`` says of a stretch, a stretch at a time."""
+        return np.concatenate([np.zeros(0, np.int32), *((np.flatnonzero(found(at, min(at + _STEP, size))) + at).astype(np.int32) for at in range(0, size, _STEP))])
+
+    def _gathered(self, made: Callable[[np.ndarray], np.ndarray], places: np.ndarray, kind: type) -> np.ndarray:
+        """``made`` of the places, a stretch of them at a time."""
+        out = np.empty(places.size, kind)
+        for at in range(0, places.size, _STEP):
+            out[at : at + _STEP] = made(places[at : at + _STEP])
+        return out
 
-    def _known(self, x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of all neighbours, whether each is set in a table of pairs, and keys of all runs of three."""
+    def _known(self, x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+        """Whether each pair of neighbours is set in a table of pairs, and the keys of the runs of three at given places."""
         hashed, langs = self._keys()
-        pair = langs[x[:-1]] ^ hashed[x[:-1]] ^ _rotated(hashed[x[1:]], 29)
-        return pair, _is_set(table, pair & _KEY) & (x[:-1] > 0) & (x[1:] > 0), (pair[:-1] ^ _rotated(hashed[x[2:]], 47)) & _KEY
+        own = langs ^ hashed
+        known = np.empty(x.size - 1, bool)
+        for at in range(0, known.size, _STEP):
+            first, second = x[at : at + _STEP][: known.size - at], x[at + 1 : at + 1 + _STEP]
+            known[at : at + _STEP] = _is_set(table, (own[first] ^ _rotated(hashed[second], 29)) & _KEY) & (first > 0) & (second > 0)
+        return known, lambda places: (own[x[places]] ^ _rotated(hashed[x[places + 1]], 29) ^ _rotated(hashed[x[places + 2]], 47)) & _KEY
 
     def pairs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts of distinct neighbours that are both set in a table of words."""
-        x, (hashed, langs) = np.concatenate(self.parts), self._keys()
-        known = _is_set(table, langs ^ hashed)
+        x, (hashed, langs) = self._whole(), self._keys()
+        own = langs ^ hashed
+        known = _is_set(table, own)
         known[0] = False
-        first, second = x[:-2], x[1:-1]
-        starts = np.flatnonzero(known[first] & known[second])
-        first, second = first[starts], second[starts]
-        return np.unique((langs[first] ^ hashed[first] ^ _rotated(hashed[second], 29)) & _KEY, return_counts=True)
+        starts = self._places(lambda a, z: known[x[a:z]] & known[x[a + 1 : z + 1]], max(x.size - 2, 0))
+        return _counted(self._gathered(lambda at: (own[x[at]] ^ _rotated(hashed[x[at + 1]], 29)) & _KEY, starts, np.uint64))
 
     def triples(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts of distinct runs of three words whose pairs are both set in a table of pairs."""
-        _, known, triple = self._known(np.concatenate(self.parts), table)
-        return np.unique(triple[known[:-1] & known[1:]], return_counts=True)
+        known, key = self._known(self._whole(), table)
+        starts = self._places(lambda a, z: known[a:z] & known[a + 1 : z + 1], known.size - 1)
+        return _counted(self._gathered(key, starts, np.uint64))
 
     def phrases(self, pairs: np.ndarray, triples: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Numbers of the words, 0 for none, and counts of distinct phrases of 2 and 3 words that are set in the tables."""
-        x = np.concatenate(self.parts)
-        _, known, triple = self._known(x, pairs)
-        starts = np.flatnonzero(known[:-1])
-        packed, pair, counts = np.unique((x[starts] << 32) | x[starts + 1], return_inverse=True, return_counts=True)
-        more = known[starts + 1] & _is_set(triples, triple[starts])
-        longer, inner = np.unique((pair[more] << 32) | x[starts[more] + 2], return_counts=True)
+        x = self._whole()
+        known, key = self._known(x, pairs)
+        starts = self._places(lambda a, z: known[a:z], known.size - 1)
+        neighbours = lambda at: (x[at].astype(np.int64) << 32) | x[at + 1]
+        packed, counts = _counted(self._gathered(neighbours, starts, np.int64))
+        more = starts[self._gathered(lambda at: known[at + 1] & _is_set(triples, key(at)), starts, bool)]
+        del starts, known
+        longer, inner = _counted(self._gathered(lambda at: (np.searchsorted(packed, neighbours(at)) << 32) | x[at + 2], more, np.int64))
         packed = np.concatenate([packed, packed[longer >> 32]])
         third = np.concatenate([np.zeros(len(counts), np.int64), longer & 0xFFFFFFFF])
         return [packed >> 32, packed & 0xFFFFFFFF, third], np.concatenate([counts, inner])
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and their counts; the values are sorted in place."""
+    values.sort()
+    heads = np.empty(values.size, bool)
+    heads[:1] = True
+    np.not_equal(values[1:], values[:-1], out=heads[1:])
+    starts = np.flatnonzero(heads)
+    return values[starts], np.diff(starts, append=values.size)
+
+
 def _slices(text: bytes) -> Iterator[bytes]:
     """The text in pieces of bounded size that end between words."""
     at = 0
